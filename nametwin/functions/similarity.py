@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Ship the few helpers below with the function, so executors need no copy of
 # this package on their path.
@@ -97,7 +98,7 @@ def jaro_winkler_arrays(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity of two strings; null counts as "".
 

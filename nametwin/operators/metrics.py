@@ -194,7 +194,7 @@ def examples(scored: DataFrame, positive: bool, key: str, limit: int = 20) -> Da
 def sample_by_label(pairs: DataFrame, matching: bool, key: str, limit: int = 20) -> DataFrame:
     """A reproducible random sample of one class."""
     kept = pairs.filter(F.col("match") == F.lit(matching))
-    return kept.orderBy(F.xxhash64(key), key).limit(limit)
+    return kept.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(limit)
 
 
 def match_rate(pairs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from nametwin.config import DECISION, PROBA, Settings
 from nametwin.operators.features import feature_table, normalize_pairs
 from nametwin.operators.keep import keep
 from nametwin.operators.metrics import evaluate, find_threshold, take_decision
-from nametwin.operators.split import deduplicate, split
+from nametwin.operators.split import assign_exact, deduplicate
 from nametwin.operators.tfidf import Idf, fit_idf
 from nametwin.plans.model import Matcher, acceptance_bounds, add_probability, fit_boosted
 from nametwin.sources.synthetic import labelled_pairs
@@ -30,19 +30,27 @@ class Trained:
 @dataclass(frozen=True)
 class Prepared:
     idf: Idf
-    train: DataFrame
-    val: DataFrame
-    test: DataFrame
+    features: DataFrame  # all pairs with their features and `part`
+
+    def part(self, name: str) -> DataFrame:
+        return self.features.filter(F.col("part") == name).drop("part")
 
 
 def prepare(pairs: DataFrame, settings: Settings = Settings()) -> Prepared:
     """Deduplicate, split, fit TF-IDF on the training part, add features to all parts."""
     unique = keep(deduplicate(pairs))
-    parts = split(
-        unique, F.col("pair_id"), settings.train_fraction, settings.val_fraction, settings.split_seed
+    parted = keep(
+        assign_exact(
+            unique,
+            F.col("pair_id"),
+            settings.train_fraction,
+            settings.val_fraction,
+            settings.split_seed,
+        )
     )
-    idf = fit_idf(normalize_pairs(parts[0]), F.col("A_norm"), F.col("B_norm"))
-    return Prepared(idf, *[keep(feature_table(part, "pair_id", idf)) for part in parts])
+    known = normalize_pairs(parted.filter(F.col("part") == "train"))
+    idf = fit_idf(known, F.col("A_norm"), F.col("B_norm"))
+    return Prepared(idf, keep(feature_table(parted, "pair_id", idf)))
 
 
 def train(pairs: DataFrame, settings: Settings = Settings(), early_stop: bool = False) -> Trained:
@@ -50,11 +58,11 @@ def train(pairs: DataFrame, settings: Settings = Settings(), early_stop: bool =
     spark = pairs.sparkSession
     ready = prepare(pairs, settings)
     pipeline = fit_boosted(
-        ready.train, "pair_id", settings.boost, ready.val if early_stop else None
+        ready.part("train"), "pair_id", settings.boost, ready.part("val") if early_stop else None
     )
-    threshold = find_threshold(add_probability(ready.val, pipeline), settings.min_precision)
+    threshold = find_threshold(add_probability(ready.part("val"), pipeline), settings.min_precision)
     scored = keep(
-        add_probability(ready.test, pipeline).withColumn(
+        add_probability(ready.part("test"), pipeline).withColumn(
             DECISION, take_decision(F.col(PROBA), threshold)
         )
     )
