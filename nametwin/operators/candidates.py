@@ -19,6 +19,7 @@ from nametwin.operators.keep import keep
 from nametwin.operators.tfidf import Idf, profiles
 from nametwin.operators.tiling import TILE_ROWS, tiled_join
 
+COMPARE_TILE_ROWS = 2_000  # every pair of a compared tile is scored, so keep tiles small
 _SLACK = 1e-9  # room for rounding, so a pair exactly on a bound is kept
 
 
@@ -112,7 +113,8 @@ def compared_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int =
     no_terms = F.create_map().cast("map<string,double>")
     ready = keep(weighed.withColumn("profile", F.coalesce("profile", no_terms)))
     a, b = (_side(ready, side, ["norm", "profile"]) for side in (REFERENCE, SUPPLIER))
-    met = tiled_join(a, b, ["request_id"], "A_norm", "B_norm", tile_rows)
+    tile = min(tile_rows, COMPARE_TILE_ROWS)
+    met = tiled_join(a, b, ["request_id"], "A_norm", "B_norm", tile)
     return met.filter(_lengths_fit(bounds)).select(
         "request_id",
         "A_norm",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nametwin.functions.hashing import unit
 
 PARTS = ("train", "val", "test")
-_HISTOGRAM = 4096  # ranks are exact; this only sets how many rows get ranked
+_HISTOGRAM = 65_536  # ranks are exact; this only sets how many rows get ranked
 
 
 def check_fractions(train: float, val: float) -> None:
@@ -39,9 +39,9 @@ def assign_by_hash(rows: DataFrame, key: Column, train: float, val: float, seed:
 def assign_exact(rows: DataFrame, key: Column, train: float, val: float, seed: int) -> DataFrame:
     """Add `part` with exactly the sizes of `part_sizes`; `key` must be unique.
 
-    Rows rank by (hash, key). A 4096-bin histogram of the hash tells which bins
+    Rows rank by (hash, key). A 65536-bin histogram of the hash tells which bins
     hold the two cuts; only rows of those bins are ranked, so no task sees more
-    than about 1/4096 of the rows whatever the table's size.
+    than about 1/65536 of the rows whatever the table's size.
     """
     check_fractions(train, val)
     u = unit(key, F.lit(seed))

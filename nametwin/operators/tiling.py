@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TILE_ROWS = 20_000  # rows of one side that one key may bring to one task
-MAX_HOT_KEYS = 100_000  # bound on the broadcast table of hot keys
+MAX_HOT_KEYS = 500_000  # bound on the broadcast table of the hottest keys
+
+
+def key_sizes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_left, n_right), combined map-side, so a hot key costs a row per task."""
+
+    def count(side: DataFrame, mine: str, other: str) -> DataFrame:
+        n = side.groupBy(*keys).agg(F.count("*").alias(mine))
+        return n.withColumn(other, F.lit(0).cast("long"))
+
+    both = count(left, "n_left", "n_right").unionByName(count(right, "n_right", "n_left"))
+    return both.groupBy(*keys).agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
 
 
 def tiled_join(
@@ -16,45 +27,57 @@ def tiled_join(
     left_id: str,
     right_id: str,
     tile_rows: int = TILE_ROWS,
+    max_hot_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Inner join of `left` and `right` on `keys`, whole, however skewed the keys are.
 
     A key with more than `tile_rows` rows on a side is cut into a grid: each
     left row goes to one grid row (by hash of its id) and to all grid columns,
-    each right row the other way round, so every pair still meets exactly once.
+    each right row the other way round, so every pair still meets exactly once
+    and no task gets more than a tile of either side.
 
-    Keys are counted with map-side combine. At most rows / limit keys can exceed
-    a limit, so raising the limit to total / MAX_HOT_KEYS bounds the hot-key
-    table, which is then broadcast. Keys in between are left to adaptive skew
-    handling. Both inputs are read twice: persist them if they are costly.
+    Rows learn their grid in one of two ways. At most total / limit keys exceed
+    a limit, so the keys above total / max_hot_keys are few enough to broadcast.
+    Any other large key holds too small a share to skew a shuffle, so the rest
+    of the grids is joined by shuffle, if there are any. Both inputs are read
+    twice: keep them if they are costly.
     """
-    n = F.count("*").alias("n")
-    sizes = (
-        left.groupBy(*keys).agg(n).withColumn("is_left", F.lit(1))
-        .unionAll(right.groupBy(*keys).agg(n).withColumn("is_left", F.lit(0)))
-        .groupBy(*keys)
-        .agg(
-            F.sum(F.col("n") * F.col("is_left")).alias("n_left"),
-            F.sum(F.col("n") * (1 - F.col("is_left"))).alias("n_right"),
-        )
-    )
+    sizes = key_sizes(left, right, keys)
     largest = F.greatest("n_left", "n_right")
     total, peak = sizes.agg(F.sum(F.col("n_left") + F.col("n_right")), F.max(largest)).first()
-    limit = max(tile_rows, (total or 0) // MAX_HOT_KEYS)
-    if not peak or peak <= limit:
+    if not peak or peak <= tile_rows:
         return left.join(right, keys)
 
     def tiles(rows: str) -> Column:
         return F.ceil(F.col(rows) / tile_rows).cast("int")
 
-    hot = sizes.filter((largest > limit) & (F.col("n_left") > 0) & (F.col("n_right") > 0)).select(
-        *keys, tiles("n_left").alias("t_left"), tiles("n_right").alias("t_right")
-    )
+    hottest = max(tile_rows, total // max_hot_keys)
+    paired = sizes.filter((F.col("n_left") > 0) & (F.col("n_right") > 0))
+    grids = paired.select(*keys, tiles("n_left").alias("t_left"), tiles("n_right").alias("t_right"), largest.alias("rows"))
+    hot = grids.filter(F.col("rows") > hottest).drop("rows")
+    warm = grids.filter((F.col("rows") > tile_rows) & (F.col("rows") <= hottest)).drop("rows")
+
+    def with_grid(side: DataFrame, row_id: str) -> DataFrame:
+        known = side.join(F.broadcast(hot), keys, "left")
+        if hottest == tile_rows:
+            return known
+        # rows of hot keys carry a hash here, so they spread and meet no warm grid
+        salt = F.when(F.col("t_left").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(row_id))
+        marked = warm.select(
+            *keys,
+            F.lit(0).cast("long").alias("_salt"),
+            F.col("t_left").alias("w_left"),
+            F.col("t_right").alias("w_right"),
+        )
+        joined = known.withColumn("_salt", salt).join(marked, [*keys, "_salt"], "left")
+        return joined.withColumns(
+            {f"t_{s}": F.coalesce(f"t_{s}", f"w_{s}") for s in ("left", "right")}
+        ).drop("_salt", "w_left", "w_right")
 
     def spread(side: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
         own_tiles, other_tiles = (F.coalesce(f"t_{s}", F.lit(1)) for s in (own, other))
         return (
-            side.join(F.broadcast(hot), keys, "left")
+            with_grid(side, row_id)
             .withColumn(f"_tile_{own}", F.pmod(F.xxhash64(row_id), own_tiles).cast("int"))
             .withColumn(f"_tile_{other}", F.explode(F.sequence(F.lit(0), other_tiles - 1)))
             .drop("t_left", "t_right")

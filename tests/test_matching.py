@@ -1,0 +1,188 @@
+"""Candidate search against brute force, positions and replies."""
+
+from __future__ import annotations
+
+import itertools
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from nametwin.operators import catalog, mapping
+from nametwin.operators.candidates import Bounds, acceptable_names, compared_names, sharing_names
+from nametwin.operators.tfidf import fit_idf
+from nametwin.operators.tiling import tiled_join
+from nametwin.plans.matching import Matched
+from nametwin.sources.requests import parse_requests
+from tests import brute
+
+SMALL = {
+    "request_id": "r1",
+    "referenceCatalog": ["room with a veranda", "huge room", " "],
+    "inputCatalog": ["big room with balcony", "huge room with a BALCONY", "small room", "    "],
+}
+NULLS = {
+    "request_id": "r2",
+    "referenceCatalog": [
+        None, "Big room with balcony", "", "small suite", "Economy Studio with open space", "",
+    ],
+    "inputCatalog": [
+        "Huge room along with a balcony", None, "very big room with a nice balcony", "luxury suite",
+        "", None, "A", "economy studio with spacious layout",
+    ],
+}
+
+
+def lines(spark, *bodies):
+    rows = [(b if isinstance(b, str) else json.dumps(b),) for b in bodies]
+    return spark.createDataFrame(rows, "value string")
+
+
+def entries_of(spark, *bodies):
+    requests = parse_requests(lines(spark, *bodies)).withColumn("request_id", F.col("request_name"))
+    return catalog.explode_requests(requests)
+
+
+def everything(entries):
+    """All usable pairs: what a decision that accepts anything must return."""
+    names = catalog.distinct_names(catalog.usable(entries))
+    idf = fit_idf(names, F.col("norm"))
+    return Matched(catalog.usable(entries), names, compared_names(names, idf, Bounds()))
+
+
+def test_candidate_counts(spark):
+    got = catalog.pair_counts(entries_of(spark, SMALL, NULLS)).orderBy("request_id").collect()
+    assert [tuple(r) for r in got] == [("r1", 12, 6), ("r2", 48, 12)]
+
+
+def test_candidate_positions(spark):
+    rows = everything(entries_of(spark, SMALL, NULLS)).mapping().collect()
+    pairs = {(r["request_id"], r["A_pos"], b) for r in rows for b in r["B_pos"]}
+    expected = {("r1", a, b) for a in (0, 1) for b in (0, 1, 2)}
+    expected |= {("r2", a, b) for a in (1, 3, 4) for b in (0, 2, 3, 7)}
+    assert pairs == expected
+
+
+def random_catalogs(seed: int, n: int = 60):
+    """Skewed words, copies, and a name of one hot word only."""
+    rng = random.Random(seed)
+    vocabulary = ["room"] * 12 + ["suite"] * 6 + ["big", "small", "huge"] * 3
+    vocabulary += [f"w{i}" for i in range(25)]
+    rows = []
+    for request in ("hot", "cold"):
+        for side in "AB":
+            for pos in range(n if request == "hot" else 8):
+                name = " ".join(rng.choices(vocabulary, k=rng.randrange(1, 6)))
+                rows.append((request, side, pos, name))
+    return rows
+
+
+def expected_pairs(rows, weights, min_cosine):
+    names = {(r, s, n) for r, s, _, n in rows}
+    out = {}
+    for (r1, s1, a), (r2, s2, b) in itertools.product(names, names):
+        if r1 == r2 and (s1, s2) == ("A", "B"):
+            c = brute.cosine(a, b, weights)
+            if c >= min_cosine - 1e-9:
+                out[(r1, a, b)] = c
+    return out
+
+
+@pytest.mark.parametrize("min_cosine", [0.01, 0.3, 0.55, 0.8, 1.0])
+@pytest.mark.parametrize("tile_rows", [3, 20_000])
+def test_word_index_finds_exactly_the_pairs_above_the_bound(spark, min_cosine, tile_rows):
+    rows = random_catalogs(int(min_cosine * 100))
+    entries = spark.createDataFrame(rows, "request_id string, side string, pos long, name string")
+    names = catalog.distinct_names(catalog.usable(entries))
+    docs = [n for *_, n in rows]
+    idf = fit_idf(entries.withColumn("norm", F.col("name")), F.col("norm"))
+    found = sharing_names(names, idf, Bounds(min_cosine=min_cosine), tile_rows).collect()
+    got = {(r["request_id"], r["A_norm"], r["B_norm"]): r["cosine_similarity"] for r in found}
+    assert len(got) == len(found)
+    assert got == pytest.approx(expected_pairs(rows, brute.idf(docs), min_cosine))
+
+
+@pytest.mark.parametrize("tile_rows", [4, 20_000])
+def test_tile_comparison_is_the_whole_product(spark, tile_rows):
+    rows = random_catalogs(5, 30)
+    entries = spark.createDataFrame(rows, "request_id string, side string, pos long, name string")
+    names = catalog.distinct_names(catalog.usable(entries))
+    idf = fit_idf(names, F.col("norm"))
+    found = compared_names(names, idf, Bounds(), tile_rows).collect()
+    keys = [(r["request_id"], r["A_norm"], r["B_norm"]) for r in found]
+    assert len(keys) == len(set(keys))
+    distinct = {(r, s): {n for q, t, _, n in rows if (q, t) == (r, s)} for r in ("hot", "cold") for s in "AB"}
+    assert len(keys) == sum(len(distinct[(r, "A")]) * len(distinct[(r, "B")]) for r in ("hot", "cold"))
+
+
+def test_other_bounds_only_remove_what_they_must(spark):
+    rows = random_catalogs(9, 30)
+    entries = spark.createDataFrame(rows, "request_id string, side string, pos long, name string")
+    names = catalog.distinct_names(catalog.usable(entries))
+    idf = fit_idf(names, F.col("norm"))
+    bounds = Bounds(min_cosine=0.0, max_levenshtein=6.0, min_jaro_winkler=0.6)
+    got = acceptable_names(names, idf, bounds)
+    whole = acceptable_names(names, idf, Bounds()).filter(
+        "levenshtein_distance <= 6 and jaro_winkler_similarity >= 0.6"
+    )
+    key = ["request_id", "A_norm", "B_norm"]
+    assert sorted(got.select(key).collect()) == sorted(whole.select(key).collect())
+
+
+@pytest.mark.parametrize("max_hot_keys", [1, 2, 500_000])
+def test_tiled_join_equals_a_plain_join(spark, max_hot_keys):
+    rng = random.Random(4)
+    left = [(rng.choice("aaaaabbbcd"), i) for i in range(200)]
+    right = [(rng.choice("aaaabbbbce"), i) for i in range(150)]
+    a = spark.createDataFrame(left, "k string, x long")
+    b = spark.createDataFrame(right, "k string, y long")
+    got = sorted(map(tuple, tiled_join(a, b, ["k"], "x", "y", 7, max_hot_keys).select("k", "x", "y").collect()))
+    assert got == sorted((k, x, y) for k, x in left for q, y in right if k == q)
+
+
+def test_positions_of_copies_and_counts(spark):
+    rows = [("r", "A", 0, "big room"), ("r", "A", 1, "Big Room!"), ("r", "A", 2, "loft")]
+    rows += [("r", "B", p, "big room") for p in (0, 5000, 9000)] + [("r", "B", 2, "suite")]
+    entries = spark.createDataFrame(rows, "request_id string, side string, pos long, name string")
+    ready = catalog.usable(entries)
+    names = catalog.distinct_names(ready)
+    accepted = spark.createDataFrame(
+        [("r", "big room", "big room"), ("r", "loft", "suite"), ("r", "loft", "big room")],
+        "request_id string, A_norm string, B_norm string",
+    )
+    for tile_rows in (1, 20_000):
+        got = mapping.positional_mapping(ready, accepted, tile_rows).collect()
+        flat = sorted((r["A_pos"], r["B_tile"], list(r["B_pos"])) for r in got)
+        assert flat == [
+            (0, 0, [0]), (0, 1, [5000]), (0, 2, [9000]),
+            (1, 0, [0]), (1, 1, [5000]), (1, 2, [9000]),
+            (2, 0, [0, 2]), (2, 1, [5000]), (2, 2, [9000]),
+        ]
+    assert mapping.match_counts(names, accepted).first()["n_matches"] == 10
+
+
+def test_replies_and_errors(spark):
+    empty = {"request_id": "r3", "referenceCatalog": [None], "inputCatalog": []}
+    requests = parse_requests(
+        lines(spark, SMALL, NULLS, empty, "{not json", {"request_id": "r4", "referenceCatalog": ["x"]},
+              {"inputCatalog": ["x"]}, "  ")
+    )
+    good = requests.filter("error is null")
+    everything_ = everything(catalog.explode_requests(good))
+    rows = mapping.replies(requests, everything_.mapping()).collect()
+    by_name = {r["request_id"].split(":")[0]: r for r in rows}
+    assert len(rows) == 6 and all(r["part"] == "0-0" for r in rows)
+    assert by_name["r1"]["positional_mapping"] == '{"0":[0,1,2],"1":[0,1,2]}'
+    assert by_name["r3"]["positional_mapping"] == "{}" and by_name["r3"]["error"] is None
+    assert by_name["r4"]["error"] == "missing inputCatalog"
+    assert by_name["r4"]["positional_mapping"] is None
+    assert sorted(r["error"] for r in rows if r["error"]) == [
+        "malformed JSON", "missing inputCatalog", "missing referenceCatalog",
+    ]
+
+
+def test_same_id_with_another_body_stays_apart(spark):
+    other = {**SMALL, "inputCatalog": ["huge room"]}
+    ids = [r["request_id"] for r in parse_requests(lines(spark, SMALL, other)).collect()]
+    assert len(set(ids)) == 2 and all(i.startswith("r1:") for i in ids)
