@@ -14,6 +14,14 @@ TARGET = "match"
 PROBA = "proba"
 DECISION = "decision"
 
+# Session settings that suit matching: its stages cost much CPU per byte, so small
+# shuffles must not be merged down to a task or two.
+SPARK_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+}
+
 
 @dataclass(frozen=True)
 class BoostParams:

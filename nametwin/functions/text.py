@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The 29 code points Unicode calls whitespace. `\s` means
-# something narrower in Java and in DuckDB, so both sides spell the set out.
-WHITESPACE = (
-    r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
-DROPPED = f"[^a-zA-Z0-9{WHITESPACE}]"
+# The 29 code points Python calls whitespace; Java's plain `\s` is
+# narrower. Texts are lower case when DROPPED sees them, so A-Z need not be kept.
+# Written with the property, eight tasks filter eight times as much text as one;
+# a list of ranges makes Java's matcher contend for a cache line and gains nothing.
+WHITESPACE = r"\p{IsWhite_Space}\x1C-\x1F"
+DROPPED = f"[^a-z0-9{WHITESPACE}]"
 OUTER_WHITESPACE = f"^[{WHITESPACE}]+|[{WHITESPACE}]+$"
 TOKEN = "[a-z0-9]{2,}"
 

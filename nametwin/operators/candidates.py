@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nametwin.functions.similarity import jaro_winkler, levenshtein, sparse_dot
 from nametwin.operators.catalog import REFERENCE, SUPPLIER
-from nametwin.operators.keep import keep
+from nametwin.operators.keep import settle
 from nametwin.operators.tfidf import Idf, profiles
 from nametwin.operators.tiling import TILE_ROWS, tiled_join
 
@@ -81,7 +81,7 @@ def sharing_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = T
         raise ValueError("an index on shared words needs a positive cosine bound")
     weighed = profiles(names, ["request_id", "side", "norm"], idf)
     prefix = prefix_terms(F.col("terms"), F.col("profile"), bounds.min_cosine)
-    ready = keep(weighed.withColumn("prefix", prefix))
+    ready = settle(weighed.withColumn("prefix", prefix))
     a, b = (
         _side(ready, side, ["norm", "profile", "prefix"]).withColumn("term", F.explode(f"{side}_prefix"))
         for side in (REFERENCE, SUPPLIER)
@@ -111,7 +111,7 @@ def compared_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int =
         profiles(names, ["request_id", "side", "norm"], idf), ["request_id", "side", "norm"], "left"
     )
     no_terms = F.create_map().cast("map<string,double>")
-    ready = keep(weighed.withColumn("profile", F.coalesce("profile", no_terms)))
+    ready = settle(weighed.withColumn("profile", F.coalesce("profile", no_terms)))
     a, b = (_side(ready, side, ["norm", "profile"]) for side in (REFERENCE, SUPPLIER))
     tile = min(tile_rows, COMPARE_TILE_ROWS)
     met = tiled_join(a, b, ["request_id"], "A_norm", "B_norm", tile)

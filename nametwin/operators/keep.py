@@ -1,41 +1,92 @@
-"""Persisted intermediates that are released together."""
+"""Intermediates that are read more than once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_scope: ContextVar[list[DataFrame] | None] = ContextVar("kept", default=None)
+_scope: ContextVar[list[Callable[[], object]] | None] = ContextVar("kept", default=None)
+_local: list[tempfile.TemporaryDirectory] = []  # removed when the process ends
 
 
-def keep(frame: DataFrame) -> DataFrame:
-    """Persist a frame that is read more than once; it spills to disk and can be recomputed."""
-    kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder of spark.checkpoint.dir; a temporary one in a local session without it.
+
+    None on a cluster that names no folder: a machine's own disk is not shared.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return None
+    if not _local:
+        _local.append(tempfile.TemporaryDirectory(prefix="nametwin-", ignore_cleanup_errors=True))
+    return _local[0].name
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh path that driver and executors share."""
+    shared = shared_folder(spark)
+    if shared is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{shared}/nametwin-{uuid.uuid4().hex}"
+
+
+def use_checkpoint_folder(spark: SparkSession) -> None:
+    """Let iterative fits cut their lineage in the shared folder, if there is one."""
+    shared = shared_folder(spark)
+    if shared and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared)
+
+
+def _on_release(action: Callable[[], object]) -> None:
     scope = _scope.get()
     if scope is not None:
-        scope.append(kept)
+        scope.append(action)
+
+
+def keep(frame: DataFrame) -> DataFrame:
+    """Persist a frame; it spills to disk, and lost blocks are computed again."""
+    kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    _on_release(kept.unpersist)
     return kept
 
 
+def settle(frame: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Losing executors then loses none of the work, later plans start at a file
+    scan with known sizes, and each reader fetches only the columns it needs.
+    Without a shared folder the frame is persisted instead.
+    """
+    spark = frame.sparkSession
+    if shared_folder(spark) is None:
+        return keep(frame)
+    path = scratch_folder(spark)
+    frame.write.parquet(path)
+    _on_release(lambda: _delete(spark, path))
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def releasing() -> Iterator[None]:
-    """Unpersist on exit whatever was kept inside, as a long-running stream must."""
-    scope: list[DataFrame] = []
+    """Drop on exit whatever was kept or settled inside, as a long-running stream must."""
+    scope: list[Callable[[], object]] = []
     token = _scope.set(scope)
     try:
         yield
     finally:
         _scope.reset(token)
-        for frame in scope:
-            frame.unpersist()
-
-
-def use_checkpoint_folder(spark: SparkSession) -> None:
-    """Let iterative fits cut their lineage in the folder the cluster names, if it names one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        for action in scope:
+            action()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nametwin.operators.catalog import REFERENCE, SUPPLIER
-from nametwin.operators.keep import keep
+from nametwin.operators.keep import settle
 from nametwin.operators.tiling import TILE_ROWS, tiled_join
 
 # One output row holds at most this many positions of either side.
@@ -46,12 +46,12 @@ def positional_mapping(
     a_rows = named.filter(F.col("side") == REFERENCE).select(
         "request_id", F.col("norm").alias("A_norm"), F.col("pos").alias("A_pos")
     )
-    name_pairs = keep(accepted.select("request_id", "A_norm", "B_norm"))
-    with_lists = tiled_join(
-        name_pairs, b_lists, ["request_id", "B_norm"], "A_norm", "B_tile", tile_rows
+    # a name has few lists, so adaptive skew handling can split its accepted pairs
+    with_lists = accepted.select("request_id", "A_norm", "B_norm").join(
+        b_lists, ["request_id", "B_norm"]
     )
     # all lists of one reference name and tile, joined before its copies multiply them
-    by_name = keep(
+    by_name = settle(
         with_lists.groupBy("request_id", "A_norm", "B_tile").agg(
             F.array_sort(F.flatten(F.collect_list("B_list"))).alias("B_pos")
         )

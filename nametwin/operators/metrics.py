@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nametwin.operators.keep import keep
+from nametwin.operators.keep import keep, settle
 
 GRID = 101  # thresholds 0.00, 0.01 .. 1.00
 QUANTILES = (0.25, 0.5, 0.75)
@@ -24,7 +24,7 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 def running_counts(scored: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(proba, n, tp, cum_n, cum_tp) per distinct score, cumulated from the highest down."""
-    by_score = keep(
+    by_score = settle(
         scored.groupBy("proba").agg(
             F.count("*").alias("n"), F.count_if(F.col("match")).alias("tp")
         )

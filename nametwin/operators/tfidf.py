@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nametwin.functions.text import tokens
-from nametwin.operators.keep import keep
+from nametwin.operators.keep import settle
 
 # An idf table is broadcast only when it is counted to hold at most this many
 # terms (about 100 bytes each, so 100 MB at the limit); a larger one is shuffled.
@@ -48,8 +48,7 @@ def weigh(frequencies: DataFrame, n_docs: Column) -> DataFrame:
 def fit_idf(texts: DataFrame, *columns: Column) -> Idf:
     """Fit on normalized text columns; each column of each row is one document."""
     n_docs = texts.count() * len(columns)
-    terms = weigh(document_frequencies(texts, *columns), F.lit(float(n_docs)))
-    terms = keep(terms)
+    terms = settle(weigh(document_frequencies(texts, *columns), F.lit(float(n_docs))))
     n_terms = terms.count()
     if n_terms == 0:
         raise ValueError("cannot fit TF-IDF: no text holds a token of two characters")

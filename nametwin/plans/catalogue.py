@@ -11,6 +11,7 @@ from nametwin.functions.text import is_valid, normalize, tokens
 from nametwin.operators import catalog, mapping, metrics
 from nametwin.operators.candidates import Bounds
 from nametwin.operators.features import feature_table, normalize_pairs
+from nametwin.operators.keep import scratch_folder
 from nametwin.operators.split import assign_by_hash, assign_exact, deduplicate
 from nametwin.operators.tfidf import document_frequencies, fit_idf, pair_cosine, weigh
 from nametwin.plans import monitoring
@@ -44,7 +45,7 @@ def normalize_names(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("customer").alias("source"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name")
     )
     norm = normalize(F.col("name"))
-    return docs.unionAll(customers).select(
+    return tables.spread(docs.unionAll(customers)).select(
         "source",
         "id",
         F.md5(norm.cast("binary")).alias("norm_md5"),
@@ -66,7 +67,7 @@ def valid_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = tables.table(spark, folder, "documents")
+    docs = tables.spread(tables.table(spark, folder, "documents").select("text"))
     words = docs.select(F.explode(tokens(normalize(F.col("text")))).alias("term"))
     return words.groupBy("term").agg(F.count("*").alias("n"))
 
@@ -220,7 +221,7 @@ def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _generated(spark: SparkSession, folder: str, accents: bool = False) -> DataFrame:
     ids = tables.table(spark, folder, "orders").select(F.col("o_orderkey").alias("pair_id"))
-    return draw_pairs(ids, 0.5, accents=accents)
+    return draw_pairs(tables.spread(ids), 0.5, accents=accents)
 
 
 def synthetic_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -355,7 +356,7 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Publish, reload and score again: one row per label and decision."""
-    store = tables.scratch_folder(spark)
+    store = scratch_folder(spark)
     pairs = deduplicate(tables.part_pairs(spark, folder))
     version = registry.publish(spark, store, _part_model(spark, folder), QUICK)
     scored = run_model(pairs, "pair_id", registry.load(spark, store))
@@ -376,7 +377,7 @@ def reply_by_model(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_match(spark: SparkSession, folder: str) -> DataFrame:
     """The same replies from a stream over request files."""
-    work = tables.scratch_folder(spark)
+    work = scratch_folder(spark)
     tables.conversation_requests(spark, folder).write.text(f"{work}/requests")
     matcher = _part_model(spark, folder).matcher
     query = start_matching(spark, f"{work}/requests", f"{work}/replies", f"{work}/state", matcher)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nametwin.config import DECISION, PROBA
 from nametwin.operators.candidates import Bounds, acceptable_names
 from nametwin.operators.catalog import distinct_names, explode_requests, usable
-from nametwin.operators.keep import keep
+from nametwin.operators.keep import settle
 from nametwin.operators.mapping import positional_mapping, replies
 from nametwin.operators.metrics import take_decision
 from nametwin.operators.tfidf import Idf
@@ -34,8 +34,8 @@ def match_entries(entries: DataFrame, matcher: Matcher, tile_rows: int = TILE_RO
     Features depend on the two normalized names only, so each distinct pair of
     a request is scored once, however many positions carry the names.
     """
-    ready = usable(entries)
-    names = keep(distinct_names(ready))
+    ready = settle(usable(entries))
+    names = distinct_names(ready)
     pairs = acceptable_names(names, matcher.idf, matcher.bounds, tile_rows)
     scored = add_probability(pairs, matcher.pipeline)
     accepted = scored.filter(take_decision(F.col(PROBA), matcher.threshold))
@@ -46,8 +46,8 @@ def match_by_rule(
     entries: DataFrame, idf: Idf, bounds: Bounds, rule: Column, tile_rows: int = TILE_ROWS
 ) -> Matched:
     """Match with a fixed rule on the features; `bounds` must hold for whatever it accepts."""
-    ready = usable(entries)
-    names = keep(distinct_names(ready))
+    ready = settle(usable(entries))
+    names = distinct_names(ready)
     pairs = acceptable_names(names, idf, bounds, tile_rows)
     return Matched(ready, names, pairs.withColumn(DECISION, rule).filter(DECISION))
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from nametwin.functions.text import DROPPED, OUTER_WHITESPACE
 from nametwin.sources import synthetic as syn
 
+# Whitespace spelled out, because `\\s` means less in DuckDB.
+WHITESPACE = (
+    r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+DROPPED = f"[^a-zA-Z0-9{WHITESPACE}]"
+OUTER_WHITESPACE = f"^[{WHITESPACE}]+|[{WHITESPACE}]+$"
+
 
 def _norm(text: str) -> str:
     return f"regexp_replace(lower(coalesce({text}, '')), '{DROPPED}', '', 'g')"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nametwin.config import DECISION, PROBA, Settings
 from nametwin.operators.features import feature_table, normalize_pairs
-from nametwin.operators.keep import keep
+from nametwin.operators.keep import settle
 from nametwin.operators.metrics import evaluate, find_threshold, take_decision
 from nametwin.operators.split import assign_exact, deduplicate
 from nametwin.operators.tfidf import Idf, fit_idf
@@ -38,8 +38,8 @@ class Prepared:
 
 def prepare(pairs: DataFrame, settings: Settings = Settings()) -> Prepared:
     """Deduplicate, split, fit TF-IDF on the training part, add features to all parts."""
-    unique = keep(deduplicate(pairs))
-    parted = keep(
+    unique = settle(deduplicate(pairs))
+    parted = settle(
         assign_exact(
             unique,
             F.col("pair_id"),
@@ -50,7 +50,7 @@ def prepare(pairs: DataFrame, settings: Settings = Settings()) -> Prepared:
     )
     known = normalize_pairs(parted.filter(F.col("part") == "train"))
     idf = fit_idf(known, F.col("A_norm"), F.col("B_norm"))
-    return Prepared(idf, keep(feature_table(parted, "pair_id", idf)))
+    return Prepared(idf, settle(feature_table(parted, "pair_id", idf)))
 
 
 def train(pairs: DataFrame, settings: Settings = Settings(), early_stop: bool = False) -> Trained:
@@ -61,7 +61,7 @@ def train(pairs: DataFrame, settings: Settings = Settings(), early_stop: bool =
         ready.part("train"), "pair_id", settings.boost, ready.part("val") if early_stop else None
     )
     threshold = find_threshold(add_probability(ready.part("val"), pipeline), settings.min_precision)
-    scored = keep(
+    scored = settle(
         add_probability(ready.part("test"), pipeline).withColumn(
             DECISION, take_decision(F.col(PROBA), threshold)
         )
@@ -70,7 +70,7 @@ def train(pairs: DataFrame, settings: Settings = Settings(), early_stop: bool =
     chosen = spark.range(1).select(F.lit("threshold").alias("metric"), F.lit(threshold).alias("value"))
     bounds = acceptance_bounds(spark, pipeline, threshold)
     matcher = Matcher(pipeline, ready.idf, threshold, bounds)
-    return Trained(matcher, scored, keep(metrics.unionAll(chosen)))
+    return Trained(matcher, scored, settle(metrics.unionAll(chosen)))
 
 
 def train_on_generated(spark: SparkSession, settings: Settings = Settings()) -> Trained:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from nametwin.config import Settings
 from nametwin.operators.candidates import Bounds
-from nametwin.operators.keep import keep
 from nametwin.operators.tfidf import Idf
 from nametwin.plans.model import Matcher
 from nametwin.plans.training import Trained
@@ -106,7 +105,7 @@ def load(spark: SparkSession, folder: str, version: int | None = None) -> Matche
         raise LookupError(f"no model published in {folder}")
     path = manifest(spark, folder).filter(F.col("version") == version).first()["path"]
     meta = spark.read.schema(_META).parquet(f"{path}/meta").first()
-    terms = keep(spark.read.parquet(f"{path}/idf"))
+    terms = spark.read.parquet(f"{path}/idf")
     return Matcher(
         PipelineModel.load(f"{path}/pipeline"),
         Idf(terms, meta["n_docs"], meta["n_terms"]),

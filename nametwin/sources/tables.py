@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +12,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share.
+def spread(source: DataFrame) -> DataFrame:
+    """A source with fewer splits than cores, dealt out to all cores.
 
-    Inside the folder of spark.checkpoint.dir where the cluster names one; the
-    machine's temporary folder serves a local session only.
+    For work that costs far more than reading, such as matching expressions over
+    whole texts. A source of many files or row groups comes back as it is.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/nametwin-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="nametwin-")
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source if source.rdd.getNumPartitions() >= cores else source.repartition(cores)
 
 
 def _renderings(parts: DataFrame) -> DataFrame:
@@ -79,7 +72,7 @@ def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """(pair_id, A, B): conversation pairs and both renderings of every part."""
     shown = _renderings(table(spark, folder, "part"))
     key = F.concat(F.lit("part-"), F.col("p_partkey")).alias("pair_id")
-    return conversation_pairs(spark, folder).unionAll(shown.select(key, "A", "B"))
+    return spread(conversation_pairs(spark, folder).unionAll(shown.select(key, "A", "B")))
 
 
 def conversation_requests(spark: SparkSession, folder: str) -> DataFrame:

@@ -42,6 +42,22 @@ def test_normalize_keeps_all_unicode_whitespace(spark):
     assert len(kept) == 29 and all(r["n"] == r["name"] for r in kept)
 
 
+def test_normalize_and_strip_treat_every_character_as_defined(spark):
+    points = [c for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, chr(c)) for c in points], "c int, s string")
+    got = rows.select(
+        "c",
+        "s",
+        text.normalize(F.col("s")).alias("norm"),
+        text.strip(F.concat("s", F.lit("ab"), "s")).alias("stripped"),
+    ).collect()
+    for r in got:
+        ch = r["s"]
+        kept = "".join(x for x in ch.lower() if x in "abcdefghijklmnopqrstuvwxyz0123456789" or x.isspace())
+        assert r["norm"] == kept, hex(r["c"])
+        assert r["stripped"] == (ch + "ab" + ch).strip(), hex(r["c"])
+
+
 def test_tokens_need_two_characters(spark):
     row = spark.createDataFrame([("a 5 big  room12 x9 big",)], "n string")
     assert row.select(text.tokens(F.col("n"))).first()[0] == ["big", "room12", "x9", "big"]

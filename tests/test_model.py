@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import replace
 
 import pytest
@@ -12,7 +13,7 @@ from nametwin.config import BoostParams, Settings
 from nametwin.operators import catalog
 from nametwin.operators.candidates import Bounds, acceptable_names
 from nametwin.operators.features import check_features
-from nametwin.operators.keep import keep, releasing
+from nametwin.operators.keep import keep, releasing, settle
 from nametwin.operators.metrics import take_decision
 from nametwin.plans.matching import match_catalogs, match_entries
 from nametwin.plans.model import acceptance_bounds, add_probability, run_model, split_counts
@@ -190,9 +191,11 @@ def test_stream_equals_batch(spark, trained, tmp_path):
 
 def test_kept_frames_are_released(spark):
     with releasing():
-        inner = keep(spark.range(3))
-        assert inner.is_cached
-    assert not inner.is_cached
+        inner, written = keep(spark.range(3)), settle(spark.range(4))
+        assert inner.is_cached and written.count() == 4
+        (file,) = {f.rsplit("/", 1)[0].removeprefix("file://") for f in written.inputFiles()}
+        assert os.path.isdir(file)
+    assert not inner.is_cached and not os.path.exists(file)
 
 
 def test_tuning_dry_run(spark):
