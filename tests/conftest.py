@@ -13,7 +13,7 @@ def make_session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("nametwin-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
