@@ -12,13 +12,12 @@ REFERENCE, SUPPLIER = "A", "B"
 
 def explode_requests(requests: DataFrame) -> DataFrame:
     """(request_id, side, pos, name) from requests that hold both lists in arrays."""
-
-    def side(label: str, column: str) -> DataFrame:
-        return requests.select(
-            "request_id", F.lit(label).alias("side"), F.posexplode(column).alias("pos", "name")
-        )
-
-    return side(REFERENCE, "referenceCatalog").unionAll(side(SUPPLIER, "inputCatalog"))
+    sides = F.array(
+        F.struct(F.lit(REFERENCE).alias("side"), F.col("referenceCatalog").alias("names")),
+        F.struct(F.lit(SUPPLIER).alias("side"), F.col("inputCatalog").alias("names")),
+    )
+    one_side = requests.select("request_id", F.explode(sides).alias("s"))
+    return one_side.select("request_id", "s.side", F.posexplode("s.names").alias("pos", "name"))
 
 
 def usable(entries: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nametwin.functions.text import tokens
 from nametwin.operators.keep import settle
+from nametwin.operators.tiling import tiled_join
 
 # An idf table is broadcast only when it is counted to hold at most this many
 # terms (about 100 bytes each, so 100 MB at the limit); a larger one is shuffled.
@@ -23,9 +24,12 @@ class Idf:
     n_docs: int
     n_terms: int
 
-    def lookup(self) -> DataFrame:
+    def attach(self, rows: DataFrame, row_id: str) -> DataFrame:
+        """Rows whose `term` is known, with its `idf`; frequent terms cannot skew this."""
         weights = self.terms.select("term", "idf")
-        return F.broadcast(weights) if self.n_terms <= BROADCAST_TERMS else weights
+        if self.n_terms <= BROADCAST_TERMS:
+            return rows.join(F.broadcast(weights), "term")
+        return tiled_join(settle(rows), weights, ["term"], row_id, "term")
 
 
 def document_frequencies(texts: DataFrame, *columns: Column) -> DataFrame:
@@ -74,7 +78,7 @@ def pair_cosine(pairs: DataFrame, key: str, idf: Idf) -> DataFrame:
     counts = words.groupBy(key, "term").agg(
         F.sum(is_a).alias("tf_a"), F.sum(1 - is_a).alias("tf_b")
     )
-    weighted = counts.join(idf.lookup(), "term").select(
+    weighted = idf.attach(counts, key).select(
         key, (F.col("tf_a") * F.col("idf")).alias("a"), (F.col("tf_b") * F.col("idf")).alias("b")
     )
     a, b = F.col("a"), F.col("b")
@@ -95,7 +99,7 @@ def profiles(names: DataFrame, keys: list[str], idf: Idf) -> DataFrame:
     """
     words = names.select(*keys, F.explode(tokens(F.col("norm"))).alias("term"))
     counts = words.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    weighted = counts.join(idf.lookup(), "term").select(
+    weighted = idf.attach(counts, "norm").select(
         *keys,
         (F.col("tf") * F.col("idf")).alias("w"),
         F.struct((-F.col("idf")).alias("order"), "term").alias("ranked"),

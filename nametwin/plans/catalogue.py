@@ -18,6 +18,7 @@ from nametwin.plans import monitoring
 from nametwin.plans.matching import Matched, match_by_rule, match_catalogs, match_entries
 from nametwin.plans.model import run_model, split_counts
 from nametwin.plans.training import Trained, quality_gate, train
+from nametwin.plans.tuning import best_params
 from nametwin.sources import registry, tables
 from nametwin.sources.requests import parse_requests
 from nametwin.sources.synthetic import draw_pairs
@@ -364,6 +365,39 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("version", F.lit(version))
 
 
+def published_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Two published runs read back from the store, the better one marked."""
+    store = scratch_folder(spark)
+    trained = _part_model(spark, folder)
+    for _ in range(2):
+        registry.publish(spark, store, trained, QUICK)
+    best = registry.best_version(spark, store)
+    runs = registry.manifest(spark, store).join(registry.metrics(spark, store), "run_id")
+    return runs.select("version", (F.col("version") == best).alias("is_best"), "metric", "value")
+
+
+def tuning_trials(spark: SparkSession, folder: str) -> DataFrame:
+    """Two steps of the search at two rounds each: setting and validation log loss."""
+    steps = (("max_depth", (5, 3)), ("subsampling_rate", (1.0, 0.8)))
+    _, trials = best_params(tables.part_pairs(spark, folder), QUICK, rounds=2, steps=steps)
+    return spark.createDataFrame(trials, "setting string, log_loss double")
+
+
+def model_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Accepted pairs outside the box the trees imply; there must be none."""
+    matcher = _part_model(spark, folder).matcher
+    b = matcher.bounds
+    scored = run_model(deduplicate(tables.part_pairs(spark, folder)), "pair_id", matcher)
+    outside = (
+        (F.col("cosine_similarity") < b.min_cosine)
+        | (F.col("levenshtein_distance") > b.max_levenshtein)
+        | (F.col("jaro_winkler_similarity") < b.min_jaro_winkler)
+    )
+    return scored.filter("decision").agg(
+        F.count("*").alias("n_accepted"), F.count_if(outside).alias("n_outside")
+    )
+
+
 def match_by_model(spark: SparkSession, folder: str) -> DataFrame:
     """Flagship: every brand's two catalogs matched by the trained model."""
     matcher = _part_model(spark, folder).matcher
@@ -403,6 +437,7 @@ QUERIES = {
         tp_examples, tn_examples, sample_matching,
         name_drift, unseen_terms, accuracy_by_day,
         train_and_score, feature_importance, quality_report, model_roundtrip,
+        published_metrics, tuning_trials, model_bounds,
         match_by_model, reply_by_model, stream_match,
     )
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
+from nametwin.operators import tfidf
 from nametwin.operators.features import feature_table
 from nametwin.operators.split import assign_by_hash, deduplicate, part_sizes, split
 from nametwin.operators.tfidf import fit_idf, profiles
+from nametwin.operators.tiling import tiled_join
 from nametwin.sources import synthetic
 from nametwin.sources.synthetic import draw_pairs, labelled_pairs
 from tests import brute
@@ -152,6 +156,16 @@ def test_profiles_have_unit_length_and_rare_terms_first(spark):
     assert sum(w * w for w in got["room suite room"]["profile"].values()) == pytest.approx(1.0)
 
 
+def test_a_large_vocabulary_is_joined_by_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEXTS * 9)], "k int, A string, B string")
+    model = fit_idf(rows, F.col("A"), F.col("B"))
+    expected = feature_table(rows, "k", model).orderBy("k").collect()
+    monkeypatch.setattr(tfidf, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(tfidf, "tiled_join", partial(tiled_join, tile_rows=4, max_hot_keys=2))
+    got = feature_table(rows, "k", model).orderBy("k").collect()
+    assert [r["cosine_similarity"] for r in got] == pytest.approx([r["cosine_similarity"] for r in expected])
+
+
 def test_fit_needs_a_vocabulary(spark):
     with pytest.raises(ValueError):
         fit_idf(spark.createDataFrame([("a b",)], "t string"), F.col("t"))
