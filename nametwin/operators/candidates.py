@@ -1,9 +1,9 @@
 """Name pairs a decision could accept, found without building the product.
 
 A decision states necessary conditions (`Bounds`) that every pair it accepts
-meets. When they demand some cosine above zero, an accepted pair shares a word,
-and a weight bound says which words are enough to look at. That finds every
-acceptable pair: it is an index, not a sampling heuristic.
+meets. A pair above a cosine bound shares a word, and a weight bound says which
+words are enough to look at: an exact index, not a sampling heuristic. Pairs
+below it, if the decision accepts any, are found by comparing names in tiles.
 """
 
 from __future__ import annotations
@@ -13,7 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nametwin.functions.similarity import jaro_winkler, levenshtein, sparse_dot
+from nametwin.functions.similarity import (
+    character_signature,
+    common_characters_at_most,
+    jaro_winkler,
+    jaro_winkler_at_most,
+    levenshtein,
+    levenshtein_at_least,
+    sparse_dot,
+)
 from nametwin.operators.catalog import REFERENCE, SUPPLIER
 from nametwin.operators.keep import settle
 from nametwin.operators.tfidf import Idf, profiles
@@ -23,13 +31,36 @@ COMPARE_TILE_ROWS = 2_000  # every pair of a compared tile is scored, so keep ti
 _SLACK = 1e-9  # room for rounding, so a pair exactly on a bound is kept
 
 
+@dataclass(frozen=True)
+class Box:
+    max_levenshtein: float = float("inf")
+    min_jaro_winkler: float = 0.0
+
+    @property
+    def open(self) -> bool:
+        return self == Box()
+
+    def holds(self) -> Column:
+        near = F.col("levenshtein_distance") <= F.lit(self.max_levenshtein)
+        return near & (F.col("jaro_winkler_similarity") >= self.min_jaro_winkler - _SLACK)
+
+
 @dataclass(frozen=True)
 class Bounds:
-    """No accepted pair has a smaller cosine, a larger distance or a smaller Jaro-Winkler."""
+    """What every accepted pair meets.
+
+    With a cosine of `min_cosine` or more it lies in `above`; with a smaller one
+    in `below`, and None says no such pair is accepted.
+    """
 
     min_cosine: float = 0.0
-    max_levenshtein: float = float("inf")
-    min_jaro_winkler: float = 0.0
+    above: Box = Box()
+    below: Box | None = None
+
+    def holds(self) -> Column:
+        words = F.col("cosine_similarity") >= self.min_cosine - _SLACK
+        wordless = self.below.holds() if self.below else F.lit(False)
+        return (words & self.above.holds()) | (~words & wordless)
 
 
 def prefix_terms(terms: Column, profile: Column, min_cosine: float) -> Column:
@@ -61,12 +92,17 @@ def _side(names: DataFrame, side: str, columns: list[str]) -> DataFrame:
     )
 
 
-def _lengths_fit(bounds: Bounds) -> Column:
+def _lengths_fit(box: Box) -> Column:
     """Edit distance is at least the difference of the lengths."""
-    if bounds.max_levenshtein == float("inf"):
-        return F.lit(True)
-    gap = F.abs(F.length("A_norm") - F.length("B_norm"))
-    return gap <= bounds.max_levenshtein
+    return F.abs(F.length("A_norm") - F.length("B_norm")) <= F.lit(box.max_levenshtein)
+
+
+def _characters_fit(box: Box) -> Column:
+    """Keeps every pair in the box; a few machine instructions per pair."""
+    a, b = F.col("A_norm"), F.col("B_norm")
+    common = common_characters_at_most(a, b, F.col("A_signature"), F.col("B_signature"))
+    near = levenshtein_at_least(a, b, common) <= F.lit(box.max_levenshtein)
+    return near & (jaro_winkler_at_most(a, b, common) >= box.min_jaro_winkler - _SLACK)
 
 
 def sharing_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -89,7 +125,7 @@ def sharing_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = T
     met = tiled_join(a, b, ["request_id", "term"], "A_norm", "B_norm", tile_rows)
     first = F.get(F.array_intersect("A_prefix", "B_prefix"), F.lit(0)) == F.col("term")
     return (
-        met.filter(first & _lengths_fit(bounds))
+        met.filter(first & _lengths_fit(bounds.above))
         .select(
             "request_id",
             "A_norm",
@@ -100,22 +136,31 @@ def sharing_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = T
     )
 
 
-def compared_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """The same columns for decisions that also accept names without a common word.
+def compared_names(names: DataFrame, idf: Idf, box: Box, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The same columns for pairs in the box, whether or not they share a word.
 
-    Then no index is exact, so a request's distinct names are compared tile by
-    tile: each task holds a tile of either side, pairs that fail a bound die in
-    the task that made them and none is shuffled.
+    No word index is exact here, so a request's distinct names are compared tile
+    by tile: each task holds a tile of either side, and pairs whose characters
+    rule the box out die inside the join. None is shuffled.
     """
     weighed = names.select("request_id", "side", "norm").join(
         profiles(names, ["request_id", "side", "norm"], idf), ["request_id", "side", "norm"], "left"
     )
     no_terms = F.create_map().cast("map<string,double>")
-    ready = settle(weighed.withColumn("profile", F.coalesce("profile", no_terms)))
-    a, b = (_side(ready, side, ["norm", "profile"]) for side in (REFERENCE, SUPPLIER))
+    ready = settle(
+        weighed.withColumns(
+            {
+                "profile": F.coalesce("profile", no_terms),
+                "signature": character_signature(F.col("norm")),
+            }
+        )
+    )
+    a, b = (_side(ready, side, ["norm", "profile", "signature"]) for side in (REFERENCE, SUPPLIER))
     tile = min(tile_rows, COMPARE_TILE_ROWS)
     met = tiled_join(a, b, ["request_id"], "A_norm", "B_norm", tile)
-    return met.filter(_lengths_fit(bounds)).select(
+    if not box.open:
+        met = met.filter(_characters_fit(box))
+    return met.select(
         "request_id",
         "A_norm",
         "B_norm",
@@ -123,19 +168,24 @@ def compared_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int =
     )
 
 
-def acceptable_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Name pairs within the bounds, with all three features.
-
-    Cheap features filter first: Levenshtein is computed on pairs that passed
-    the cosine bound, Jaro-Winkler on those that passed both.
-    """
-    find = sharing_names if bounds.min_cosine > 0 else compared_names
-    pairs = find(names, idf, bounds, tile_rows).withColumn(
+def _with_distances(pairs: DataFrame, box: Box) -> DataFrame:
+    """Levenshtein on all pairs, Jaro-Winkler on those it leaves."""
+    pairs = pairs.withColumn(
         "levenshtein_distance", levenshtein(F.col("A_norm"), F.col("B_norm"))
+    ).filter(F.col("levenshtein_distance") <= F.lit(box.max_levenshtein))
+    return pairs.withColumn("jaro_winkler_similarity", jaro_winkler("A_norm", "B_norm")).filter(
+        box.holds()
+    )
+
+
+def acceptable_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """All name pairs within the bounds, with the three features."""
+    if bounds.min_cosine <= 0:
+        return _with_distances(compared_names(names, idf, bounds.above, tile_rows), bounds.above)
+    pairs = _with_distances(sharing_names(names, idf, bounds, tile_rows), bounds.above)
+    if bounds.below is None:
+        return pairs
+    rest = compared_names(names, idf, bounds.below, tile_rows).filter(
+        F.col("cosine_similarity") < bounds.min_cosine - _SLACK
     )
-    if bounds.max_levenshtein != float("inf"):
-        pairs = pairs.filter(F.col("levenshtein_distance") <= bounds.max_levenshtein)
-    pairs = pairs.withColumn("jaro_winkler_similarity", jaro_winkler("A_norm", "B_norm"))
-    if bounds.min_jaro_winkler > 0:
-        pairs = pairs.filter(F.col("jaro_winkler_similarity") >= bounds.min_jaro_winkler - _SLACK)
-    return pairs
+    return pairs.unionByName(_with_distances(rest, bounds.below))

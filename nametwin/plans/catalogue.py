@@ -9,7 +9,7 @@ from nametwin.config import BoostParams, Settings
 from nametwin.functions.similarity import dense_cosine, jaro_winkler, levenshtein
 from nametwin.functions.text import is_valid, normalize, tokens
 from nametwin.operators import catalog, mapping, metrics
-from nametwin.operators.candidates import Bounds
+from nametwin.operators.candidates import Bounds, Box
 from nametwin.operators.features import feature_table, normalize_pairs
 from nametwin.operators.keep import scratch_folder
 from nametwin.operators.split import assign_by_hash, assign_exact, deduplicate
@@ -26,7 +26,7 @@ from nametwin.streaming.job import start_matching
 
 # The fixed rule of the rule_* queries and the bounds it implies.
 RULE_COSINE, RULE_WINKLER = 0.8, 0.6
-RULE_BOUNDS = Bounds(min_cosine=RULE_COSINE, min_jaro_winkler=RULE_WINKLER)
+RULE_BOUNDS = Bounds(RULE_COSINE, Box(min_jaro_winkler=RULE_WINKLER))
 # Few rounds: each round is a handful of short jobs whatever the data size.
 QUICK = Settings(boost=BoostParams(max_iter=5))
 
@@ -386,15 +386,10 @@ def tuning_trials(spark: SparkSession, folder: str) -> DataFrame:
 def model_bounds(spark: SparkSession, folder: str) -> DataFrame:
     """Accepted pairs outside the box the trees imply; there must be none."""
     matcher = _part_model(spark, folder).matcher
-    b = matcher.bounds
     scored = run_model(deduplicate(tables.part_pairs(spark, folder)), "pair_id", matcher)
-    outside = (
-        (F.col("cosine_similarity") < b.min_cosine)
-        | (F.col("levenshtein_distance") > b.max_levenshtein)
-        | (F.col("jaro_winkler_similarity") < b.min_jaro_winkler)
-    )
     return scored.filter("decision").agg(
-        F.count("*").alias("n_accepted"), F.count_if(outside).alias("n_outside")
+        F.count("*").alias("n_accepted"),
+        F.count_if(~matcher.bounds.holds()).alias("n_outside"),
     )
 
 

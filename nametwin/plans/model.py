@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nametwin.config import DECISION, FEATURES, PROBA, TARGET, BoostParams
-from nametwin.operators.candidates import Bounds
+from nametwin.operators.candidates import Bounds, Box
 from nametwin.operators.features import feature_table
 from nametwin.operators.keep import keep, use_checkpoint_folder
 from nametwin.operators.metrics import take_decision
 from nametwin.operators.tfidf import Idf
 
+NOTHING = Box(max_levenshtein=-1.0)  # no pair has a negative distance
 FIT_ROWS_PER_PARTITION = 100_000
 
 
@@ -102,11 +103,11 @@ def split_counts(spark: SparkSession, pipeline: PipelineModel) -> DataFrame:
 
 
 def acceptance_bounds(spark: SparkSession, pipeline: PipelineModel, threshold: float) -> Bounds:
-    """The box of feature values outside of which the model never accepts.
+    """The boxes of feature values outside of which the model never accepts.
 
     Trees are constant between their cuts, so one point per grid cell covers
     every possible pair. The grid has at most max_bins values per feature; it is
-    laid out and scored as a distributed range and only the corner comes back.
+    laid out and scored as a distributed range and only the corners come back.
     """
     cuts = {i: sorted({c for f, c in _splits(pipeline) if f == i}) for i in range(len(FEATURES))}
     low = {i: [float("-inf"), *c] for i, c in cuts.items()}
@@ -127,9 +128,21 @@ def acceptance_bounds(spark: SparkSession, pipeline: PipelineModel, threshold: f
         at(low[2], position[2]).alias("winkler_from"),
     )
     accepted = add_probability(cells, pipeline).filter(take_decision(F.col(PROBA), threshold))
-    cosine, distance, winkler = accepted.agg(
-        F.min("cosine_from"), F.max("distance_to"), F.min("winkler_from")
-    ).first()
-    if cosine is None:
-        return Bounds(min_cosine=2.0)  # accepts nothing; no cosine gets there
-    return Bounds(max(0.0, cosine), distance, max(0.0, winkler))
+    # the lowest cosine cell holds the pairs without a common word
+    corners = accepted.groupBy((F.col("cosine_from") == float("-inf")).alias("wordless")).agg(
+        F.min("cosine_from").alias("cosine"),
+        F.max("distance_to").alias("distance"),
+        F.greatest(F.min("winkler_from"), F.lit(0.0)).alias("winkler"),
+    )
+    found = {r["wordless"]: r for r in corners.collect()}  # two rows at most
+    box = {k: Box(r["distance"], r["winkler"]) for k, r in found.items()}
+    if False not in found:
+        # nothing is accepted above any cosine a pair can have
+        return Bounds(2.0, below=box.get(True)) if cuts[0] else Bounds(0.0, box.get(True, NOTHING))
+    cosine = found[False]["cosine"]
+    if cosine <= 0:
+        boxes = box.values()
+        return Bounds(
+            0.0, Box(max(b.max_levenshtein for b in boxes), min(b.min_jaro_winkler for b in boxes))
+        )
+    return Bounds(cosine, box[False], box.get(True))

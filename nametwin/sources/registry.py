@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nametwin.config import Settings
-from nametwin.operators.candidates import Bounds
+from nametwin.operators.candidates import Bounds, Box
 from nametwin.operators.tfidf import Idf
 from nametwin.plans.model import Matcher
 from nametwin.plans.training import Trained
 
 _META = (
     "threshold double, n_docs long, n_terms long, "
-    "min_cosine double, max_levenshtein double, min_jaro_winkler double"
+    "min_cosine double, max_levenshtein double, min_jaro_winkler double, "
+    "below_levenshtein double, below_jaro_winkler double"
 )
 
 
@@ -81,7 +82,9 @@ def publish(
     meta = [
         (
             matcher.threshold, matcher.idf.n_docs, matcher.idf.n_terms,
-            b.min_cosine, b.max_levenshtein, b.min_jaro_winkler,
+            b.min_cosine, b.above.max_levenshtein, b.above.min_jaro_winkler,
+            b.below.max_levenshtein if b.below else None,
+            b.below.min_jaro_winkler if b.below else None,
         )
     ]
     spark.createDataFrame(meta, _META).coalesce(1).write.parquet(f"{path}/meta")
@@ -105,10 +108,14 @@ def load(spark: SparkSession, folder: str, version: int | None = None) -> Matche
         raise LookupError(f"no model published in {folder}")
     path = manifest(spark, folder).filter(F.col("version") == version).first()["path"]
     meta = spark.read.schema(_META).parquet(f"{path}/meta").first()
+    above = Box(meta["max_levenshtein"], meta["min_jaro_winkler"])
+    below = None
+    if meta["below_levenshtein"] is not None:
+        below = Box(meta["below_levenshtein"], meta["below_jaro_winkler"])
     terms = spark.read.parquet(f"{path}/idf")
     return Matcher(
         PipelineModel.load(f"{path}/pipeline"),
         Idf(terms, meta["n_docs"], meta["n_terms"]),
         meta["threshold"],
-        Bounds(meta["min_cosine"], meta["max_levenshtein"], meta["min_jaro_winkler"]),
+        Bounds(meta["min_cosine"], above, below),
     )

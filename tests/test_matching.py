@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nametwin.operators import catalog, mapping
-from nametwin.operators.candidates import Bounds, acceptable_names, compared_names, sharing_names
+from nametwin.operators.candidates import Bounds, Box, acceptable_names, compared_names, sharing_names
 from nametwin.operators.tfidf import fit_idf
 from nametwin.operators.tiling import tiled_join
 from nametwin.plans.matching import Matched
@@ -48,7 +48,7 @@ def everything(entries):
     """All usable pairs: what a decision that accepts anything must return."""
     names = catalog.distinct_names(catalog.usable(entries))
     idf = fit_idf(names, F.col("norm"))
-    return Matched(catalog.usable(entries), names, compared_names(names, idf, Bounds()))
+    return Matched(catalog.usable(entries), names, compared_names(names, idf, Box()))
 
 
 def test_candidate_counts(spark):
@@ -109,7 +109,7 @@ def test_tile_comparison_is_the_whole_product(spark, tile_rows):
     entries = spark.createDataFrame(rows, "request_id string, side string, pos long, name string")
     names = catalog.distinct_names(catalog.usable(entries))
     idf = fit_idf(names, F.col("norm"))
-    found = compared_names(names, idf, Bounds(), tile_rows).collect()
+    found = compared_names(names, idf, Box(), tile_rows).collect()
     keys = [(r["request_id"], r["A_norm"], r["B_norm"]) for r in found]
     assert len(keys) == len(set(keys))
     distinct = {(r, s): {n for q, t, _, n in rows if (q, t) == (r, s)} for r in ("hot", "cold") for s in "AB"}
@@ -121,13 +121,24 @@ def test_other_bounds_only_remove_what_they_must(spark):
     entries = spark.createDataFrame(rows, "request_id string, side string, pos long, name string")
     names = catalog.distinct_names(catalog.usable(entries))
     idf = fit_idf(names, F.col("norm"))
-    bounds = Bounds(min_cosine=0.0, max_levenshtein=6.0, min_jaro_winkler=0.6)
-    got = acceptable_names(names, idf, bounds)
-    whole = acceptable_names(names, idf, Bounds()).filter(
-        "levenshtein_distance <= 6 and jaro_winkler_similarity >= 0.6"
-    )
-    key = ["request_id", "A_norm", "B_norm"]
-    assert sorted(got.select(key).collect()) == sorted(whole.select(key).collect())
+    whole = acceptable_names(names, idf, Bounds()).collect()
+    assert len(whole) == compared_names(names, idf, Box()).count()
+    tight, loose = Box(4.0, 0.75), Box(12.0, 0.5)
+    for bounds in (
+        Bounds(0.0, Box(6.0, 0.6)), Bounds(0.0, Box(min_jaro_winkler=0.72)), Bounds(0.0, Box(3.0)),
+        Bounds(0.3, loose, tight), Bounds(0.3, Box(), Box()), Bounds(2.0, below=loose), Bounds(2.0),
+    ):
+        got = acceptable_names(names, idf, bounds).collect()
+
+        def inside(r, b=bounds):
+            box = b.above if r["cosine_similarity"] >= b.min_cosine - 1e-9 else b.below
+            return (
+                box is not None
+                and r["levenshtein_distance"] <= box.max_levenshtein
+                and r["jaro_winkler_similarity"] >= box.min_jaro_winkler
+            )
+
+        assert sorted(map(str, got)) == sorted(str(r) for r in whole if inside(r)), bounds
 
 
 @pytest.mark.parametrize("max_hot_keys", [1, 2, 500_000])
