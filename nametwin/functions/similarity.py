@@ -109,59 +109,6 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(jaro_winkler_arrays(a.fillna("").tolist(), b.fillna("").tolist()))
 
 
-def character_signature(text: Column) -> Column:
-    """128 bits of a text's characters: one bit per (character, n-th occurrence), hashed."""
-    chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    times = lambda c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
-    bits = F.flatten(
-        F.transform(
-            chars,
-            lambda c: F.transform(
-                F.sequence(F.lit(1), times(c)), lambda n: F.pmod(F.xxhash64(c, n), F.lit(128)).cast("int")
-            ),
-        )
-    )
-
-    def word(offset: int) -> Column:
-        def add(acc: Column, bit: Column) -> Column:
-            here = (bit >= offset) & (bit < offset + 64)
-            # `<<` with the shift in a column
-            shifted = F.call_function("shiftleft", F.lit(1).cast("long"), bit - offset)
-            return F.when(here, acc.bitwiseOR(shifted)).otherwise(acc)
-
-        return F.aggregate(bits, F.lit(0).cast("long"), add)
-
-    return F.struct(word(0).alias("lo"), word(64).alias("hi"))
-
-
-def common_characters_at_most(a: Column, b: Column, a_sig: Column, b_sig: Column) -> Column:
-    """Upper bound of the size of the common character multiset.
-
-    A bit of one side that the other lacks stands for at least one occurrence the
-    other lacks, collisions or not.
-    """
-
-    def lacking(x: Column, y: Column) -> Column:
-        return sum(
-            (F.bit_count(x[w].bitwiseAND(F.bitwise_not(y[w]))) for w in ("lo", "hi")), F.lit(0)
-        )
-
-    return F.least(F.length(a) - lacking(a_sig, b_sig), F.length(b) - lacking(b_sig, a_sig))
-
-
-def levenshtein_at_least(a: Column, b: Column, common: Column) -> Column:
-    """Every character of the longer text beyond the common ones costs an edit."""
-    return F.greatest(F.length(a), F.length(b)) - common
-
-
-def jaro_winkler_at_most(a: Column, b: Column, common: Column) -> Column:
-    """Jaro-Winkler if all common characters matched in order."""
-    la, lb = F.greatest(F.length(a), F.lit(1)), F.greatest(F.length(b), F.lit(1))
-    plain = F.when(common > 0, (common / la + common / lb + 1.0) / 3.0).otherwise(0.0)
-    boosted = F.when(F.substring(a, 1, 1) == F.substring(b, 1, 1), plain + 0.4 * (1.0 - plain))
-    return F.greatest(plain, F.coalesce(boosted, plain))
-
-
 def sparse_dot(a: Column, b: Column) -> Column:
     """Dot product of two term-to-weight maps; terms on one side only add 0."""
     return F.aggregate(

@@ -13,15 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nametwin.functions.similarity import (
-    character_signature,
-    common_characters_at_most,
-    jaro_winkler,
-    jaro_winkler_at_most,
-    levenshtein,
-    levenshtein_at_least,
-    sparse_dot,
-)
+from nametwin.functions.similarity import jaro_winkler, levenshtein, sparse_dot
 from nametwin.operators.catalog import REFERENCE, SUPPLIER
 from nametwin.operators.keep import settle
 from nametwin.operators.tfidf import Idf, profiles
@@ -36,10 +28,6 @@ class Box:
     max_levenshtein: float = float("inf")
     min_jaro_winkler: float = 0.0
 
-    @property
-    def open(self) -> bool:
-        return self == Box()
-
     def holds(self) -> Column:
         near = F.col("levenshtein_distance") <= F.lit(self.max_levenshtein)
         return near & (F.col("jaro_winkler_similarity") >= self.min_jaro_winkler - _SLACK)
@@ -97,14 +85,6 @@ def _lengths_fit(box: Box) -> Column:
     return F.abs(F.length("A_norm") - F.length("B_norm")) <= F.lit(box.max_levenshtein)
 
 
-def _characters_fit(box: Box) -> Column:
-    """Keeps every pair in the box; a few machine instructions per pair."""
-    a, b = F.col("A_norm"), F.col("B_norm")
-    common = common_characters_at_most(a, b, F.col("A_signature"), F.col("B_signature"))
-    near = levenshtein_at_least(a, b, common) <= F.lit(box.max_levenshtein)
-    return near & (jaro_winkler_at_most(a, b, common) >= box.min_jaro_winkler - _SLACK)
-
-
 def sharing_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(request_id, A_norm, B_norm, cosine_similarity) with cosine >= bounds.min_cosine > 0.
 
@@ -140,27 +120,18 @@ def compared_names(names: DataFrame, idf: Idf, box: Box, tile_rows: int = TILE_R
     """The same columns for pairs in the box, whether or not they share a word.
 
     No word index is exact here, so a request's distinct names are compared tile
-    by tile: each task holds a tile of either side, and pairs whose characters
-    rule the box out die inside the join. None is shuffled.
+    by tile: each task holds a tile of either side, and pairs that fail a bound
+    die in the task that made them. None is shuffled.
     """
     weighed = names.select("request_id", "side", "norm").join(
         profiles(names, ["request_id", "side", "norm"], idf), ["request_id", "side", "norm"], "left"
     )
     no_terms = F.create_map().cast("map<string,double>")
-    ready = settle(
-        weighed.withColumns(
-            {
-                "profile": F.coalesce("profile", no_terms),
-                "signature": character_signature(F.col("norm")),
-            }
-        )
-    )
-    a, b = (_side(ready, side, ["norm", "profile", "signature"]) for side in (REFERENCE, SUPPLIER))
+    ready = settle(weighed.withColumn("profile", F.coalesce("profile", no_terms)))
+    a, b = (_side(ready, side, ["norm", "profile"]) for side in (REFERENCE, SUPPLIER))
     tile = min(tile_rows, COMPARE_TILE_ROWS)
     met = tiled_join(a, b, ["request_id"], "A_norm", "B_norm", tile)
-    if not box.open:
-        met = met.filter(_characters_fit(box))
-    return met.select(
+    return met.filter(_lengths_fit(box)).select(
         "request_id",
         "A_norm",
         "B_norm",
