@@ -22,13 +22,20 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """`docs` with `_file` and `_row`, where a row lies; written out first if it lies nowhere."""
-    place = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+def located(rows: DataFrame) -> DataFrame:
+    """(row, file, at): each row as a struct, and where it lies; written out first if it lies nowhere."""
+
+    def placed(frame: DataFrame) -> DataFrame:
+        return frame.select(
+            F.struct(*[frame[c] for c in frame.columns]).alias("row"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.row_index").alias("at"),
+        )
+
     try:
-        return docs.withColumns(place)
+        return placed(rows)
     except AnalysisException:
-        return settle(docs).withColumns(place)
+        return placed(settle(rows))
 
 
 def running(

@@ -39,15 +39,15 @@ def digest_of(text: Column, bits: int = 256) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, bits // 8)
 
 
-def arrivals(docs: DataFrame, bits: int = 256) -> DataFrame:
-    """(digest, doc_id, n_chars, file, row) of each row of a batch or a stream with `_file`, `_row`."""
-    text = F.col("text").cast("string")
-    return docs.select(
+def arrivals(placed: DataFrame, bits: int = 256) -> DataFrame:
+    """(digest, doc_id, n_chars, file, at) of each row of a batch or a stream from `located`."""
+    text = F.col("row.text").cast("string")
+    return placed.select(
         digest_of(normalised(text), bits).alias("digest"),
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("row.doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.length(text), F.lit(0)).alias("n_chars"),
-        F.col("_file").alias("file"),
-        F.col("_row").alias("row"),
+        "file",
+        "at",
     )
 
 
@@ -58,8 +58,8 @@ def best() -> Column:
             (-F.col("n_chars")).alias("less"),
             F.col("doc_id").isNull().alias("unnamed"),
             F.col("doc_id").alias("id"),
-            F.col("file").alias("at_file"),
-            F.col("row").alias("at_row"),
+            F.col("file").alias("in_file"),
+            F.col("at").alias("in_row"),
         )
     )
 
@@ -110,53 +110,50 @@ def held(spark: SparkSession, state: str) -> DataFrame:
     )
 
 
-def collided(docs: DataFrame, groups: DataFrame, bits: int = 256) -> DataFrame:
+def collided(placed: DataFrame, bits: int = 256) -> DataFrame:
     """Digests of more than one text, by comparing full bytes of all that share one."""
-    text = normalised(F.col("text").cast("string"))
-    texts = docs.select(digest_of(text, bits).alias("digest"), text.alias("t"))
+    text = normalised(F.col("row.text").cast("string"))
+    texts = placed.select(digest_of(text, bits).alias("digest"), text.alias("t"))
     ends = texts.groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     return ends.filter("a <> b").select("digest")
 
 
-def dedup_groups(docs: DataFrame, bits: int = 256) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest, file, row): a row for each row of `docs`."""
-    spark = docs.sparkSession
-    placed = located(docs)
+def _groups(placed: DataFrame, bits: int) -> DataFrame:
+    """(digest, doc_id, n_chars, file, at, n, best) of every row."""
+    spark = placed.sparkSession
     base = scratch_folder(spark)
     taken, state = f"{base}/arrivals", f"{base}/state"
     batch = arrivals(placed, bits)
     batch.write.parquet(taken)
     rows = spark.read.schema(batch.schema).parquet(taken)
-    stream = (
-        spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(taken)
-    )
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(taken)
     feed(stream, state)
     groups = settle(held(spark, state))
-    hit = settle(collided(placed, groups, bits))
-    again = not hit.isEmpty()
-    joined = rows.join(groups, "digest")
-    if again:  # rows of a collided digest are grouped by their text
-        text = normalised(F.col("text").cast("string"))
-        texts = placed.withColumn("digest", digest_of(text, bits)).join(hit, "digest")
-        own = texts.select("digest", text.alias("t"), F.col("_file").alias("file"), F.col("_row").alias("row"))
-        apart = rows.join(own, ["digest", "file", "row"])
-        by_text = apart.groupBy("digest", "t").agg(F.count(F.lit(1)).alias("n"), best().alias("best"))
-        whole = apart.join(by_text, ["digest", "t"]).drop("t")
-        joined = joined.join(hit, "digest", "left_anti").unionByName(whole)
-    kept = (F.col("file") == F.col("best.at_file")) & (F.col("row") == F.col("best.at_row"))
-    return joined.select(
-        "doc_id",
-        F.col("best.id").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        kept.alias("kept"),
-        "digest",
-        "file",
-        "row",
+    hit = settle(collided(placed, bits))
+    if hit.isEmpty():
+        return rows.join(groups, "digest")
+    # rows of a collided digest are grouped by their text
+    text = normalised(F.col("row.text").cast("string"))
+    own = placed.select(digest_of(text, bits).alias("digest"), text.alias("t"), "file", "at").join(hit, "digest")
+    apart = rows.join(own, ["digest", "file", "at"])
+    by_text = apart.groupBy("digest", "t").agg(F.count(F.lit(1)).alias("n"), best().alias("best"))
+    whole = apart.join(by_text, ["digest", "t"]).drop("t")
+    return rows.join(hit, "digest", "left_anti").join(groups, "digest").unionByName(whole)
+
+
+def _kept() -> Column:
+    return (F.col("file") == F.col("best.in_file")) & (F.col("at") == F.col("best.in_row"))
+
+
+def dedup_groups(docs: DataFrame, bits: int = 256) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, digest): a row for each row of `docs`."""
+    return _groups(located(docs), bits).select(
+        "doc_id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), _kept().alias("kept"), "digest"
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, bits: int = 256) -> DataFrame:
     """The rows of `docs` that stay."""
     placed = located(docs)
-    stay = dedup_groups(docs).filter("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return placed.join(stay, ["_file", "_row"], "left_semi").select(*docs.columns)
+    stay = _groups(placed, bits).filter(_kept()).select("file", "at")
+    return placed.join(stay, ["file", "at"], "left_semi").select("row.*")

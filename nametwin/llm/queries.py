@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nametwin.llm import op1_records, op2_dedup, op6_mixing, op9_packing
+from nametwin.llm import (
+    op1_records,
+    op2_dedup,
+    op3_embeddings,
+    op4_simhash,
+    op5_privacy,
+    op6_mixing,
+    op7_substrings,
+    op8_passages,
+    op9_packing,
+    op10_langid,
+)
 from nametwin.llm.common import table
 from nametwin.operators.keep import scratch_folder
 
@@ -29,19 +41,65 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings of a label at cosine 0.98."""
+    found = op3_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and their components at 4 bits."""
+    found = op4_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document and the terms that disclose it."""
+    return op5_privacy.report(op5_privacy.private_spans(table(spark, sf_dir, "documents")))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of each document."""
     return op6_mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without bytes of any 200-byte string that occurs twice."""
+    found = op7_substrings.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumn("kept_sha256", F.lower(F.hex("kept"))).drop("kept")
+
+
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without words of any 20-word window that occurs earlier."""
+    found = op8_passages.first_only(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumn("kept_sha256", F.lower(F.hex("kept"))).drop("kept")
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
     docs = table(spark, sf_dir, "documents")
     return op9_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return op10_langid.languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_records, op2_exact_dedup, op6_mix_sources, op9_pack_sequences)
-}
+    f.__name__: f
+    for f in (
+        op1_token_records,
+        op2_exact_dedup,
+        op3_embedding_dedup,
+        op4_simhash_dedup,
+        op5_private_spans,
+        op6_mix_sources,
+        op7_substring_dedup,
+        op8_passage_dedup,
+        op9_pack_sequences,
+        op10_language_id,
+    )
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {}
