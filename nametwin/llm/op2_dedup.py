@@ -26,7 +26,11 @@ from nametwin.llm.common import located
 from nametwin.operators.keep import scratch_folder, settle
 
 DELETED = " \t\n\x0b\x0c\r"  # fixed value
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {  # small stores by the hundred: no space set aside, changes saved rather than snapshots
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 FILES_A_BATCH = 1000
 
 
@@ -66,16 +70,17 @@ def best() -> Column:
 
 @contextmanager
 def _state_on_disk(spark: SparkSession) -> Iterator[None]:
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def feed(stream: DataFrame, state: str) -> None:
