@@ -67,7 +67,7 @@ def read_words(raw: bytes) -> Words:
     keep = ink.copy()
     keep[1:] |= ink[:-1]
     text = np.concatenate([[32], np.where(ink, data, 32)[keep], [32]]).astype(np.uint32)
-    if len(text) > 2 and text[-2] == 32:
+    if text[-2] == 32:
         text = text[:-1]
     border = text == 32
     starts = np.flatnonzero(border)[:-1]
