@@ -106,13 +106,19 @@ def schedule(owing: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return given.unionByName(missing)
 
 
+def shuffle_place(doc_id: Column, text: Column) -> Column:
+    """60 bits of the md5 of id and text, which SQL engines have too."""
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def sized_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, shuffle): a row a document, settled."""
     texts = docs.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")
     )
-    mark = F.xxhash64("doc_id", "text")
-    return settle(texts.select("doc_id", "source", words(F.col("text")).alias("size"), mark.alias("shuffle")))
+    place = shuffle_place(F.col("doc_id"), F.col("text"))
+    return settle(texts.select("doc_id", "source", words(F.col("text")).alias("size"), place.alias("shuffle")))
 
 
 def mix(sized: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -126,11 +132,7 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Da
     both = sized.join(owing, sized["source"].eqNullSafe(owing["source"])).select(
         "doc_id", sized["source"], "size", "shuffle", "sid", "source_size", "target", "owed"
     )
-    order = F.shiftrightunsigned("shuffle", 1)
-    placed = settle(
-        running(both.withColumn("_at", order), "sid", "_at", "size", "at", 63, ("shuffle", "doc_id"))
-        .drop("_at")
-    )
+    placed = settle(running(both, "sid", "shuffle", "size", "at", 60, ("doc_id",)))
     rounds = placed.filter("size > 0").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("round")
     )
@@ -175,7 +177,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     _, pieces = mix(sized_documents(docs))
     times = pieces.filter("first_word = 0").groupBy("doc_id", "shuffle").agg(F.count("*").alias("_times"))
-    marked = docs.withColumn("_shuffle", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    place = shuffle_place(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marked = docs.withColumn("_shuffle", place)
     distinct = marked.dropDuplicates(["doc_id", "_shuffle"])
     same = distinct["doc_id"].eqNullSafe(times["doc_id"]) & (distinct["_shuffle"] == times["shuffle"])
     return distinct.join(times.select("doc_id", "shuffle", "_times"), same).select(

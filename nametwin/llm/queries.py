@@ -1,4 +1,4 @@
-"""Registered queries of this folder and their SQL."""
+"""Registered queries of this folder."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ from nametwin.llm import (
     op10_langid,
 )
 from nametwin.llm.common import table
+from nametwin.llm.oracle import ORACLES
 from nametwin.operators.keep import scratch_folder
 
 
@@ -102,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
