@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from nametwin.functions.similarity import jaro_winkler, levenshtein, sparse_dot
 from nametwin.operators.catalog import REFERENCE, SUPPLIER
 from nametwin.operators.keep import settle
-from nametwin.operators.tfidf import Idf, profiles
+from nametwin.operators.tfidf import Idf, profiles, settled_cosine
 from nametwin.operators.tiling import TILE_ROWS, tiled_join
 
-COMPARE_TILE_ROWS = 2_000  # every pair of a compared tile is scored, so keep tiles small
+MAX_BANDED = 2.0**31  # a finite edit bound cuts the distance matrix to a band
 _SLACK = 1e-9  # room for rounding, so a pair exactly on a bound is kept
 
 
@@ -37,8 +37,9 @@ class Box:
 class Bounds:
     """What every accepted pair meets.
 
-    With a cosine of `min_cosine` or more it lies in `above`; with a smaller one
-    in `below`, and None says no such pair is accepted.
+    With a cosine of `min_cosine` or more it lies in `above`; with that or a
+    smaller one in `below`, and None says no such pair is accepted. A cut can lie
+    on a value that pairs have, so pairs within the slack of it may lie in either.
     """
 
     min_cosine: float = 0.0
@@ -46,9 +47,15 @@ class Bounds:
     below: Box | None = None
 
     def holds(self) -> Column:
-        words = F.col("cosine_similarity") >= self.min_cosine - _SLACK
-        wordless = self.below.holds() if self.below else F.lit(False)
-        return (words & self.above.holds()) | (~words & wordless)
+        return self.holds_above() | self.holds_below()
+
+    def holds_above(self) -> Column:
+        return (F.col("cosine_similarity") >= self.min_cosine - _SLACK) & self.above.holds()
+
+    def holds_below(self) -> Column:
+        if self.below is None:
+            return F.lit(False)
+        return (F.col("cosine_similarity") <= self.min_cosine + _SLACK) & self.below.holds()
 
 
 def prefix_terms(terms: Column, profile: Column, min_cosine: float) -> Column:
@@ -110,7 +117,7 @@ def sharing_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = T
             "request_id",
             "A_norm",
             "B_norm",
-            sparse_dot(F.col("A_profile"), F.col("B_profile")).alias("cosine_similarity"),
+            settled_cosine(sparse_dot(F.col("A_profile"), F.col("B_profile"))).alias("cosine_similarity"),
         )
         .filter(F.col("cosine_similarity") >= bounds.min_cosine - _SLACK)
     )
@@ -129,21 +136,24 @@ def compared_names(names: DataFrame, idf: Idf, box: Box, tile_rows: int = TILE_R
     no_terms = F.create_map().cast("map<string,double>")
     ready = settle(weighed.withColumn("profile", F.coalesce("profile", no_terms)))
     a, b = (_side(ready, side, ["norm", "profile"]) for side in (REFERENCE, SUPPLIER))
-    tile = min(tile_rows, COMPARE_TILE_ROWS)
-    met = tiled_join(a, b, ["request_id"], "A_norm", "B_norm", tile)
+    met = tiled_join(a, b, ["request_id"], "A_norm", "B_norm", tile_rows)
     return met.filter(_lengths_fit(box)).select(
         "request_id",
         "A_norm",
         "B_norm",
-        sparse_dot(F.col("A_profile"), F.col("B_profile")).alias("cosine_similarity"),
+        settled_cosine(sparse_dot(F.col("A_profile"), F.col("B_profile"))).alias("cosine_similarity"),
     )
 
 
 def _with_distances(pairs: DataFrame, box: Box) -> DataFrame:
-    """Levenshtein on all pairs, Jaro-Winkler on those it leaves."""
-    pairs = pairs.withColumn(
-        "levenshtein_distance", levenshtein(F.col("A_norm"), F.col("B_norm"))
-    ).filter(F.col("levenshtein_distance") <= F.lit(box.max_levenshtein))
+    """Levenshtein on all pairs, within the box's bound only; Jaro-Winkler on those it leaves."""
+    distance = levenshtein(F.col("A_norm"), F.col("B_norm"))
+    if box.max_levenshtein < MAX_BANDED:
+        near = F.levenshtein("A_norm", "B_norm", max(0, int(box.max_levenshtein)))
+        distance = F.when(near >= 0, near)
+    pairs = pairs.withColumn("levenshtein_distance", distance).filter(
+        F.col("levenshtein_distance") <= F.lit(box.max_levenshtein)
+    )
     return pairs.withColumn("jaro_winkler_similarity", jaro_winkler("A_norm", "B_norm")).filter(
         box.holds()
     )
@@ -157,6 +167,7 @@ def acceptable_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int
     if bounds.below is None:
         return pairs
     rest = compared_names(names, idf, bounds.below, tile_rows).filter(
-        F.col("cosine_similarity") < bounds.min_cosine - _SLACK
+        F.col("cosine_similarity") <= bounds.min_cosine + _SLACK
     )
-    return pairs.unionByName(_with_distances(rest, bounds.below))
+    # a pair on the cut that lies in both boxes is in the first part already
+    return pairs.unionByName(_with_distances(rest, bounds.below).filter(~bounds.holds_above()))

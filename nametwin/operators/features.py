@@ -8,29 +8,30 @@ from pyspark.sql import functions as F
 from nametwin.config import FEATURES
 from nametwin.functions.similarity import jaro_winkler, levenshtein
 from nametwin.functions.text import normalize
-from nametwin.operators.tfidf import Idf, pair_cosine
+from nametwin.operators.tfidf import Idf, pair_features
 
 
 def normalize_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"A_norm": normalize(F.col("A")), "B_norm": normalize(F.col("B"))})
 
 
-def feature_table(pairs: DataFrame, key: str, idf: Idf) -> DataFrame:
+def feature_table(pairs: DataFrame, key: str, idf: Idf, texts: bool = True) -> DataFrame:
     """Input columns plus the three features; `key` identifies a pair.
 
     Null names count as "". The frame comes back whole: a pair without common
-    terms has cosine 0.
+    terms has cosine 0. Without `texts`, A and B stay behind and are not shuffled
+    except as words. Both distances are taken where the pair is read.
     """
-    normed = normalize_pairs(pairs)
-    cosine = pair_cosine(normed, key, idf)
-    joined = normed.join(cosine, key, "left").select(
-        *pairs.columns,
-        F.coalesce("cosine_similarity", F.lit(0.0)).alias("cosine_similarity"),
-        levenshtein(F.col("A_norm"), F.col("B_norm")).alias("levenshtein_distance"),
-        jaro_winkler("A_norm", "B_norm").alias("jaro_winkler_similarity"),
-    )
-    check_features(joined)
-    return joined
+    kept = [c for c in pairs.columns if c != key and (texts or c not in ("A", "B"))]
+    carry = {c: F.col(c) for c in kept} | {
+        "levenshtein_distance": levenshtein(F.col("A_norm"), F.col("B_norm")),
+        "jaro_winkler_similarity": jaro_winkler("A_norm", "B_norm"),
+    }
+    found = pair_features(normalize_pairs(pairs), key, idf, carry)
+    columns = [c for c in pairs.columns if c == key or c in kept]
+    table = found.select(*columns, *FEATURES)
+    check_features(table)
+    return table
 
 
 def check_features(table: DataFrame) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,25 +12,38 @@ from contextvars import ContextVar
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+_told: set[str] = set()
+
 _scope: ContextVar[list[Callable[[], object]] | None] = ContextVar("kept", default=None)
 _local: list[tempfile.TemporaryDirectory] = []  # removed when the process ends
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder of spark.checkpoint.dir; a temporary one in a local session without it.
+    """The folder of spark.checkpoint.dir, or the one the context checkpoints to; in a
+    local session without either a temporary one.
 
     None on a cluster that names no folder: a machine's own disk is not shared.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
+        _tell(f"intermediates are written to {named}")
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
+        _tell("no spark.checkpoint.dir: intermediates are persisted, lost ones are computed again")
         return None
+    _tell("no spark.checkpoint.dir: a local session writes intermediates to a temporary folder")
     if not _local:
         _local.append(tempfile.TemporaryDirectory(prefix="nametwin-", ignore_cleanup_errors=True))
     return _local[0].name
 
 
+def _tell(mode: str) -> None:
+    if mode not in _told:
+        _told.add(mode)
+        log.info(mode)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh path that driver and executors share."""
     shared = shared_folder(spark)

@@ -10,12 +10,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nametwin.operators.keep import keep, settle
+from nametwin.operators.keep import settle
 
 GRID = 101  # thresholds 0.00, 0.01 .. 1.00
 QUANTILES = (0.25, 0.5, 0.75)
 RANGE_ROWS = 200_000  # distinct scores one range may hold
-MAX_RANGES = 10_000
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -29,7 +28,7 @@ def running_counts(scored: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
             F.count("*").alias("n"), F.count_if(F.col("match")).alias("tp")
         )
     )
-    n_ranges = min(MAX_RANGES, -(-by_score.count() // range_rows))
+    n_ranges = -(-by_score.count() // range_rows)
     if n_ranges > 1:
         # cuts at quantiles of the distinct scores, so ranges hold about equally many
         at = [i / n_ranges for i in range(1, n_ranges)]
@@ -38,7 +37,7 @@ def running_counts(scored: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
         by_score = Bucketizer(splits=splits, inputCol="proba", outputCol="range").transform(by_score)
     else:
         by_score = by_score.withColumn("range", F.lit(0.0))
-    # at most MAX_RANGES rows, so one task and a broadcast hold them
+    # one row for each range_rows distinct scores, so one task holds them
     above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         by_score.groupBy("range")
@@ -52,7 +51,7 @@ def running_counts(scored: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     inside = Window.partitionBy("range").orderBy(F.desc("proba")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return by_score.join(F.broadcast(offsets), "range").select(
+    return by_score.join(offsets, "range").select(
         "proba",
         "n",
         "tp",
@@ -105,15 +104,20 @@ def score_quantiles(curve: DataFrame) -> DataFrame:
     )
 
 
-def confusion_metrics(scored: DataFrame) -> DataFrame:
-    """One row: accuracy, precision and recall of `decision`; an empty denominator gives 0."""
+def confusion_columns() -> list[Column]:
+    """Accuracy, precision and recall of `decision`; an empty denominator gives 0."""
     hit, truth = F.col("decision"), F.col("match")
     both = F.count_if(hit & truth)
-    return scored.agg(
+    return [
         _ratio(F.count_if(hit == truth), F.count("*")).alias("accuracy_score"),
         _ratio(both, F.count_if(hit)).alias("precision_score"),
         _ratio(both, F.count_if(truth)).alias("recall_score"),
-    )
+    ]
+
+
+def confusion_metrics(scored: DataFrame) -> DataFrame:
+    """One row of `confusion_columns`."""
+    return scored.agg(*confusion_columns())
 
 
 def grid_index(proba: Column) -> Column:
@@ -170,7 +174,7 @@ def take_decision(proba: Column, threshold: float | None) -> Column:
 
 def evaluate(scored: DataFrame, min_average_precision: float) -> DataFrame:
     """(metric, value): five scores, three quantiles and `passed` (1.0 or 0.0)."""
-    curve = keep(running_counts(scored))
+    curve = settle(running_counts(scored))
     ap = average_precision(curve)
     gate = ap.select(
         F.lit("passed").alias("metric"),

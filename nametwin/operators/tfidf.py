@@ -11,23 +11,30 @@ from nametwin.functions.text import tokens
 from nametwin.operators.keep import settle
 from nametwin.operators.tiling import tiled_join
 
-# An idf table is broadcast only when it is counted to hold at most this many
-# terms (about 100 bytes each, so 100 MB at the limit); a larger one is shuffled.
-BROADCAST_TERMS = 1_000_000
+# An idf table is broadcast only when its terms, at TERM_BYTES beside their letters, are
+# counted to take at most this much; a larger one is shuffled.
+BROADCAST_BYTES = 100_000_000
+TERM_BYTES = 64
 
 
 @dataclass(frozen=True)
 class Idf:
-    """`terms` is (term, df, idf); `n_terms` is its counted size."""
+    """`terms` is (term, df, idf); `n_terms` and `n_bytes` are its counted sizes."""
 
     terms: DataFrame
     n_docs: int
     n_terms: int
+    n_bytes: int
+    broadcast_bytes: int = BROADCAST_BYTES
 
     def attach(self, rows: DataFrame, row_id: str) -> DataFrame:
-        """Rows whose `term` is known, with its `idf`; frequent terms cannot skew this."""
-        weights = self.terms.select("term", "idf")
-        if self.n_terms <= BROADCAST_TERMS:
+        """Rows whose `term` is known, with its `idf`; frequent terms cannot skew this.
+
+        The mark of a pair as a whole is known and weighs nothing.
+        """
+        whole = self.terms.sparkSession.range(1).select(F.lit(_NO_TERM).alias("term"), F.lit(0.0).alias("idf"))
+        weights = self.terms.select("term", "idf").unionAll(whole)
+        if self.n_bytes <= self.broadcast_bytes:
             return rows.join(F.broadcast(weights), "term")
         return tiled_join(settle(rows), weights, ["term"], row_id, "term")
 
@@ -49,44 +56,72 @@ def weigh(frequencies: DataFrame, n_docs: Column) -> DataFrame:
     return frequencies.select("term", "df", idf.alias("idf"))
 
 
-def fit_idf(texts: DataFrame, *columns: Column) -> Idf:
+def settled_cosine(cosine: Column) -> Column:
+    """To 12 decimals, so that the order in which a sum was taken cannot move a pair over a cut."""
+    return F.round(cosine, 12)
+
+
+def fit_idf(texts: DataFrame, *columns: Column, broadcast_bytes: int = BROADCAST_BYTES) -> Idf:
     """Fit on normalized text columns; each column of each row is one document."""
     n_docs = texts.count() * len(columns)
     terms = settle(weigh(document_frequencies(texts, *columns), F.lit(float(n_docs))))
-    n_terms = terms.count()
+    n_terms, n_bytes = terms.agg(
+        F.count(F.lit(1)), F.sum(F.octet_length("term") + F.lit(TERM_BYTES))
+    ).first()
     if n_terms == 0:
         raise ValueError("cannot fit TF-IDF: no text holds a token of two characters")
-    return Idf(terms, n_docs, n_terms)
+    return Idf(terms, n_docs, n_terms, n_bytes, broadcast_bytes)
 
 
-def pair_cosine(pairs: DataFrame, key: str, idf: Idf) -> DataFrame:
-    """(key, cosine_similarity) of the columns A_norm and B_norm.
+_NO_TERM = ""  # no token is empty, so this stands for a pair as a whole
+
 
-    Terms the model does not know are ignored; a pair without a common known
-    term has no row. One shuffle, on the pair key: no word and no name is ever
-    a shuffle key, so a frequent one cannot skew it.
+def pair_features(pairs: DataFrame, key: str, idf: Idf, carry: dict[str, Column]) -> DataFrame:
+    """(key, carry, cosine_similarity) of the columns A_norm and B_norm; a row a pair.
+
+    Terms the model does not know are ignored; a pair without a common known term has
+    cosine 0. One shuffle, on the pair key: what is carried travels with the words, no
+    text is joined back, and no word or name is ever a shuffle key, so a frequent one
+    cannot skew it.
     """
+    whole = F.struct(F.lit(1).alias("is_a"), F.array(F.lit(_NO_TERM)).alias("words"))
     sides = F.explode(
         F.array(
             F.struct(F.lit(1).alias("is_a"), tokens(F.col("A_norm")).alias("words")),
             F.struct(F.lit(0).alias("is_a"), tokens(F.col("B_norm")).alias("words")),
+            whole,
         )
     ).alias("side")
-    words = pairs.select(key, "A_norm", "B_norm").repartition(key).select(key, sides)
-    words = words.select(key, "side.is_a", F.explode("side.words").alias("term"))
-    is_a = F.col("is_a")
+    columns = [c.alias(f"_c{i}") for i, c in enumerate(carry.values())]
+    rows = pairs.select(F.col(key), "A_norm", "B_norm", *columns).repartition(key)
+    packed = F.struct(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(carry)]).alias("_carry")
+    words = rows.select(key, packed, sides)
+    words = words.select(key, "_carry", "side.is_a", F.explode("side.words").alias("term"))
+    is_a, is_whole = F.col("is_a"), F.col("term") == _NO_TERM
     counts = words.groupBy(key, "term").agg(
-        F.sum(is_a).alias("tf_a"), F.sum(1 - is_a).alias("tf_b")
+        F.sum(is_a).alias("tf_a"), F.sum(1 - is_a).alias("tf_b"), F.first(F.when(is_whole, F.col("_carry"))).alias("_carry")
     )
     weighted = idf.attach(counts, key).select(
-        key, (F.col("tf_a") * F.col("idf")).alias("a"), (F.col("tf_b") * F.col("idf")).alias("b")
+        key, (F.col("tf_a") * F.col("idf")).alias("a"), (F.col("tf_b") * F.col("idf")).alias("b"), "_carry"
     )
     a, b = F.col("a"), F.col("b")
     sums = weighted.groupBy(key).agg(
-        F.sum(a * b).alias("dot"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb")
+        F.sum(a * b).alias("dot"),
+        F.sum(a * a).alias("aa"),
+        F.sum(b * b).alias("bb"),
+        F.first("_carry", ignorenulls=True).alias("_carry"),
+    )
+    cosine = settled_cosine(F.col("dot") / (F.sqrt("aa") * F.sqrt("bb")))
+    return sums.select(
+        key,
+        *[F.col("_carry")[n].alias(n) for n in carry],
+        F.when(F.col("dot") > 0, cosine).otherwise(0.0).alias("cosine_similarity"),
     )
-    cosine = F.col("dot") / (F.sqrt("aa") * F.sqrt("bb"))
-    return sums.filter(F.col("dot") > 0).select(key, cosine.alias("cosine_similarity"))
+
+
+def pair_cosine(pairs: DataFrame, key: str, idf: Idf) -> DataFrame:
+    """(key, cosine_similarity) of pairs with a common known term."""
+    return pair_features(pairs, key, idf, {"_": F.lit(1)}).drop("_").filter("cosine_similarity > 0")
 
 
 def profiles(names: DataFrame, keys: list[str], idf: Idf) -> DataFrame:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TILE_ROWS = 20_000  # rows of one side that one key may bring to one task
+from nametwin.operators.keep import settle
+
+# Rows of one side that one key may bring to one task, so a task compares at most
+# TILE_ROWS * TILE_ROWS = 4 million pairs of a key.
+TILE_ROWS = 2_000
 MAX_HOT_KEYS = 500_000  # bound on the broadcast table of the hottest keys
 
 
@@ -42,10 +46,10 @@ def tiled_join(
     of the grids is joined by shuffle, if there are any. Both inputs are read
     twice: keep them if they are costly.
     """
-    sizes = key_sizes(left, right, keys)
+    sizes = settle(key_sizes(left, right, keys).filter(F.greatest("n_left", "n_right") > tile_rows))
     largest = F.greatest("n_left", "n_right")
-    total, peak = sizes.agg(F.sum(F.col("n_left") + F.col("n_right")), F.max(largest)).first()
-    if not peak or peak <= tile_rows:
+    total = sizes.agg(F.sum(F.col("n_left") + F.col("n_right"))).first()[0]
+    if total is None:
         return left.join(right, keys)
 
     def tiles(rows: str) -> Column:

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nametwin.config import BoostParams, Settings
+from nametwin.config import Settings
 from nametwin.functions.similarity import dense_cosine, jaro_winkler, levenshtein
 from nametwin.functions.text import is_valid, normalize, tokens
 from nametwin.operators import catalog, mapping, metrics
-from nametwin.operators.candidates import Bounds, Box
+from nametwin.operators.candidates import Bounds, Box, acceptable_names
 from nametwin.operators.features import feature_table, normalize_pairs
-from nametwin.operators.keep import scratch_folder
+from nametwin.operators.keep import scratch_folder, settle
 from nametwin.operators.split import assign_by_hash, assign_exact, deduplicate
 from nametwin.operators.tfidf import document_frequencies, fit_idf, pair_cosine, weigh
 from nametwin.plans import monitoring
-from nametwin.plans.matching import Matched, match_by_rule, match_catalogs, match_entries
+from nametwin.plans.matching import Matched, Rule, accept, match_catalogs, match_entries
 from nametwin.plans.model import run_model, split_counts
 from nametwin.plans.training import Trained, quality_gate, train
 from nametwin.plans.tuning import best_params
@@ -27,8 +29,12 @@ from nametwin.streaming.job import start_matching
 # The fixed rule of the rule_* queries and the bounds it implies.
 RULE_COSINE, RULE_WINKLER = 0.8, 0.6
 RULE_BOUNDS = Bounds(RULE_COSINE, Box(min_jaro_winkler=RULE_WINKLER))
-# Few rounds: each round is a handful of short jobs whatever the data size.
-QUICK = Settings(boost=BoostParams(max_iter=5))
+# A second rule, which also takes near spellings without a common word.
+NEAR_EDITS = 3
+NEAR_BOUNDS = Bounds(RULE_COSINE, Box(), Box(max_levenshtein=NEAR_EDITS))
+SETTINGS = Settings()
+# What makes small tables take the ways of large ones.
+SMALL_TILE, SMALL_RANGE = 50, 100
 
 
 def _rounded(frame: DataFrame, *columns: str) -> DataFrame:
@@ -111,6 +117,13 @@ def tfidf_cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(pair_cosine(pairs, "pair_id", idf), "cosine_similarity")
 
 
+def tfidf_cosine_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the weights joined by shuffle, as tables too large to broadcast are."""
+    pairs = _both_norms(spark, folder)
+    idf = fit_idf(pairs, F.col("A_norm"), F.col("B_norm"), broadcast_bytes=0)
+    return _rounded(pair_cosine(pairs, "pair_id", idf), "cosine_similarity")
+
+
 def levenshtein_pairs(spark: SparkSession, folder: str) -> DataFrame:
     distance = levenshtein(F.col("A_norm"), F.col("B_norm")).cast("long")
     return _both_norms(spark, folder).select("pair_id", distance.alias("levenshtein_distance"))
@@ -132,23 +145,29 @@ def embedding_cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     pairs = tables.text_pairs(spark, folder)
     idf = fit_idf(normalize_pairs(pairs), F.col("A_norm"), F.col("B_norm"))
-    table = feature_table(pairs, "pair_id", idf).withColumn(
+    table = feature_table(pairs, "pair_id", idf, texts=False).withColumn(
         "levenshtein_distance", F.col("levenshtein_distance").cast("long")
     )
-    return _rounded(table.drop("A", "B"), "cosine_similarity", "jaro_winkler_similarity")
+    return _rounded(table, "cosine_similarity", "jaro_winkler_similarity")
 
 
 # --- rule matching ---------------------------------------------------------
 
 
-def _rule_matched(spark: SparkSession, folder: str) -> Matched:
-    entries = tables.part_entries(spark, folder)
-    pairs = entries.select(normalize(F.col("name")).alias("norm"))
-    idf = fit_idf(pairs, F.col("norm"))
-    rule = (F.col("cosine_similarity") >= RULE_COSINE) & (
+def _rule(entries: DataFrame, near: bool = False, **options) -> Rule:
+    """The fixed rule with weights of the entries themselves."""
+    idf = fit_idf(entries.select(normalize(F.col("name")).alias("norm")), F.col("norm"), **options)
+    similar = (F.col("cosine_similarity") >= RULE_COSINE) & (
         F.col("jaro_winkler_similarity") >= RULE_WINKLER
     )
-    return match_by_rule(entries, idf, RULE_BOUNDS, rule)
+    if near:
+        return Rule(idf, NEAR_BOUNDS, similar | (F.col("levenshtein_distance") <= NEAR_EDITS))
+    return Rule(idf, RULE_BOUNDS, similar)
+
+
+def _rule_matched(spark: SparkSession, folder: str) -> Matched:
+    entries = tables.part_entries(spark, folder)
+    return match_entries(entries, _rule(entries))
 
 
 def rule_name_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,8 +185,26 @@ def rule_name_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def rule_mapping(spark: SparkSession, folder: str) -> DataFrame:
     """Positions as text, so engines agree on how a list compares."""
-    return _rule_matched(spark, folder).mapping().select(
-        "request_id", "A_pos", "B_tile", F.array_join("B_pos", ",").alias("B_positions")
+    return _listed(_rule_matched(spark, folder).mapping())
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    return found.select("request_id", "A_pos", "B_tile", F.array_join("B_pos", ",").alias("B_positions"))
+
+
+def rule_mapping_tiled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with keys cut into small tiles and weights joined by shuffle."""
+    entries = tables.part_entries(spark, folder)
+    matched = match_entries(entries, _rule(entries, broadcast_bytes=0), SMALL_TILE)
+    return _listed(matched.mapping(SMALL_TILE))
+
+
+def near_name_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule that also takes pairs without a common word, if few edits apart."""
+    entries = tables.part_entries(spark, folder)
+    accepted = match_entries(entries, _rule(entries, near=True)).accepted
+    return accepted.select(
+        "request_id", "A_norm", "B_norm", F.col("levenshtein_distance").cast("long").alias("levenshtein_distance")
     )
 
 
@@ -260,6 +297,12 @@ def average_precision(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(metrics.average_precision(curve), "average_precision_score")
 
 
+def average_precision_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over many score ranges."""
+    curve = metrics.running_counts(tables.scored_documents(spark, folder), SMALL_RANGE)
+    return _rounded(metrics.average_precision(curve), "average_precision_score")
+
+
 def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
     curve = metrics.running_counts(tables.scored_documents(spark, folder))
     return _rounded(metrics.roc_auc(curve), "roc_auc_score")
@@ -297,6 +340,11 @@ def sample_matching(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.sample_by_label(scored, True, "doc_id").select("doc_id", "A", "B")
 
 
+def sample_nonmatching(spark: SparkSession, folder: str) -> DataFrame:
+    scored = tables.scored_documents(spark, folder)
+    return metrics.sample_by_label(scored, False, "doc_id").select("doc_id", "A", "B")
+
+
 # --- monitoring ------------------------------------------------------------
 
 
@@ -336,7 +384,7 @@ def _part_model(spark: SparkSession, folder: str) -> Trained:
     """Trained once per session and folder; the model queries share it."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _trained:
-        _trained[key] = train(tables.part_pairs(spark, folder), QUICK)
+        _trained[key] = train(tables.part_pairs(spark, folder), SETTINGS)
     return _trained[key]
 
 
@@ -356,30 +404,48 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Publish, reload and score again: one row per label and decision."""
+    """Publish, reload and score again: pairs, and those scored otherwise than in memory."""
     store = scratch_folder(spark)
-    pairs = deduplicate(tables.part_pairs(spark, folder))
-    version = registry.publish(spark, store, _part_model(spark, folder), QUICK)
-    scored = run_model(pairs, "pair_id", registry.load(spark, store))
-    counted = scored.groupBy("match", "decision").agg(F.count("*").alias("n"))
-    return counted.withColumn("version", F.lit(version))
+    trained = _part_model(spark, folder)
+    pairs = settle(deduplicate(tables.part_pairs(spark, folder)))
+    version = registry.publish(spark, store, trained, SETTINGS, pairs.select("A", "B"))
+    here = run_model(pairs, "pair_id", trained.matcher).select("pair_id", "proba", "decision")
+    there = run_model(pairs, "pair_id", registry.load(spark, store, version)).select(
+        "pair_id", F.col("proba").alias("proba_loaded"), F.col("decision").alias("decision_loaded")
+    )
+    same = (F.col("proba") == F.col("proba_loaded")) & (F.col("decision") == F.col("decision_loaded"))
+    counted = here.join(there, "pair_id", "full").agg(
+        F.count("*").alias("n_pairs"), F.count_if(~F.coalesce(same, F.lit(False))).alias("n_different")
+    )
+    return counted.withColumn("version", F.lit(version).cast("long"))
+
+
+def drift_from_training(spark: SparkSession, folder: str) -> DataFrame:
+    """Lengths of customer names against those of the names a published model has seen."""
+    store = scratch_folder(spark)
+    names = tables.part_entries(spark, folder).select("name")
+    registry.publish(spark, store, _part_model(spark, folder), SETTINGS, names=names)
+    customers = tables.table(spark, folder, "customer").select(
+        F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name")
+    )
+    histogram = monitoring.length_histogram(customers, "segment")
+    return _rounded(monitoring.length_drift(histogram, "segment", registry.name_shares(spark, store)), "psi")
 
 
 def published_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Two published runs read back from the store, the better one marked."""
+    """Two different models read back from the store, the better one marked."""
     store = scratch_folder(spark)
-    trained = _part_model(spark, folder)
-    for _ in range(2):
-        registry.publish(spark, store, trained, QUICK)
+    shallow = replace(SETTINGS, boost=replace(SETTINGS.boost, max_depth=1, max_iter=20))
+    registry.publish(spark, store, _part_model(spark, folder), SETTINGS)
+    registry.publish(spark, store, train(tables.part_pairs(spark, folder), shallow), shallow)
     best = registry.best_version(spark, store)
     runs = registry.manifest(spark, store).join(registry.metrics(spark, store), "run_id")
     return runs.select("version", (F.col("version") == best).alias("is_best"), "metric", "value")
 
 
 def tuning_trials(spark: SparkSession, folder: str) -> DataFrame:
-    """Two steps of the search at two rounds each: setting and validation log loss."""
-    steps = (("max_depth", (5, 3)), ("subsampling_rate", (1.0, 0.8)))
-    _, trials = best_params(tables.part_pairs(spark, folder), QUICK, rounds=2, steps=steps)
+    """Every step of the search: setting and validation log loss."""
+    _, trials = best_params(tables.part_pairs(spark, folder), SETTINGS)
     return spark.createDataFrame(trials, "setting string, log_loss double")
 
 
@@ -404,11 +470,50 @@ def reply_by_model(spark: SparkSession, folder: str) -> DataFrame:
     return match_catalogs(requests, _part_model(spark, folder).matcher)
 
 
+def matching_equals_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Name pairs of all requests, and those the index decides otherwise than scoring every pair."""
+    matcher = _part_model(spark, folder).matcher
+    matched = match_entries(tables.part_entries(spark, folder), matcher)
+    names = settle(matched.names)
+    every = settle(acceptable_names(names, matcher.idf, Bounds()))
+    key = ["request_id", "A_norm", "B_norm"]
+    one = matched.accepted.select(*key, F.lit(True).alias("indexed"))
+    two = accept(every, matcher).select(*key, F.lit(True).alias("scored"))
+    different = one.join(two, key, "full").agg(
+        F.count_if(F.col("indexed").isNull() | F.col("scored").isNull()).alias("n_different")
+    )
+    return every.agg(F.count("*").alias("n_pairs")).join(different)
+
+
+def _conversation_rule(spark: SparkSession, folder: str) -> Rule:
+    requests = parse_requests(tables.conversation_requests(spark, folder))
+    return _rule(catalog.explode_requests(requests.filter(F.col("error").isNull())))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """Replies under the id that was sent, without the digest."""
+    sent = F.substring_index("request_id", ":", 1).alias("request_id")
+    return found.select(sent, "part", "positional_mapping", "error")
+
+
+def reply_by_rule(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies to all conversation requests, empty catalogs among them."""
+    requests = parse_requests(tables.conversation_requests(spark, folder))
+    return _named(match_catalogs(requests, _conversation_rule(spark, folder)))
+
+
+def stream_by_rule(spark: SparkSession, folder: str) -> DataFrame:
+    return _named(_streamed(spark, folder, _conversation_rule(spark, folder)))
+
+
 def stream_match(spark: SparkSession, folder: str) -> DataFrame:
-    """The same replies from a stream over request files."""
+    """The replies of the model from a stream over request files."""
+    return _streamed(spark, folder, _part_model(spark, folder).matcher)
+
+
+def _streamed(spark: SparkSession, folder: str, matcher) -> DataFrame:
     work = scratch_folder(spark)
     tables.conversation_requests(spark, folder).write.text(f"{work}/requests")
-    matcher = _part_model(spark, folder).matcher
     query = start_matching(spark, f"{work}/requests", f"{work}/replies", f"{work}/state", matcher)
     query.awaitTermination()
     schema = "request_id string, part string, positional_mapping string, error string"
@@ -422,17 +527,19 @@ QUERIES = {
     for f in (
         normalize_names, valid_names, tokenize_counts,
         usable_entries, distinct_catalog_names, pair_counts_by_request, dedupe_pairs,
-        tfidf_idf, tfidf_cosine_pairs, levenshtein_pairs, jaro_winkler_pairs,
+        tfidf_idf, tfidf_cosine_pairs, tfidf_cosine_shuffled, levenshtein_pairs, jaro_winkler_pairs,
         embedding_cosine_pairs, feature_rows,
         rule_name_pairs, rule_mapping, rule_match_counts, mapping_json,
+        rule_mapping_tiled, near_name_pairs,
         request_entries, request_errors,
         split_assign, split_sizes, synthetic_pairs, synthetic_accented, synthetic_match_rate,
-        confusion_metrics, average_precision, roc_auc, score_quantiles,
+        confusion_metrics, average_precision, average_precision_ranges, roc_auc, score_quantiles,
         precision_by_threshold, min_precision_threshold, evaluation_report,
-        tp_examples, tn_examples, sample_matching,
+        tp_examples, tn_examples, sample_matching, sample_nonmatching,
         name_drift, unseen_terms, accuracy_by_day,
         train_and_score, feature_importance, quality_report, model_roundtrip,
         published_metrics, tuning_trials, model_bounds,
-        match_by_model, reply_by_model, stream_match,
+        match_by_model, matching_equals_scoring, reply_by_model, reply_by_rule, stream_match, stream_by_rule,
+        drift_from_training,
     )
 }

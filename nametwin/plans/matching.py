@@ -28,8 +28,20 @@ class Matched:
         return positional_mapping(self.usable, self.accepted, tile_rows)
 
 
-def match_entries(entries: DataFrame, matcher: Matcher, tile_rows: int = TILE_ROWS) -> Matched:
-    """Match the two sides of every request with the trained model.
+@dataclass(frozen=True)
+class Rule:
+    """A fixed rule on the features; `bounds` must hold for whatever it accepts."""
+
+    idf: Idf
+    bounds: Bounds
+    condition: Column
+
+    def accept(self, pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn(DECISION, self.condition).filter(DECISION)
+
+
+def match_entries(entries: DataFrame, matcher: Matcher | Rule, tile_rows: int = TILE_ROWS) -> Matched:
+    """Match the two sides of every request with the trained model, or with a rule.
 
     Features depend on the two normalized names only, so each distinct pair of
     a request is scored once, however many positions carry the names.
@@ -37,23 +49,23 @@ def match_entries(entries: DataFrame, matcher: Matcher, tile_rows: int = TILE_RO
     ready = settle(usable(entries))
     names = distinct_names(ready)
     pairs = acceptable_names(names, matcher.idf, matcher.bounds, tile_rows)
-    scored = add_probability(pairs, matcher.pipeline)
-    accepted = scored.filter(take_decision(F.col(PROBA), matcher.threshold))
-    return Matched(ready, names, accepted)
+    return Matched(ready, names, accept(pairs, matcher))
 
 
-def match_by_rule(
-    entries: DataFrame, idf: Idf, bounds: Bounds, rule: Column, tile_rows: int = TILE_ROWS
-) -> Matched:
-    """Match with a fixed rule on the features; `bounds` must hold for whatever it accepts."""
-    ready = settle(usable(entries))
-    names = distinct_names(ready)
-    pairs = acceptable_names(names, idf, bounds, tile_rows)
-    return Matched(ready, names, pairs.withColumn(DECISION, rule).filter(DECISION))
+def accept(pairs: DataFrame, matcher: Matcher | Rule) -> DataFrame:
+    """The pairs with features that a model or a rule takes."""
+    if isinstance(matcher, Rule):
+        return matcher.accept(pairs)
+    scored = add_probability(pairs, matcher.pipeline)
+    return scored.filter(take_decision(F.col(PROBA), matcher.threshold))
 
 
-def match_catalogs(requests: DataFrame, matcher: Matcher, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Reply rows (request_id, part, positional_mapping, error) for parsed requests."""
-    good = requests.filter(F.col("error").isNull())
-    matched = match_entries(explode_requests(good), matcher, tile_rows)
-    return replies(requests, matched.mapping(tile_rows))
+def match_catalogs(requests: DataFrame, matcher: Matcher | Rule, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Reply rows (request_id, part, positional_mapping, error) for parsed requests.
+
+    A request given twice is answered once. The parsed requests are read twice, so they
+    are written out first.
+    """
+    known = settle(requests.dropDuplicates(["request_id"]))
+    matched = match_entries(explode_requests(known.filter(F.col("error").isNull())), matcher, tile_rows)
+    return replies(known, matched.mapping(tile_rows))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from nametwin.config import DECISION, FEATURES, PROBA, TARGET, BoostParams
 from nametwin.operators.candidates import Bounds, Box
 from nametwin.operators.features import feature_table
-from nametwin.operators.keep import keep, use_checkpoint_folder
+from nametwin.operators.keep import use_checkpoint_folder
 from nametwin.operators.metrics import take_decision
 from nametwin.operators.tfidf import Idf
 
@@ -37,7 +38,7 @@ def settled(features: DataFrame, key: str) -> DataFrame:
     Boosting runs hundreds of short jobs, so small data must not be spread thin.
     """
     parts = max(1, -(-features.count() // FIT_ROWS_PER_PARTITION))
-    return keep(features.repartition(parts, key).sortWithinPartitions(key))
+    return features.repartition(parts, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_boosted(
@@ -71,7 +72,11 @@ def fit_boosted(
         **options,
     )
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    return Pipeline(stages=[assembler, trees]).fit(settled(rows, key))
+    kept = settled(rows, key)
+    try:
+        return Pipeline(stages=[assembler, trees]).fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def add_probability(features: DataFrame, pipeline: PipelineModel) -> DataFrame:
@@ -90,8 +95,12 @@ def run_model(pairs: DataFrame, key: str, matcher: Matcher) -> DataFrame:
 
 def _splits(pipeline: PipelineModel) -> list[tuple[int, float]]:
     """(feature index, cut) of every inner node of every tree."""
-    text = pipeline.stages[-1].toDebugString
-    return [(int(f), float(c)) for f, c in re.findall(r"If \(feature (\d+) <= (\S+)\)", text)]
+    model = pipeline.stages[-1]
+    found = re.findall(r"If \(feature (\d+) <= (\S+)\)", model.toDebugString)
+    inner = sum((tree.numNodes - 1) // 2 for tree in model.trees)
+    if len(found) != inner:
+        raise ValueError(f"read {len(found)} of {inner} cuts of the trees")
+    return [(int(f), float(c)) for f, c in found]
 
 
 def split_counts(spark: SparkSession, pipeline: PipelineModel) -> DataFrame:

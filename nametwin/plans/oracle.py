@@ -36,8 +36,8 @@ SHOWN = """shown AS (
   FROM part)"""
 
 ENTRIES = f"""{SHOWN}, entries AS (
-  SELECT p_brand AS request_id, 'A' AS side, p_partkey AS pos, A AS name FROM shown
-  UNION ALL SELECT p_brand, 'B', p_partkey, B FROM shown)"""
+  SELECT p_brand || '/' || (p_partkey // 1000) AS request_id, 'A' AS side, p_partkey AS pos, A AS name FROM shown
+  UNION ALL SELECT p_brand || '/' || (p_partkey // 1000), 'B', p_partkey, B FROM shown)"""
 
 USABLE = f"""{ENTRIES}, usable AS (
   SELECT request_id, side, pos, {_norm('name')} AS norm FROM entries WHERE {_valid('name')})"""
@@ -48,10 +48,9 @@ PART_PAIRS = f"""{SHOWN}, pairs AS (
   SELECT x.A, y.B, false FROM shown x JOIN shown y ON y.p_partkey = x.p_partkey + 1)"""
 
 TALK = """talk AS (
-  SELECT q.conv_id || '-' || q.turn AS pair_id, q.text AS A, a.text AS B
-  FROM conversations q JOIN conversations a
-    ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
-  WHERE q.role = 'user' AND a.role = 'assistant')"""
+  SELECT conv_id || '-' || turn AS pair_id, text AS A,
+         lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS B
+  FROM conversations)"""
 
 TEXT_PAIRS = f"""{SHOWN}, {TALK}, raw_pairs AS (
   SELECT * FROM talk
@@ -87,7 +86,10 @@ cosine AS (
   GROUP BY a.pair_id)"""
 
 # every pair of distinct names of a request, then the rule: the brute-force answer
-RULE = f"""{USABLE}, names AS (SELECT DISTINCT request_id, side, norm FROM usable),
+def _rule(entries: str, accepted: str, inner: bool = True) -> str:
+    side = "JOIN" if inner else "LEFT JOIN"
+    return f"""{entries}, usable AS (
+  SELECT request_id, side, pos, {_norm('name')} AS norm FROM entries WHERE {_valid('name')}), names AS (SELECT DISTINCT request_id, side, norm FROM usable),
 docs AS (SELECT {_norm('name')} AS norm FROM entries), {IDF_OF_DOCS},
 all_words AS (
   SELECT norm, unnest({_tokens('norm')}) AS term FROM (SELECT DISTINCT norm FROM names)),
@@ -107,10 +109,9 @@ accepted AS (
   SELECT c.request_id, c.A_norm, c.B_norm, d.dot / (sa.size * sb.size) AS cosine_similarity,
          levenshtein(c.A_norm, c.B_norm) AS levenshtein_distance,
          jaro_winkler_similarity(c.A_norm, c.B_norm) AS jaro_winkler_similarity
-  FROM candidates c JOIN dots d USING (A_norm, B_norm)
-  JOIN sizes sa ON sa.norm = c.A_norm JOIN sizes sb ON sb.norm = c.B_norm
-  WHERE d.dot / (sa.size * sb.size) >= 0.8
-    AND jaro_winkler_similarity(c.A_norm, c.B_norm) >= 0.6),
+  FROM candidates c {side} dots d USING (A_norm, B_norm)
+  {side} sizes sa ON sa.norm = c.A_norm {side} sizes sb ON sb.norm = c.B_norm
+  WHERE {accepted}),
 mapped AS (
   SELECT a.request_id, a.pos AS A_pos, b.pos // 4096 AS B_tile, b.pos AS B_pos
   FROM accepted m
@@ -120,6 +121,10 @@ lists AS (
   SELECT request_id, A_pos, B_tile, string_agg(B_pos::VARCHAR, ',' ORDER BY B_pos) AS B_positions
   FROM mapped GROUP BY ALL)"""
 
+_SIMILAR = "(d.dot / (sa.size * sb.size) >= 0.8 AND jaro_winkler_similarity(c.A_norm, c.B_norm) >= 0.6)"
+RULE = _rule(ENTRIES, _SIMILAR)
+NEAR_RULE = _rule(ENTRIES, f"({_SIMILAR} OR levenshtein(c.A_norm, c.B_norm) <= 3)", inner=False)
+
 REQUEST_ROWS = f"""{TALK}, sent AS (
   SELECT pair_id AS request_id, 'A' AS side, regexp_split_to_array(A, '[.\\n]') AS names FROM talk
   UNION ALL
@@ -127,10 +132,25 @@ REQUEST_ROWS = f"""{TALK}, sent AS (
 items AS (
   SELECT request_id, side, generate_subscripts(names, 1) - 1 AS pos, unnest(names) AS name FROM sent)"""
 
+TALK_RULE = _rule(REQUEST_ROWS + ", entries AS (SELECT * FROM items)", _SIMILAR)
+
+
+def _replies(rule: str, requests: str) -> str:
+    """JSON replies, one object per request and part."""
+    return f"""WITH {rule}, objects AS (
+          SELECT request_id, (A_pos // 1024) || '-' || B_tile AS part,
+                 '{{' || string_agg('"' || A_pos || '":[' || B_positions || ']', ',' ORDER BY A_pos) || '}}'
+                   AS positional_mapping
+          FROM lists GROUP BY 1, 2)
+        SELECT r.request_id, coalesce(part, '0-0') AS part,
+               coalesce(positional_mapping, '{{}}') AS positional_mapping, NULL::VARCHAR AS error
+        FROM ({requests}) r LEFT JOIN objects o USING (request_id)"""
+
+
 SCORED = """scored AS (
   SELECT doc_id, lang AS A, source AS B, quality = 1 AS match,
-         least(n_chars, 4000) / 4000.0::DOUBLE AS proba,
-         least(n_chars, 4000) / 4000.0::DOUBLE >= 0.5 AS decision
+         n_chars / (n_chars + 4000.0::DOUBLE) AS proba,
+         n_chars / (n_chars + 4000.0::DOUBLE) >= 0.5 AS decision
   FROM documents JOIN labels USING (doc_id))"""
 
 CURVE = f"""{SCORED}, curve AS (
@@ -235,7 +255,26 @@ generated AS (SELECT pair_id, {text('A')} AS A, {text('B')} AS B, match FROM typ
 
 SPLIT_KEY = _unit("o_orderkey || ':42'")
 
-_BUCKET = "least(CASE WHEN n = 0 THEN 0 ELSE length(bin(n)) END, 15)"
+_BUCKET = "CASE WHEN n = 0 THEN 0 ELSE length(bin(n)) END"
+
+
+def _drift(sized: str, by: str) -> str:
+    """Population stability of the lengths of `sized`, by group, against those of `known`."""
+    return f"""
+        WITH {sized},
+        histogram AS (SELECT {by}, {_BUCKET} AS bucket, count(*) AS n FROM sized GROUP BY ALL),
+        base AS (SELECT {_BUCKET} AS bucket, count(*) / (SELECT count(*) FROM known) AS share FROM known GROUP BY ALL),
+        groups AS (SELECT {by}, sum(n) AS n_names FROM histogram GROUP BY {by}),
+        shares AS (
+          SELECT g.{by}, g.n_names,
+                 greatest(coalesce(h.n / g.n_names, 0), 0.0001::DOUBLE) AS p,
+                 greatest(coalesce(b.share, 0), 0.0001::DOUBLE) AS q
+          FROM groups g CROSS JOIN range(32) AS r(bucket)
+          LEFT JOIN histogram h ON h.{by} = g.{by} AND h.bucket = r.bucket
+          LEFT JOIN base b ON b.bucket = r.bucket)
+        SELECT {by}, n_names::BIGINT AS n_names, round(sum((p - q) * ln(p / q)), 6) AS psi
+        FROM shares GROUP BY ALL"""
+
 
 ORACLES = {
     "normalize_names": f"""
@@ -285,14 +324,17 @@ ORACLES = {
     "rule_mapping": f"WITH {RULE} SELECT request_id, A_pos, B_tile, B_positions FROM lists",
     "rule_match_counts": f"""WITH {RULE}
         SELECT request_id, count(*)::BIGINT AS n_matches FROM mapped GROUP BY request_id""",
-    "mapping_json": f"""WITH {RULE}, objects AS (
-          SELECT request_id, (A_pos // 1024) || '-' || B_tile AS part,
-                 '{{' || string_agg('"' || A_pos || '":[' || B_positions || ']', ',' ORDER BY A_pos) || '}}'
-                   AS positional_mapping
-          FROM lists GROUP BY 1, 2)
-        SELECT r.request_id, coalesce(part, '0-0') AS part,
-               coalesce(positional_mapping, '{{}}') AS positional_mapping, NULL::VARCHAR AS error
-        FROM (SELECT DISTINCT request_id FROM entries) r LEFT JOIN objects o USING (request_id)""",
+    "mapping_json": _replies(RULE, "SELECT DISTINCT request_id FROM entries"),
+    "reply_by_rule": _replies(TALK_RULE, "SELECT pair_id AS request_id FROM talk"),
+    "stream_by_rule": _replies(TALK_RULE, "SELECT pair_id AS request_id FROM talk"),
+    "near_name_pairs": f"""WITH {NEAR_RULE}
+        SELECT request_id, A_norm, B_norm, levenshtein_distance::BIGINT AS levenshtein_distance FROM accepted""",
+    "matching_equals_scoring": f"""WITH {USABLE}, names AS (SELECT DISTINCT request_id, side, norm FROM usable)
+        SELECT count(*)::BIGINT AS n_pairs, 0::BIGINT AS n_different
+        FROM names a JOIN names b USING (request_id) WHERE a.side = 'A' AND b.side = 'B'""",
+    "model_roundtrip": f"""WITH {PART_PAIRS}
+        SELECT count(*)::BIGINT AS n_pairs, 0::BIGINT AS n_different, 1::BIGINT AS version
+        FROM (SELECT DISTINCT A, B, match FROM pairs)""",
     "request_entries": f"""WITH {REQUEST_ROWS}
         SELECT request_id, side, pos::BIGINT AS pos, {_norm('name')} AS norm FROM items WHERE {_valid('name')}""",
     "request_errors": f"""WITH {TALK}
@@ -351,22 +393,18 @@ ORACLES = {
         SELECT A, B FROM scored WHERE decision AND match ORDER BY doc_id LIMIT 20""",
     "tn_examples": f"""WITH {SCORED}
         SELECT A, B FROM scored WHERE NOT decision AND NOT match ORDER BY doc_id LIMIT 20""",
+    "sample_nonmatching": f"""WITH {SCORED}
+        SELECT doc_id, A, B FROM scored WHERE NOT match ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 20""",
     "sample_matching": f"""WITH {SCORED}
         SELECT doc_id, A, B FROM scored WHERE match ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 20""",
-    "name_drift": f"""
-        WITH sized AS (SELECT source, length({_norm('text')}) AS n FROM documents),
-        histogram AS (SELECT source, {_BUCKET} AS bucket, count(*) AS n FROM sized GROUP BY ALL),
-        base AS (SELECT bucket, sum(n) / (SELECT sum(n) FROM histogram) AS share FROM histogram GROUP BY bucket),
-        groups AS (SELECT source, sum(n) AS n_names FROM histogram GROUP BY source),
-        shares AS (
-          SELECT g.source, g.n_names,
-                 greatest(coalesce(h.n / g.n_names, 0), 0.0001::DOUBLE) AS p,
-                 greatest(coalesce(b.share, 0), 0.0001::DOUBLE) AS q
-          FROM groups g CROSS JOIN range(16) AS r(bucket)
-          LEFT JOIN histogram h ON h.source = g.source AND h.bucket = r.bucket
-          LEFT JOIN base b ON b.bucket = r.bucket)
-        SELECT source, n_names::BIGINT AS n_names, round(sum((p - q) * ln(p / q)), 6) AS psi
-        FROM shares GROUP BY ALL""",
+    "name_drift": _drift(
+        f"sized AS (SELECT source, length({_norm('text')}) AS n FROM documents), known AS (SELECT n FROM sized)", "source"
+    ),
+    "drift_from_training": _drift(
+        f"""{ENTRIES}, sized AS (SELECT c_mktsegment AS segment, length({_norm('c_name')}) AS n FROM customer),
+        known AS (SELECT length({_norm('name')}) AS n FROM entries)""",
+        "segment",
+    ),
     "unseen_terms": f"""
         WITH known AS (SELECT DISTINCT unnest({_tokens(_norm('text'))}) AS term FROM documents),
         words AS (SELECT unnest({_tokens(_norm('text'))}) AS term FROM conversations)
@@ -379,3 +417,10 @@ ORACLES = {
         SELECT day, round({ACCURACY}, 6) AS accuracy_score, round({PRECISION}, 6) AS precision_score,
                round({RECALL}, 6) AS recall_score FROM scored GROUP BY day""",
 }
+
+# the same answers on the ways that large tables take
+ORACLES |= {
+    "tfidf_cosine_shuffled": ORACLES["tfidf_cosine_pairs"],
+    "rule_mapping_tiled": ORACLES["rule_mapping"],
+    "average_precision_ranges": ORACLES["average_precision"],
+}

@@ -50,7 +50,7 @@ def prepare(pairs: DataFrame, settings: Settings = Settings()) -> Prepared:
     )
     known = normalize_pairs(parted.filter(F.col("part") == "train"))
     idf = fit_idf(known, F.col("A_norm"), F.col("B_norm"))
-    return Prepared(idf, settle(feature_table(parted, "pair_id", idf)))
+    return Prepared(idf, settle(feature_table(parted, "pair_id", idf, texts=False)))
 
 
 def train(pairs: DataFrame, settings: Settings = Settings(), early_stop: bool = False) -> Trained:

@@ -1,12 +1,15 @@
 """Published models: versioned folders plus a manifest, all on shared storage.
 
-Layout under one folder: `model/v=N` (pipeline, idf, meta), `manifest`,
-`metrics` and `params`. The manifest row is written last, so a reader sees a
-version only when all of it is there.
+Layout under one folder: `model/<id>` (pipeline, idf, meta, example, lengths),
+`manifest`, `metrics` and `params`. Paths and run ids are random, and the number of a
+version exists in its manifest row alone, which is written last: a reader sees a
+version only when all of it is there, and a publisher that dies before leaves nothing
+that the next one meets.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict
 
 from pyspark.errors import AnalysisException
@@ -17,11 +20,12 @@ from pyspark.sql import functions as F
 from nametwin.config import Settings
 from nametwin.operators.candidates import Bounds, Box
 from nametwin.operators.tfidf import Idf
-from nametwin.plans.model import Matcher
+from nametwin.plans.model import Matcher, run_model
+from nametwin.plans.monitoring import length_histogram, overall_shares
 from nametwin.plans.training import Trained
 
 _META = (
-    "threshold double, n_docs long, n_terms long, "
+    "threshold double, n_docs long, n_terms long, n_bytes long, "
     "min_cosine double, max_levenshtein double, min_jaro_winkler double, "
     "below_levenshtein double, below_jaro_winkler double"
 )
@@ -71,17 +75,21 @@ def publish(
     trained: Trained,
     settings: Settings,
     example: DataFrame | None = None,
+    names: DataFrame | None = None,
 ) -> int:
-    """Write a new version with its metrics, parameters and input example; returns its number."""
-    version = (latest_version(spark, folder) or 0) + 1
-    matcher, run_id = trained.matcher, f"run-{version}"
-    path = f"{folder}/model/v={version}"
-    matcher.pipeline.write().save(f"{path}/pipeline")  # fails if another writer took the number
+    """Write a new version with all that belongs to it; returns its number.
+
+    `example` has pairs (A, B) for `smoke_prediction`; `names` has the training names,
+    whose length shares (`name_shares`) the drift check compares against.
+    """
+    matcher, run_id = trained.matcher, uuid.uuid4().hex
+    path = f"{folder}/model/{run_id}"
+    matcher.pipeline.write().save(f"{path}/pipeline")
     matcher.idf.terms.write.parquet(f"{path}/idf")
     b = matcher.bounds
     meta = [
         (
-            matcher.threshold, matcher.idf.n_docs, matcher.idf.n_terms,
+            matcher.threshold, matcher.idf.n_docs, matcher.idf.n_terms, matcher.idf.n_bytes,
             b.min_cosine, b.above.max_levenshtein, b.above.min_jaro_winkler,
             b.below.max_levenshtein if b.below else None,
             b.below.min_jaro_winkler if b.below else None,
@@ -90,23 +98,43 @@ def publish(
     spark.createDataFrame(meta, _META).coalesce(1).write.parquet(f"{path}/meta")
     if example is not None:
         example.write.parquet(f"{path}/example")
+    if names is not None:
+        lengths = length_histogram(names.select("name", F.lit(0).alias("all")), "all")
+        overall_shares(lengths).coalesce(1).write.parquet(f"{path}/lengths")
     run = F.lit(run_id).alias("run_id")
     trained.metrics.select(run, "metric", "value").coalesce(1).write.mode("append").parquet(
         f"{folder}/metrics"
     )
     logged = spark.createDataFrame(_logged_params(settings), "param string, value string")
     logged.select(run, "*").coalesce(1).write.mode("append").parquet(f"{folder}/params")
+    version = (latest_version(spark, folder) or 0) + 1
     row = spark.createDataFrame([(version, run_id, path)], "version long, run_id string, path string")
     row.coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
     return version
 
 
-def load(spark: SparkSession, folder: str, version: int | None = None) -> Matcher:
-    """The given version, or the newest published one."""
+def _path(spark: SparkSession, folder: str, version: int | None) -> str:
     version = version or latest_version(spark, folder)
     if version is None:
         raise LookupError(f"no model published in {folder}")
-    path = manifest(spark, folder).filter(F.col("version") == version).first()["path"]
+    return manifest(spark, folder).filter(F.col("version") == version).first()["path"]
+
+
+def smoke_prediction(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A version's own input example scored by it, to see after publishing that it works."""
+    example = spark.read.parquet(f"{_path(spark, folder, version)}/example")
+    keyed = example.withColumn("pair_id", F.sha2(F.to_json(F.struct("A", "B")), 256))
+    return run_model(keyed, "pair_id", load(spark, folder, version)).drop("pair_id")
+
+
+def name_shares(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """(bucket, share) of the lengths of the names a version was trained on."""
+    return spark.read.schema("bucket int, share double").parquet(f"{_path(spark, folder, version)}/lengths")
+
+
+def load(spark: SparkSession, folder: str, version: int | None = None) -> Matcher:
+    """The given version, or the newest published one."""
+    path = _path(spark, folder, version)
     meta = spark.read.schema(_META).parquet(f"{path}/meta").first()
     above = Box(meta["max_levenshtein"], meta["min_jaro_winkler"])
     below = None
@@ -115,7 +143,7 @@ def load(spark: SparkSession, folder: str, version: int | None = None) -> Matche
     terms = spark.read.parquet(f"{path}/idf")
     return Matcher(
         PipelineModel.load(f"{path}/pipeline"),
-        Idf(terms, meta["n_docs"], meta["n_terms"]),
+        Idf(terms, meta["n_docs"], meta["n_terms"], meta["n_bytes"]),
         meta["threshold"],
         Bounds(meta["min_cosine"], above, below),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nametwin.operators.catalog import REFERENCE, SUPPLIER
@@ -18,8 +18,24 @@ def spread(source: DataFrame) -> DataFrame:
     For work that costs far more than reading, such as matching expressions over
     whole texts. A source of many files or row groups comes back as it is.
     """
-    cores = source.sparkSession.sparkContext.defaultParallelism
-    return source if source.rdd.getNumPartitions() >= cores else source.repartition(cores)
+    spark = source.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return source if _file_splits(spark, source.inputFiles(), cores) >= cores else source.repartition(cores)
+
+
+def _file_splits(spark: SparkSession, files: list[str], enough: int) -> int:
+    """Splits that a scan of `files` has, counted from file sizes alone, up to `enough`."""
+    if len(files) >= enough:
+        return len(files)
+    size = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b") + "b"
+    ))
+    hadoop = spark._jsc.hadoopConfiguration()
+    splits = 0
+    for file in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        splits += -(-path.getFileSystem(hadoop).getFileStatus(path).getLen() // size)
+    return splits
 
 
 def _renderings(parts: DataFrame) -> DataFrame:
@@ -35,7 +51,7 @@ def _renderings(parts: DataFrame) -> DataFrame:
 
 
 def part_entries(spark: SparkSession, folder: str) -> DataFrame:
-    """One request per brand; both catalogs list all of its parts, in own words."""
+    """One request per brand and thousand keys; both catalogs list its parts, in own words."""
     both = F.explode(
         F.array(
             F.struct(F.lit(REFERENCE).alias("side"), F.col("A").alias("name")),
@@ -43,8 +59,9 @@ def part_entries(spark: SparkSession, folder: str) -> DataFrame:
         )
     ).alias("e")
     shown = _renderings(table(spark, folder, "part")).select("p_brand", "p_partkey", both)
+    request = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 1000))
     return shown.select(
-        F.col("p_brand").alias("request_id"), "e.side", F.col("p_partkey").alias("pos"), "e.name"
+        request.alias("request_id"), "e.side", F.col("p_partkey").alias("pos"), "e.name"
     )
 
 
@@ -58,26 +75,24 @@ def part_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """(pair_id, A, B): each turn of a user with the assistant's turn right after it."""
-    turns = table(spark, folder, "conversations")
-    asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("A"))
-    answered = turns.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("B")
-    )
+    """(pair_id, A, B): every turn with the one after it, whoever speaks; the last with null."""
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     key = F.concat_ws("-", "conv_id", "turn").alias("pair_id")
-    return asked.join(answered, ["conv_id", "turn"]).select(key, "A", "B")
+    turns = table(spark, folder, "conversations")
+    return turns.select(key, F.col("text").alias("A"), following.alias("B"))
 
 
 def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """(pair_id, A, B): conversation pairs and both renderings of every part."""
     shown = _renderings(table(spark, folder, "part"))
     key = F.concat(F.lit("part-"), F.col("p_partkey")).alias("pair_id")
-    return spread(conversation_pairs(spark, folder).unionAll(shown.select(key, "A", "B")))
+    return conversation_pairs(spark, folder).unionAll(spread(shown).select(key, "A", "B"))
 
 
 def conversation_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """JSON lines (column `value`): sentences of a question against those of its answer."""
-    sentences = {c: F.split(c, r"[.\n]") for c in ("A", "B")}
+    """JSON lines (column `value`): sentences of a turn against those of the next, or none."""
+    none = F.array().cast("array<string>")
+    sentences = {c: F.coalesce(F.split(c, r"[.\n]"), none) for c in ("A", "B")}
     body = F.struct(
         F.col("pair_id").alias("request_id"),
         sentences["A"].alias("referenceCatalog"),
@@ -95,5 +110,5 @@ def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.col("lang").alias("A"),
         F.col("source").alias("B"),
         (F.col("quality") == 1).alias("match"),
-        (F.least("n_chars", F.lit(4000)) / F.lit(4000.0)).alias("proba"),
+        (F.col("n_chars") / (F.col("n_chars") + F.lit(4000.0))).alias("proba"),
     )

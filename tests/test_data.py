@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 import pytest
@@ -159,8 +160,9 @@ def test_profiles_have_unit_length_and_rare_terms_first(spark):
 def test_a_large_vocabulary_is_joined_by_shuffle(spark, monkeypatch):
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEXTS * 9)], "k int, A string, B string")
     model = fit_idf(rows, F.col("A"), F.col("B"))
+    assert model.n_bytes > 64 * model.n_terms
     expected = feature_table(rows, "k", model).orderBy("k").collect()
-    monkeypatch.setattr(tfidf, "BROADCAST_TERMS", 0)
+    model = replace(model, broadcast_bytes=0)
     monkeypatch.setattr(tfidf, "tiled_join", partial(tiled_join, tile_rows=4, max_hot_keys=2))
     got = feature_table(rows, "k", model).orderBy("k").collect()
     assert [r["cosine_similarity"] for r in got] == pytest.approx([r["cosine_similarity"] for r in expected])

@@ -19,17 +19,17 @@ from tests import brute
 
 SMALL = {
     "request_id": "r1",
-    "referenceCatalog": ["room with a veranda", "huge room", " "],
-    "inputCatalog": ["big room with balcony", "huge room with a BALCONY", "small room", "    "],
+    "referenceCatalog": ["flat above the harbour", "tiny flat", " "],
+    "inputCatalog": ["wide flat with terrace", "tiny flat with a TERRACE", "old flat", "    "],
 }
 NULLS = {
     "request_id": "r2",
     "referenceCatalog": [
-        None, "Big room with balcony", "", "small suite", "Economy Studio with open space", "",
+        None, "Wide flat with terrace", "", "old cabin", "Budget Loft above open yard", "",
     ],
     "inputCatalog": [
-        "Huge room along with a balcony", None, "very big room with a nice balcony", "luxury suite",
-        "", None, "A", "economy studio with spacious layout",
+        "Tiny flat next to a terrace", None, "really wide flat with a fine terrace", "grand cabin",
+        "", None, "A", "budget loft with generous yard",
     ],
 }
 

@@ -15,7 +15,7 @@ def scored(spark, y, p, threshold=0.5):
 def test_threshold_golden(spark):
     y = [0, 1, 0, 1, 1, 0, 1, 0]
     p = [0.2, 0.7, 0.4, 0.9, 0.3, 0.6, 0.8, 0.1]
-    assert M.find_threshold(scored(spark, y, p), 0.8) == 0.61
+    assert M.find_threshold(scored(spark, y, p), 0.8) == 0.61  # fixed value
 
 
 def test_threshold_equals_101_passes(spark):

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from nametwin.config import BoostParams, Settings
 from nametwin.operators import catalog
-from nametwin.operators.candidates import Bounds, acceptable_names
+from nametwin.operators.candidates import Bounds, Box, acceptable_names
 from nametwin.operators.features import check_features
 from nametwin.operators.keep import keep, releasing, settle
 from nametwin.operators.metrics import take_decision
 from nametwin.plans.matching import match_catalogs, match_entries
 from nametwin.plans.model import acceptance_bounds, add_probability, run_model, split_counts
-from nametwin.plans.monitoring import unseen_term_rate
+from nametwin.plans.monitoring import length_drift, length_histogram, unseen_term_rate
 from nametwin.plans.training import quality_gate, train, train_on_generated
 from nametwin.plans.tuning import best_params
 from nametwin.sources import registry
@@ -26,6 +26,10 @@ from nametwin.sources.synthetic import labelled_pairs
 from nametwin.streaming.job import start_matching
 from tests.test_matching import NULLS, SMALL
 
+def normalized(text):
+    return "".join(c for c in (text or "").lower() if c.isspace() or c.isascii() and c.isalnum())
+
+
 FEW = Settings(boost=BoostParams(max_iter=8))
 
 
@@ -148,7 +152,11 @@ def test_publish_and_load(spark, trained, tmp_path):
     assert registry.latest_version(spark, store) == 2
     assert registry.best_version(spark, store) == 1
     assert registry.metrics(spark, store).count() == 20
-    logged = {r["param"]: r["value"] for r in registry.params(spark, store).filter("run_id='run-1'").collect()}
+    first = registry.manifest(spark, store).filter("version = 1").first()
+    of_first = registry.params(spark, store).filter(F.col("run_id") == first["run_id"])
+    logged = {r["param"]: r["value"] for r in of_first.collect()}
+    scored = registry.smoke_prediction(spark, store, 1).collect()
+    assert len(scored) == 1 and scored[0]["decision"] in (True, False)
     assert logged["max_iter"] == "8" and logged["n_rows"] == "2000"
     loaded = registry.load(spark, store)
     assert loaded.threshold == trained.matcher.threshold and loaded.bounds == trained.matcher.bounds
@@ -158,6 +166,60 @@ def test_publish_and_load(spark, trained, tmp_path):
         assert run_model(five, "pair_id", loaded).orderBy("pair_id").collect() == a
 
 
+def test_a_publisher_that_dies_leaves_nothing_in_the_way(spark, trained, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    with monkeypatch.context() as broken:
+        broken.setattr(registry, "latest_version", lambda *_: 1 / 0)  # after the model, before the manifest
+        with pytest.raises(ZeroDivisionError):
+            registry.publish(spark, store, trained, FEW)
+    assert registry.latest_version(spark, store) is None
+    assert registry.publish(spark, store, trained, FEW) == 1
+    runs = registry.manifest(spark, store).join(registry.metrics(spark, store), "run_id")
+    assert runs.count() == 10 and registry.best_version(spark, store) == 1
+
+
+def test_published_name_lengths_have_no_drift_against_themselves(spark, trained, tmp_path):
+    names = labelled_pairs(spark, 50, 0.5).select(F.col("A").alias("name"))
+    registry.publish(spark, str(tmp_path), trained, FEW, names=names)
+    histogram = length_histogram(names.withColumn("g", F.lit("all")), "g")
+    drift = length_drift(histogram, "g", registry.name_shares(spark, str(tmp_path))).first()
+    assert drift["n_names"] == 50 and drift["psi"] == pytest.approx(0.0, abs=1e-12)
+
+
+def pair_of_names(spark):
+    names = [("r", "A", "big room alpha", 1), ("r", "B", "big room beta", 1)]
+    return spark.createDataFrame(names, "request_id string, side string, norm string, copies long")
+
+
+@pytest.mark.parametrize("step", [-1e-6, 0.0, 1e-6])
+def test_a_pair_on_the_cosine_cut_is_kept_by_either_box(spark, trained, step):
+    names = pair_of_names(spark)
+    whole = acceptable_names(names, trained.matcher.idf, Bounds()).first()
+    cosine, edits = whole["cosine_similarity"], whole["levenshtein_distance"]
+    assert cosine > 0
+    for above, below in ((Box(max_levenshtein=0), Box()), (Box(), Box(max_levenshtein=0)), (Box(), Box())):
+        bounds = Bounds(cosine + step, above, below)
+        got = acceptable_names(names, trained.matcher.idf, bounds)
+        lies_above, lies_below = step <= 0, step >= 0
+        fits = (lies_above and above.max_levenshtein >= edits) or (lies_below and below.max_levenshtein >= edits)
+        assert got.count() == int(fits)
+        assert got.filter(~bounds.holds()).count() == 0
+
+
+def test_bounds_hold_when_a_cut_lies_on_a_value(spark, trained):
+    scored = run_model(labelled_pairs(spark, 300, 0.5, seed=5), "pair_id", trained.matcher)
+    for cut in [r[0] for r in scored.select("cosine_similarity").distinct().limit(5).collect() if r[0] > 0]:
+        names = spark.createDataFrame(
+            [("r", s, n, 1) for r in scored.filter(F.col("cosine_similarity") == cut).collect()
+             for s, n in (("A", normalized(r["A"])), ("B", normalized(r["B"])))],
+            "request_id string, side string, norm string, copies long",
+        ).distinct()
+        whole = acceptable_names(names, trained.matcher.idf, Bounds()).collect()
+        split = acceptable_names(names, trained.matcher.idf, Bounds(cut, Box(), Box())).collect()
+        key = lambda r: (r["A_norm"], r["B_norm"])
+        assert sorted(map(key, split)) == sorted(map(key, whole))
+
+
 def test_stream_equals_batch(spark, trained, tmp_path):
     source = tmp_path / "requests"
     source.mkdir()
@@ -180,8 +242,8 @@ def test_stream_equals_batch(spark, trained, tmp_path):
 
     assert stream() == expected
     assert stream() == expected  # a restart answers nothing twice
-    (source / "three.json").write_text(json.dumps({**SMALL, "request_id": "late"}))
-    assert len(stream()) == 5
+    (source / "three.json").write_text(json.dumps({**SMALL, "request_id": "late"}) + "\n" + json.dumps(SMALL))
+    assert len(stream()) == 5  # the line that came before is not answered again
 
 
 def test_kept_frames_are_released(spark):
