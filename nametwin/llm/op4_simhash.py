@@ -221,8 +221,43 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     return marked.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` whose id is their component's; rows without an id stay."""
-    found = near_duplicates(docs, words, radius)
-    gone = settle(found.filter("doc_id <> component_id").select("doc_id").distinct())
+def jaccard(a: str | None, b: str | None, words: int) -> float:
+    """Of the sets of shingles; 1 for two texts without words."""
+
+    def shingles(text: str | None) -> set[tuple[bytes, ...]]:
+        found = (text or "").encode().lower().split()
+        return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def _alike(words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = zip(b.column(1), b.column(2), strict=True)
+            alike = [jaccard(x.as_py(), y.as_py(), words) >= similarity for x, y in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(alike, pa.bool_()))], names=["doc_id"])
+
+    return run
+
+
+def one_of_each(
+    docs: DataFrame, words: int = WORDS, radius: int = RADIUS, similarity: float | None = None
+) -> DataFrame:
+    """The rows of `docs` whose id is their component's; rows without an id stay.
+
+    With `similarity`, fingerprints only propose: a document goes if its shingles and
+    those of the document that stays for its component are that alike (Jaccard). So no
+    document goes for bits that agree by chance, however many documents there are.
+    """
+    found = settle(near_duplicates(docs, words, radius).filter("doc_id <> component_id"))
+    pairs = settle(found.select("doc_id", "component_id").distinct())
+    if similarity is not None:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        wanted = pairs.select(F.col("component_id").alias("doc_id")).distinct()
+        stay = settle(texts.join(wanted, "doc_id").select(F.col("doc_id").alias("component_id"), F.col("text").alias("kept")))
+        both = texts.join(pairs, "doc_id").join(stay, "component_id").select("doc_id", "text", "kept")
+        pairs = both.mapInArrow(_alike(words, similarity), "doc_id long")
+    gone = settle(pairs.select("doc_id").distinct())
     return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")

@@ -58,6 +58,14 @@ def simhash(text, n=4):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
+def jaccard(a, b, n):
+    x, y = (
+        {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+        for w in (WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in (a, b))
+    )
+    return len(x & y) / len(x | y)
+
+
 def simhash_components(docs, n=4, radius=4):
     prints = [simhash(t, n) for _, t in docs]
     links = [
