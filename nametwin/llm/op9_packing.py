@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nametwin.llm.tokens import encoder
+from nametwin.llm.tokens import ENTRIES, encoder
 
 CAPACITY = 4096
 SHARD_TOKENS = 1_000_000
@@ -35,9 +35,9 @@ PIECES = (
 )
 
 
-def _encoder(tokenizer: str, pieces: str, end_id: int):
+def _encoder(tokenizer: str, pieces: str, end_id: int, entries: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, pieces)
+        coder = encoder(tokenizer, pieces, entries)
         end = coder.pack([end_id])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -129,10 +129,12 @@ def pack_documents(
     capacity: int = CAPACITY,
     shard_tokens: int = SHARD_TOKENS,
     quadratic: float = QUADRATIC,
+    entries: int = ENTRIES,
 ) -> DataFrame:
     """Where each piece of each document of `doc_id`, `text` lies; a row a piece.
 
-    Only whole shards meet in one task, and their size is set by `shard_tokens`.
+    Only whole shards meet in one task, and their size is set by `shard_tokens`. A worker
+    remembers about twice `entries` words, which is most of the memory it takes.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n_bytes, n_rows = texts.agg(
@@ -142,8 +144,8 @@ def pack_documents(
     dealt = texts.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long").alias("shard"), "doc_id", "text"
     )
-    width = encoder(tokenizer, pieces).width
+    width = encoder(tokenizer, pieces, entries).width
     coded = dealt.mapInArrow(
-        _encoder(tokenizer, pieces, end_id), "shard long, doc_id long, ids binary"
+        _encoder(tokenizer, pieces, end_id, entries), "shard long, doc_id long, ids binary"
     )
     return coded.groupBy("shard").applyInArrow(_packer(width, capacity, quadratic), PIECES)

@@ -21,6 +21,7 @@ PIECES = {
     "byte": f" ?[{LETTERS}]+(?![^{WHITE}.,])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]",
     "word": f"[{LETTERS}]+(?![^{WHITE}.,])|[^{WHITE}]+",
 }
+ENTRIES = 700_000  # words of a generation; about 250 MB a worker when full
 LONGEST_KEPT = 48  # characters; longer pieces hardly ever come again
 
 
@@ -97,7 +98,7 @@ class Encoder:
     `entries` words are remembered. Special tokens in a text are plain text.
     """
 
-    def __init__(self, path: str, kind: str, entries: int = 700_000):
+    def __init__(self, path: str, kind: str, entries: int = ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -132,6 +133,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, entries: int = ENTRIES) -> Encoder:
     """One encoder for all tasks of a worker, so that pieces stay known."""
-    return Encoder(path, kind)
+    return Encoder(path, kind, entries)
