@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,18 @@ def located(rows: DataFrame) -> DataFrame:
         return placed(settle(rows))
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """`settle`, then let go of the shuffle files behind it.
+
+    Spark deletes the files of a shuffle when the driver's JVM collects what refers to
+    it, which a driver with little to do may not get to before the disks are full.
+    """
+    done = settle(frame)
+    gc.collect()
+    frame.sparkSession.sparkContext._jvm.System.gc()
+    return done
+
+
 def running(
     rows: DataFrame, key: str, order: str, value: str, out: str, bits: int, ties: tuple[str, ...] = ()
 ) -> DataFrame:

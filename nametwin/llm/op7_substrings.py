@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from nametwin.llm.windows import LAST, _text, byte_units, covered, keyed, repeated
 
 LENGTH = 200
-GRAM = 32
+GRAM = 100
 ROWS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nametwin.operators.keep import settle
+from nametwin.llm.common import settled
 
 LAST = (1 << 63) - 1  # stands for a null id, after all others
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd
@@ -192,13 +192,13 @@ def repeated(texts: DataFrame, units: Units, length: int, gram: int, spare_first
     """
     find = partial(_find, units, length, gram)
     anchors = texts.mapInArrow(partial(find, True), "a long")
-    common = settle(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"))
+    common = settled(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"))
     every = texts.mapInArrow(
         partial(find, False), "g1 long, g2 long, a long, d long, k long, place long, n long"
     )
-    found = settle(every.join(common, "a"))
+    found = settled(every.join(common, "a"))
     first = F.min(F.struct("d", "k", "place")).alias("first")
-    entries = settle(
+    entries = settled(
         found.groupBy("g1", "g2").agg(
             F.count(F.lit(1)).alias("c"), first, F.first("n").alias("n"), F.first("a").alias("a")
         )
@@ -210,22 +210,20 @@ def repeated(texts: DataFrame, units: Units, length: int, gram: int, spare_first
             return frame
         return frame.filter(F.struct("d", "k", "place") != F.col("first"))
 
-    again = settle(entries.filter("c > 1").select("g1", "g2", "first"))
+    again = settled(entries.filter("c > 1").select("g1", "g2", "first"))
     whole = apart(found.join(again, ["g1", "g2"])).select("d", "k", "place", "n")
 
-    shared = settle(entries.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"))
+    shared = settled(entries.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"))
     open_ = entries.join(shared, "a").select("first.d", "first.k", "first.place", "n")
-    by_text = settle(open_.groupBy("d", "k").agg(F.collect_list(F.struct("place", "n")).alias("runs")))
+    by_text = settled(open_.groupBy("d", "k").agg(F.collect_list(F.struct("place", "n")).alias("runs")))
     cut = texts.join(by_text, ["d", "k"]).select("d", "k", "text", "runs").dropDuplicates(["d", "k"])
-    singles = settle(
-        cut.mapInArrow(partial(_cut, units, length), "h1 long, h2 long, d long, k long, place long")
-    )
-    double = settle(
-        singles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), first).filter("c > 1").drop("c")
-    )
+    # cutting again costs less than keeping every window
+    singles = cut.mapInArrow(partial(_cut, units, length), "h1 long, h2 long, d long, k long, place long")
+    counts = [F.count(F.lit(1)).alias("c"), *([first] if spare_first else [])]
+    double = settled(singles.groupBy("h1", "h2").agg(*counts).filter("c > 1").drop("c"))
     single = apart(singles.join(double, ["h1", "h2"])).select("d", "k", "place", F.lit(1).cast("long").alias("n"))
     runs = whole.unionByName(single)
-    return settle(runs.groupBy("d", "k").agg(F.collect_list(F.struct("place", "n")).alias("runs")))
+    return settled(runs.groupBy("d", "k").agg(F.collect_list(F.struct("place", "n")).alias("runs")))
 
 
 def covered(runs: pa.ListScalar, size: int, length: int) -> np.ndarray:
