@@ -217,8 +217,9 @@ def repeated(texts: DataFrame, units: Units, length: int, gram: int, spare_first
     open_ = entries.join(shared, "a").select("first.d", "first.k", "first.place", "n")
     by_text = settled(open_.groupBy("d", "k").agg(F.collect_list(F.struct("place", "n")).alias("runs")))
     cut = texts.join(by_text, ["d", "k"]).select("d", "k", "text", "runs").dropDuplicates(["d", "k"])
-    # cutting again costs less than keeping every window
     singles = cut.mapInArrow(partial(_cut, units, length), "h1 long, h2 long, d long, k long, place long")
+    if spare_first:  # windows of words are few enough to keep; those of bytes are cut again
+        singles = settled(singles)
     counts = [F.count(F.lit(1)).alias("c"), *([first] if spare_first else [])]
     double = settled(singles.groupBy("h1", "h2").agg(*counts).filter("c > 1").drop("c"))
     single = apart(singles.join(double, ["h1", "h2"])).select("d", "k", "place", F.lit(1).cast("long").alias("n"))
