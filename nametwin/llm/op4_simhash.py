@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nametwin.llm.common import located
 from nametwin.llm.components import components, stars
+from nametwin.llm.shingles import alike
 from nametwin.operators.keep import settle
 
 WORDS = 4
@@ -221,25 +223,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     return marked.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
-def jaccard(a: str | None, b: str | None, words: int) -> float:
-    """Of the sets of shingles; 1 for two texts without words."""
+def alike_once(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The rows of `docs`, of rows alike (Jaccard of shingle sets), or through others, only one.
 
-    def shingles(text: str | None) -> set[tuple[bytes, ...]]:
-        found = (text or "").encode().lower().split()
-        return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
-
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
-
-
-def _alike(words: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = zip(b.column(1), b.column(2), strict=True)
-            alike = [jaccard(x.as_py(), y.as_py(), words) >= similarity for x, y in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(alike, pa.bool_()))], names=["doc_id"])
-
-    return run
+    The row with the smallest id stays; rows are told apart by where they lie, so ids may
+    repeat or be null, null ones last.
+    """
+    placed = located(docs)
+    text = F.col("row.text").cast("string")
+    order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id").cast("long"), F.xxhash64(text))
+    rows = settle(
+        placed.select(F.monotonically_increasing_id().alias("id"), order.alias("order"), text.alias("text"), "file", "at")
+    )
+    groups = rows.select("id", "order", "file", "at").join(alike(rows, words, similarity), "id")
+    groups = settle(groups.select("component", F.struct("order", "id").alias("rank"), "file", "at"))
+    first = groups.groupBy("component").agg(F.min("rank").alias("first"))
+    gone = settle(groups.join(first, "component").filter("rank <> first").select("file", "at"))
+    return placed.join(gone, ["file", "at"], "left_anti").select("row.*")
 
 
 def one_of_each(
@@ -247,17 +247,11 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of `docs` whose id is their component's; rows without an id stay.
 
-    With `similarity`, fingerprints only propose: a document goes if its shingles and
-    those of the document that stays for its component are that alike (Jaccard). So no
-    document goes for bits that agree by chance, however many documents there are.
+    With `similarity`, fingerprints do not count: components are those of texts whose
+    shingle sets are that alike (Jaccard), and one row of each stays.
     """
-    found = settle(near_duplicates(docs, words, radius).filter("doc_id <> component_id"))
-    pairs = settle(found.select("doc_id", "component_id").distinct())
     if similarity is not None:
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        wanted = pairs.select(F.col("component_id").alias("doc_id")).distinct()
-        stay = settle(texts.join(wanted, "doc_id").select(F.col("doc_id").alias("component_id"), F.col("text").alias("kept")))
-        both = texts.join(pairs, "doc_id").join(stay, "component_id").select("doc_id", "text", "kept")
-        pairs = both.mapInArrow(_alike(words, similarity), "doc_id long")
-    gone = settle(pairs.select("doc_id").distinct())
+        return alike_once(docs, words, similarity)
+    found = near_duplicates(docs, words, radius).filter("doc_id <> component_id")
+    gone = settle(found.select("doc_id").distinct())
     return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")

@@ -1,0 +1,65 @@
+"""One document of each group of near copies, against brute force over all pairs."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from nametwin.llm import op4_simhash, shingles
+from tests.llm import brute
+from tests.llm.conftest import prose
+
+WORDS, SIMILARITY = corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILARITY
+SCHEMA = "doc_id long, text string, at int"
+
+
+def changed(text, places):
+    words = text.split()
+    for p in places:
+        words[p] = f"changed{p}"
+    return " ".join(words)
+
+
+def kept(spark, texts, ids=None):
+    """The positions of the texts that stay."""
+    ids = list(range(len(texts))) if ids is None else ids
+    frame = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(zip(ids, texts, strict=True))], SCHEMA)
+    stays = op4_simhash.one_of_each(frame.repartition(3), WORDS, corpus_pipeline.RADIUS, SIMILARITY)
+    assert stays.columns == frame.columns
+    return sorted(r["at"] for r in stays.collect())
+
+
+def test_a_chain_keeps_one(spark):
+    a = prose(random.Random(1), 200)
+    b = changed(a, [40, 80, 120])
+    c = [changed(b, [20, 60, 100, i]) for i in (160, 161, 162)]
+    assert brute.jaccard(a, b, WORDS) >= SIMILARITY > max(brute.jaccard(a, t, WORDS) for t in c)
+    assert min(brute.jaccard(b, t, WORDS) for t in c) >= SIMILARITY
+    assert kept(spark, [a, b, *c]) == [0]
+
+
+def scattered(seed, groups):
+    """Texts and copies of them that differ in scattered words."""
+    rng, texts = random.Random(seed), []
+    for _ in range(groups):
+        base = prose(rng, rng.randint(40, 300))
+        n = len(base.split())
+        texts += [base] + [changed(base, rng.sample(range(n), max(1, n // 60))) for _ in range(rng.randint(1, 3))]
+    rng.shuffle(texts)
+    return texts
+
+
+def likes(texts):
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    return [(i, j) for i, j in pairs if brute.jaccard(texts[i], texts[j], WORDS) >= SIMILARITY]
+
+
+@pytest.mark.parametrize("tile", [2, 5, 1000])
+def test_alike_in_tiles(spark, tile):
+    rng = random.Random(3)
+    base = prose(rng, 150)
+    texts = scattered(3, 10) + [changed(base, rng.sample(range(150), 2)) for _ in range(25)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = {r.id: r.component for r in shingles.alike(frame, WORDS, SIMILARITY, tile).collect()}
+    least = brute.smallest_reachable(list(range(len(texts))), likes(texts))
+    assert [found.get(i, i) for i in range(len(texts))] == least
