@@ -54,6 +54,14 @@ def likes(texts):
     return [(i, j) for i, j in pairs if brute.jaccard(texts[i], texts[j], WORDS) >= SIMILARITY]
 
 
+def test_every_near_copy_is_found(spark):
+    texts = scattered(2, 60)
+    links = likes(texts)
+    assert len(links) > 60
+    least = brute.smallest_reachable(list(range(len(texts))), links)
+    assert kept(spark, texts) == sorted(set(least))
+
+
 @pytest.mark.parametrize("tile", [2, 5, 1000])
 def test_alike_in_tiles(spark, tile):
     rng = random.Random(3)
