@@ -3,13 +3,17 @@
 Base spans follow fixed patterns: email, ip, card, phone. What they hold are the
 protected entities of a text. How strongly a term reveals an entity is estimated from
 the corpus: with n documents, n_e that hold the entity, n_t that hold the term and
-n_et where the term stands near the entity,
+n_et that hold both,
 
     information  IC(e)    = -log2(n_e / n)
     disclosure   PMI(e,t) =  log2(n * n_et / (n_e * n_t))
 
-A term discloses e when PMI(e,t) >= SHARE * IC(e) in at least SUPPORT different texts.
-It is then a span in every text that holds e, where no base span covers it. Sanitised text has base spans replaced by
+Equal texts are copies: they count in n, n_e, n_t and n_et, but are one text where it is
+asked what chance does. A term is looked at because it stands in some text with e, so
+that text says nothing; how likely chance alone puts a pair into as many further texts is
+bounded by the union bound, C(x_e - 1, x_et - 1) * ((x_t - 1) / (x - 1)) ** (x_et - 1)
+with x the counts of different texts. A term discloses e when PMI(e,t) >= SHARE * IC(e)
+and that bound is at most CHANCE. In one text alone it is 1: any word there would do. It is then a span in every text that holds e, where no base span covers it. Sanitised text has base spans replaced by
 their kind, disclosing terms that begin with a capital generalised to `<name>`, and
 other disclosing terms removed.
 
@@ -19,7 +23,7 @@ same matches. Offsets are code points; a match's start is the length of what `sp
 leaves before it.
 
 Null text: empty, no spans. Null doc_id and repeated rows: a row each; equal texts count
-once towards SUPPORT. Spans of different kinds may overlap. No rows: no rows. Other
+once towards chance. Spans of different kinds may overlap. No rows: no rows. Other
 columns are ignored, or kept by `sanitised`.
 """
 
@@ -40,8 +44,7 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "term")
 
-NEAR = 64  # code points on either side of an entity
-SUPPORT = 3
+CHANCE = 0.01
 SHARE = 0.9
 TERM = r"\p{L}{3,}"
 
@@ -114,62 +117,59 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """Distinct words, in lower case, that lie whole within NEAR code points of a span."""
-    first = F.greatest(span["start"] - NEAR, F.lit(0))
-    left = F.substring(text, first + 1, span["start"] - first)
-    left = F.when(first > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.substring(text, span["stop"] + 1, F.lit(NEAR))
-    right = F.when(F.length(right) == NEAR, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(TERM), F.lit(0)))
+def terms_of(text: Column) -> Column:
+    """Distinct words in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, spans, near, text): a row a document; text only where there are spans.
+    """(doc_id, key, spans, text): a row a document; text only where there are spans.
 
-    `near` has the terms near each span; `key` stands for the text.
+    `key` stands for the text.
     """
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     spotted = texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"), base_spans(F.col("text")).alias("spans"), "text")
     has = F.size("spans") > 0
-    return settle(
-        spotted.select(
-            "doc_id",
-            "key",
-            "spans",
-            F.when(has, F.transform("spans", lambda s: near_terms(F.col("text"), s))).alias("near"),
-            F.when(has, F.col("text")).alias("text"),
-        )
-    )
+    return settle(spotted.select("doc_id", "key", "spans", F.when(has, F.col("text")).alias("text")))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n_t): documents that hold a term, over all documents."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_t): documents that hold a term of `wanted`, over all documents."""
+    terms = docs.select(F.explode(terms_of(F.col("text").cast("string"))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, share: float = SHARE, chance: float = CHANCE) -> DataFrame:
     """(entity, term) where the term gives the entity away."""
     n = found.count()
-    named = F.transform(
-        F.arrays_zip("spans", "near"),
-        lambda z: F.struct(
-            F.concat_ws(":", z["spans"]["kind"], z["spans"]["value"]).alias("entity"), z["near"].alias("terms")
-        ),
+    texts = found.select("key").distinct().count()
+    names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    held = found.filter(F.size("spans") > 0).groupBy("key").agg(
+        F.count(F.lit(1)).alias("rows"), F.first("spans").alias("spans"), F.first("text").alias("text")
     )
-    held = found.filter(F.size("spans") > 0).select("key", F.explode(named).alias("e"), F.monotonically_increasing_id().alias("row"))
-    near = held.select("key", "row", "e.entity", F.explode("e.terms").alias("term")).distinct()
-    pairs = near.groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("rows"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_et"), F.count(F.lit(1)).alias("texts"))
-    often = settle(pairs.filter(F.col("texts") >= support))
-    holders = held.select("row", "e.entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    known = often.join(holders, "entity").join(term_counts(docs), "term")
+    held = settle(held.select("key", "rows", names.alias("names"), "text"))
+    named = held.select("key", "rows", F.explode("names").alias("entity"))
+    holders = named.groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count(F.lit(1)).alias("x_e"))
+    holders = settle(holders.filter("x_e > 1"))  # in one text the bound is 1
+    by_text = named.join(holders.select("entity"), "entity").groupBy("key").agg(F.collect_set("entity").alias("names"))
+    words = held.select("key", "rows", "text").join(by_text, "key")
+    pairs = words.select("rows", "names", F.explode(terms_of(F.col("text"))).alias("term"))
+    pairs = pairs.select("rows", "term", F.explode("names").alias("entity")).groupBy("entity", "term")
+    pairs = pairs.agg(F.sum("rows").alias("n_et"), F.count(F.lit(1)).alias("x_et")).filter("x_et > 1")
+    often = settle(pairs.join(holders, "entity"))
+    known = often.join(term_counts(docs, often.select("term").distinct()), "term")
     information = -F.log2(F.col("n_e") / F.lit(float(n)))
     disclosure = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    return settle(known.filter((information > 0) & (disclosure >= share * information)).select("entity", "term"))
+    # x_t is at most n_t less the copies that are known of
+    others = F.col("n_t") - (F.col("n_et") - F.col("x_et")) - 1
+    further = F.col("x_et") - 1
+    # C(m, k) <= (e * m / k) ** k
+    ways = F.log(F.col("x_e") - 1) - F.log(further) + F.when(further < F.col("x_e") - 1, 1.0).otherwise(0.0)
+    likely = further * (F.greatest(ways, F.lit(0.0)) + F.log(others / F.lit(float(max(1, texts - 1)))))
+    fits = (information > 0) & (disclosure >= share * information) & (likely <= F.log(F.lit(chance)))
+    return settle(known.filter(fits).select("entity", "term"))
 
 
 def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -197,10 +197,10 @@ def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return settle(hits.select("key", spans.alias("terms")))
 
 
-def private_spans(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+def private_spans(docs: DataFrame, share: float = SHARE, chance: float = CHANCE) -> DataFrame:
     """(doc_id, key, base, spans, text): base spans, and all of them; a row a document."""
     found = entities(docs)
-    terms = term_spans(found, disclosing(docs, found, share, support))
+    terms = term_spans(found, disclosing(docs, found, share, chance))
     some = found.filter(F.size("spans") > 0).join(terms, "key", "left")
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     outside = F.filter(
@@ -246,9 +246,9 @@ def clean_text(text: Column, spans: Column) -> Column:
     )
 
 
-def sanitised(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+def sanitised(docs: DataFrame, share: float = SHARE, chance: float = CHANCE) -> DataFrame:
     """`docs` with sanitised text; texts without spans, null ones too, as they are."""
-    done = private_spans(docs, share, support).filter(F.size("spans") > 0).dropDuplicates(["key"])
+    done = private_spans(docs, share, chance).filter(F.size("spans") > 0).dropDuplicates(["key"])
     shown = settle(done.select(F.col("key").alias("_key"), clean_text(F.col("text"), F.col("spans")).alias("_clean")))
     marked = docs.withColumn("_key", F.md5(F.col("text").cast("string").cast("binary")))
     joined = marked.join(shown, "_key", "left")

@@ -94,6 +94,18 @@ def test_disclosing_terms_need_several_texts(spark):
     assert not any(s.kind == "term" for r in op5_privacy.private_spans(frame).collect() for s in r.spans)
 
 
+def test_disclosing_terms_of_two_texts_and_far_from_the_entity(spark):
+    texts = disclosing_corpus()
+    far = " ".join(["dolor"] * 40)
+    texts[20] = f"Barney {far} b.r@example.net"
+    texts[21] = f"b.r@example.net {far} lorem Barney"
+    texts[22] = f"Dino {far} d.o@example.net"
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in op5_privacy.private_spans(frame).collect()}
+    shown = {i: [texts[i][s.start : s.stop] for s in found[i] if s.kind == "term"] for i in found}
+    assert shown[20] == shown[21] == ["Barney"] and shown[22] == []
+
+
 def test_privacy_report_and_empty(docs, no_docs):
     report = op5_privacy.report(op5_privacy.private_spans(docs))
     row = report.filter("n_card = 1").first()
