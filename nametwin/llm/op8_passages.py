@@ -1,9 +1,9 @@
-"""Removal of repeated passages of words, by seed and extend.
+"""Removal of repeated passages of words, by shared anchors.
 
 Documents meet on winnowed anchors: of every window of words the gram of least hash.
-A match is the anchor extended both ways as far as the windows around it agree, first
-by whole phrases, then by single windows where phrases differ (`windows`); overlapping
-windows with an earlier copy add up to maximal repeats of at least a window.
+Matches are not extended word by word: what surrounds a shared anchor is grouped by
+128-bit hash, first whole phrases, then single windows where phrases differ (`windows`);
+overlapping windows with an earlier copy add up to maximal repeats of at least a window.
 
 Earlier means smaller doc_id (null last), then, for one id on several texts, smaller
 hash, then earlier start. Rows that repeat both id and text are one document and each
