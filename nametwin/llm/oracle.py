@@ -105,4 +105,67 @@ ORACLES = {
                sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)
     """,
+    "op12_top_products": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, row_number() OVER best AS rank, vec_id, score
+        FROM scored
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY rank <= 5
+    """,
+    "op13_prefix_trie": r"""
+        WITH own AS (
+            SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ),
+        crc AS (  -- the table of CRC-32, by its rule
+            SELECT list(list_reduce(list_prepend(i, range(8)),
+                lambda x, s: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS steps
+            FROM range(256) AS r(i)
+        ),
+        hashed AS (
+            SELECT c, xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+                lambda x, b: xor(x >> 8, steps[(xor(x, b) & 255) + 1]))) % 4 AS h
+            FROM own, crc
+        ),
+        built AS (
+            SELECT own.c, coalesce(base.turns[1:h], []) || own.turns[h + 1:] AS turns
+            FROM own JOIN hashed USING (c) LEFT JOIN own AS base ON base.c = own.c - own.c % 20
+        ),
+        passed AS (
+            SELECT c, d, turns[1:d] AS prefix, len(turns) = d AS ends,
+                   CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(turns[d].t, '[^\x20\x09-\x0D]+')) END AS words
+            FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM built)
+        ),
+        nodes AS (
+            SELECT d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256, prefix
+            FROM passed GROUP BY d, prefix
+        ),
+        named AS (
+            SELECT nodes.*, above.conv_id AS parent
+            FROM nodes LEFT JOIN nodes AS above ON above.d = nodes.d - 1 AND above.prefix = nodes.prefix[1:nodes.d - 1]
+        ),
+        kids AS (SELECT d - 1 AS d, parent AS conv_id, count(*) AS n FROM named WHERE d > 0 GROUP BY ALL),
+        tree AS (SELECT named.*, coalesce(n, 0) AS n FROM named LEFT JOIN kids USING (d, conv_id)),
+        above AS (  -- every node with each of its ancestors and itself
+            SELECT top.d, top.conv_id, tree.n = 0 AS leaf, tree.saved
+            FROM tree JOIN passed ON passed.c = tree.conv_id AND passed.d <= tree.d
+            JOIN nodes AS top ON top.d = passed.d AND top.prefix = passed.prefix
+        ),
+        sums AS (SELECT d, conv_id, count_if(leaf) AS leaves, sum(saved) AS saved FROM above GROUP BY ALL)
+        SELECT conv_id, d AS depth, parent AS parent_conv_id, n_convs, n AS n_children, leaves::BIGINT AS n_leaves,
+               sums.saved::BIGINT AS saved_tokens, ends_sha256
+        FROM tree JOIN sums USING (d, conv_id)
+    """,
 }

@@ -20,6 +20,9 @@ from nametwin.llm import (
     op8_passages,
     op9_packing,
     op10_langid,
+    op11_periods,
+    op12_search,
+    op13_trie,
 )
 from nametwin.llm.common import table
 from nametwin.llm.oracle import ORACLES
@@ -87,6 +90,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of which are given one."""
+    docs = op11_periods.with_cycles(table(spark, sf_dir, "documents"))
+    return op11_periods.periodic_runs(docs, digest=True)
+
+
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return op12_search.top_products(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of conversations, each opened as the first of its twenty."""
+    return op13_trie.trie(op13_trie.shared_openings(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_passage_dedup,
         op9_pack_sequences,
         op10_language_id,
+        op11_periodic_runs,
+        op12_top_products,
+        op13_prefix_trie,
     )
 } | {"pipeline": corpus_pipeline.run}
 
