@@ -32,7 +32,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     rows = []
     for row in frame.itertuples(index=False):
-        rows.append(tuple("" if v is None or v != v else _text(v) for v in row))
+        rows.append(tuple("" if v is None or v is pd.NA or v != v else _text(v) for v in row))
     return sorted(rows)
 
 
@@ -47,7 +47,10 @@ def _text(value) -> str:
 def difference(spark_rows: pd.DataFrame, oracle_rows: pd.DataFrame) -> str | None:
     if sorted(spark_rows.columns) != sorted(oracle_rows.columns):
         return f"columns {sorted(spark_rows.columns)} vs {sorted(oracle_rows.columns)}"
-    a, b = canonical(spark_rows), canonical(oracle_rows)
+    # whole numbers with nulls are doubles on one side
+    floats = [c for c in spark_rows if (spark_rows[c].dtype == "float64") != (oracle_rows[c].dtype == "float64")]
+    floats = {c: "float64" for c in floats if pd.api.types.is_numeric_dtype(oracle_rows[c]) and pd.api.types.is_numeric_dtype(spark_rows[c])}
+    a, b = canonical(spark_rows.astype(floats)), canonical(oracle_rows.astype({c: "Float64" for c in floats}))
     if a == b:
         return None
     only_a = sorted(set(a) - set(b))[:2]
