@@ -3,7 +3,9 @@
 A decision states necessary conditions (`Bounds`) that every pair it accepts
 meets. A pair above a cosine bound shares a word, and a weight bound says which
 words are enough to look at: an exact index, not a sampling heuristic. Pairs
-below it, if the decision accepts any, are found by comparing names in tiles.
+below it, if the decision accepts any, are found by their spelling: segments for
+few edits, character signatures for other bounds (`spelling`). Only a decision
+without any bound on the spelling makes names be compared tile by tile.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from pyspark.sql import functions as F
 from nametwin.functions.similarity import jaro_winkler, levenshtein, sparse_dot
 from nametwin.operators.catalog import REFERENCE, SUPPLIER
 from nametwin.operators.keep import settle
+from nametwin.operators.spelling import bounds_something, segment_pairs, signature_pairs
 from nametwin.operators.tfidf import Idf, profiles, settled_cosine
 from nametwin.operators.tiling import TILE_ROWS, tiled_join
 
 MAX_BANDED = 2.0**31  # a finite edit bound cuts the distance matrix to a band
+MAX_SEGMENT_EDITS = 5  # beyond, segments of names are too short to tell them apart
 _SLACK = 1e-9  # room for rounding, so a pair exactly on a bound is kept
 
 
@@ -123,26 +127,50 @@ def sharing_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = T
     )
 
 
+def _profiled(names: DataFrame, idf: Idf) -> DataFrame:
+    """(request_id, side, norm, profile) of all names, those without known words among them."""
+    key = ["request_id", "side", "norm"]
+    weighed = names.select(key).join(profiles(names, key, idf), key, "left")
+    no_terms = F.create_map().cast("map<string,double>")
+    return settle(weighed.withColumn("profile", F.coalesce("profile", no_terms)))
+
+
+def _cosine() -> Column:
+    return settled_cosine(sparse_dot(F.col("A_profile"), F.col("B_profile"))).alias("cosine_similarity")
+
+
 def compared_names(names: DataFrame, idf: Idf, box: Box, tile_rows: int = TILE_ROWS) -> DataFrame:
     """The same columns for pairs in the box, whether or not they share a word.
 
-    No word index is exact here, so a request's distinct names are compared tile
-    by tile: each task holds a tile of either side, and pairs that fail a bound
-    die in the task that made them. None is shuffled.
+    The last resort: a request's distinct names are compared tile by tile. Each task
+    holds a tile of either side, and pairs that fail a bound die in the task that made
+    them. None is shuffled.
     """
-    weighed = names.select("request_id", "side", "norm").join(
-        profiles(names, ["request_id", "side", "norm"], idf), ["request_id", "side", "norm"], "left"
-    )
-    no_terms = F.create_map().cast("map<string,double>")
-    ready = settle(weighed.withColumn("profile", F.coalesce("profile", no_terms)))
+    ready = _profiled(names, idf)
     a, b = (_side(ready, side, ["norm", "profile"]) for side in (REFERENCE, SUPPLIER))
     met = tiled_join(a, b, ["request_id"], "A_norm", "B_norm", tile_rows)
-    return met.filter(_lengths_fit(box)).select(
-        "request_id",
-        "A_norm",
-        "B_norm",
-        settled_cosine(sparse_dot(F.col("A_profile"), F.col("B_profile"))).alias("cosine_similarity"),
-    )
+    return met.filter(_lengths_fit(box)).select("request_id", "A_norm", "B_norm", _cosine())
+
+
+def spelled_names(names: DataFrame, idf: Idf, box: Box, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The same columns for all pairs in the box, and perhaps some outside, by way of their spelling.
+
+    Few edits go by segments, any other bound on edits or on Jaro-Winkler by character
+    signatures. Weights are fetched for the pairs that are left.
+    """
+    if box.max_levenshtein < 0:  # no pair is that near
+        return compared_names(names.limit(0), idf, box, tile_rows)
+    if not bounds_something(box):
+        return compared_names(names, idf, box, tile_rows)
+    if box.max_levenshtein < MAX_SEGMENT_EDITS + 1:
+        near = segment_pairs(names, int(box.max_levenshtein), tile_rows)
+    else:
+        near = signature_pairs(names, box, tile_rows)
+    ready = _profiled(names, idf)
+    a, b = (_side(ready, side, ["norm", "profile"]) for side in (REFERENCE, SUPPLIER))
+    half = tiled_join(settle(near), a, ["request_id", "A_norm"], "B_norm", "A_norm", tile_rows)
+    both = tiled_join(settle(half), b, ["request_id", "B_norm"], "A_norm", "B_norm", tile_rows)
+    return both.select("request_id", "A_norm", "B_norm", _cosine())
 
 
 def _with_distances(pairs: DataFrame, box: Box) -> DataFrame:
@@ -162,11 +190,11 @@ def _with_distances(pairs: DataFrame, box: Box) -> DataFrame:
 def acceptable_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = TILE_ROWS) -> DataFrame:
     """All name pairs within the bounds, with the three features."""
     if bounds.min_cosine <= 0:
-        return _with_distances(compared_names(names, idf, bounds.above, tile_rows), bounds.above)
+        return _with_distances(spelled_names(names, idf, bounds.above, tile_rows), bounds.above)
     pairs = _with_distances(sharing_names(names, idf, bounds, tile_rows), bounds.above)
     if bounds.below is None:
         return pairs
-    rest = compared_names(names, idf, bounds.below, tile_rows).filter(
+    rest = spelled_names(names, idf, bounds.below, tile_rows).filter(
         F.col("cosine_similarity") <= bounds.min_cosine + _SLACK
     )
     # a pair on the cut that lies in both boxes is in the first part already

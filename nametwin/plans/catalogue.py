@@ -32,6 +32,9 @@ RULE_BOUNDS = Bounds(RULE_COSINE, Box(min_jaro_winkler=RULE_WINKLER))
 # A second rule, which also takes near spellings without a common word.
 NEAR_EDITS = 3
 NEAR_BOUNDS = Bounds(RULE_COSINE, Box(), Box(max_levenshtein=NEAR_EDITS))
+# A third, which takes those that Jaro-Winkler finds alike, however many the edits.
+ALIKE_WINKLER = 0.78
+ALIKE_BOUNDS = Bounds(RULE_COSINE, Box(), Box(min_jaro_winkler=ALIKE_WINKLER))
 SETTINGS = Settings()
 # What makes small tables take the ways of large ones.
 SMALL_TILE, SMALL_RANGE = 50, 100
@@ -208,6 +211,17 @@ def near_name_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def similar_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule that also takes pairs without a common word, if Jaro-Winkler finds them alike."""
+    entries = tables.part_entries(spark, folder)
+    rule = _rule(entries)
+    alike = F.col("jaro_winkler_similarity") >= ALIKE_WINKLER
+    either = Rule(rule.idf, ALIKE_BOUNDS, rule.condition | alike)
+    accepted = match_entries(entries, either).accepted
+    found = accepted.select("request_id", "A_norm", "B_norm", "jaro_winkler_similarity")
+    return _rounded(found, "jaro_winkler_similarity")
+
+
 def rule_match_counts(spark: SparkSession, folder: str) -> DataFrame:
     matched = _rule_matched(spark, folder)
     return mapping.match_counts(matched.names, matched.accepted)
@@ -363,6 +377,13 @@ def unseen_terms(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(found, "unseen_rate")
 
 
+def unseen_term_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the conversations that the documents never use, beside known words one edit away."""
+    docs = tables.table(spark, folder, "documents").select(normalize(F.col("text")).alias("norm"))
+    talk = tables.table(spark, folder, "conversations").select(F.col("text").alias("name"))
+    return monitoring.unseen_spellings(talk, fit_idf(docs, F.col("norm")))
+
+
 def accuracy_by_day(spark: SparkSession, folder: str) -> DataFrame:
     orders = tables.table(spark, folder, "orders")
     scored = orders.select(
@@ -530,13 +551,13 @@ QUERIES = {
         tfidf_idf, tfidf_cosine_pairs, tfidf_cosine_shuffled, levenshtein_pairs, jaro_winkler_pairs,
         embedding_cosine_pairs, feature_rows,
         rule_name_pairs, rule_mapping, rule_match_counts, mapping_json,
-        rule_mapping_tiled, near_name_pairs,
+        rule_mapping_tiled, near_name_pairs, similar_spellings,
         request_entries, request_errors,
         split_assign, split_sizes, synthetic_pairs, synthetic_accented, synthetic_match_rate,
         confusion_metrics, average_precision, average_precision_ranges, roc_auc, score_quantiles,
         precision_by_threshold, min_precision_threshold, evaluation_report,
         tp_examples, tn_examples, sample_matching, sample_nonmatching,
-        name_drift, unseen_terms, accuracy_by_day,
+        name_drift, unseen_terms, unseen_term_spellings, accuracy_by_day,
         train_and_score, feature_importance, quality_report, model_roundtrip,
         published_metrics, tuning_trials, model_bounds,
         match_by_model, matching_equals_scoring, reply_by_model, reply_by_rule, stream_match, stream_by_rule,

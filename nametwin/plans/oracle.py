@@ -124,6 +124,7 @@ lists AS (
 _SIMILAR = "(d.dot / (sa.size * sb.size) >= 0.8 AND jaro_winkler_similarity(c.A_norm, c.B_norm) >= 0.6)"
 RULE = _rule(ENTRIES, _SIMILAR)
 NEAR_RULE = _rule(ENTRIES, f"({_SIMILAR} OR levenshtein(c.A_norm, c.B_norm) <= 3)", inner=False)
+ALIKE_RULE = _rule(ENTRIES, f"({_SIMILAR} OR jaro_winkler_similarity(c.A_norm, c.B_norm) >= 0.78)", inner=False)
 
 REQUEST_ROWS = f"""{TALK}, sent AS (
   SELECT pair_id AS request_id, 'A' AS side, regexp_split_to_array(A, '[.\\n]') AS names FROM talk
@@ -329,6 +330,14 @@ ORACLES = {
     "stream_by_rule": _replies(TALK_RULE, "SELECT pair_id AS request_id FROM talk"),
     "near_name_pairs": f"""WITH {NEAR_RULE}
         SELECT request_id, A_norm, B_norm, levenshtein_distance::BIGINT AS levenshtein_distance FROM accepted""",
+    "similar_spellings": f"""WITH {ALIKE_RULE}
+        SELECT request_id, A_norm, B_norm, round(jaro_winkler_similarity, 6) AS jaro_winkler_similarity FROM accepted""",
+    "unseen_term_spellings": f"""
+        WITH known AS (SELECT DISTINCT unnest({_tokens(_norm('text'))}) AS term FROM documents),
+        words AS (SELECT DISTINCT unnest({_tokens(_norm('text'))}) AS term FROM conversations),
+        unseen AS (SELECT term FROM words ANTI JOIN known USING (term))
+        SELECT u.term, k.term AS known FROM unseen u JOIN known k
+          ON abs(length(u.term) - length(k.term)) <= 1 AND levenshtein(u.term, k.term) <= 1""",
     "matching_equals_scoring": f"""WITH {USABLE}, names AS (SELECT DISTINCT request_id, side, norm FROM usable)
         SELECT count(*)::BIGINT AS n_pairs, 0::BIGINT AS n_different
         FROM names a JOIN names b USING (request_id) WHERE a.side = 'A' AND b.side = 'B'""",

@@ -48,3 +48,12 @@ def jaro_winkler(a: str, b: str) -> float:
     while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
         prefix += 1
     return plain + 0.1 * prefix * (1 - plain) if plain > 0.7 else plain
+
+
+def levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
