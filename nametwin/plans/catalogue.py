@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nametwin.config import Settings
+from nametwin.config import FEATURES, Settings
 from nametwin.functions.similarity import dense_cosine, jaro_winkler, levenshtein
 from nametwin.functions.text import is_valid, normalize, tokens
 from nametwin.operators import catalog, mapping, metrics
@@ -18,8 +18,9 @@ from nametwin.operators.split import assign_by_hash, assign_exact, deduplicate
 from nametwin.operators.tfidf import document_frequencies, fit_idf, pair_cosine, weigh
 from nametwin.plans import monitoring
 from nametwin.plans.matching import Matched, Rule, accept, match_catalogs, match_entries
-from nametwin.plans.model import run_model, split_counts
+from nametwin.plans.model import run_model
 from nametwin.plans.training import Trained, quality_gate, train
+from nametwin.plans.trees import gain_shares, score_by_boxes, split_counts, tree_nodes
 from nametwin.plans.tuning import best_params
 from nametwin.sources import registry, tables
 from nametwin.sources.requests import parse_requests
@@ -418,6 +419,45 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     return split_counts(spark, _part_model(spark, folder).matcher.pipeline)
 
 
+def scores_by_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs with the features the model sees, and whether its leaf boxes score them as the model does."""
+    matcher = _part_model(spark, folder).matcher
+    pairs = deduplicate(tables.part_pairs(spark, folder))
+    scored = settle(run_model(pairs, "pair_id", matcher).withColumnRenamed("proba", "by_model"))
+    both = score_by_boxes(scored, tree_nodes(spark, matcher.pipeline))
+    close = F.abs(F.col("proba") - F.col("by_model")) < 1e-9
+    decided = (F.col("proba") >= matcher.threshold) == F.col("decision")
+    on_edge = F.abs(F.col("proba") - matcher.threshold) < 1e-9
+    found = both.select(
+        "A", "B", "match", "cosine_similarity", F.col("levenshtein_distance").cast("long").alias("levenshtein_distance"),
+        "jaro_winkler_similarity", (close & (decided | on_edge)).alias("agrees"),
+    )
+    return _rounded(found, "cosine_similarity", "jaro_winkler_similarity")
+
+
+def importance_by_gain(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the saved nodes add up to the importances that Spark reports, feature by feature."""
+    pipeline = _part_model(spark, folder).matcher.pipeline
+    reported = [(f, float(v)) for f, v in zip(FEATURES, pipeline.stages[-1].featureImportances.toArray(), strict=True)]
+    other = spark.createDataFrame(reported, "feature string, reported double")
+    nodes = tree_nodes(spark, pipeline)
+    inner = nodes.agg(F.count_if(F.col("left").isNotNull()).alias("n_inner"), F.count_if(F.col("left").isNull()).alias("n_leaves"))
+    counted = split_counts(spark, pipeline).agg(F.sum("importance").alias("n_counted"))
+    whole = inner.join(counted).select(  # one row each
+        ((F.col("n_counted") == F.col("n_inner")) & (F.col("n_leaves") == F.col("n_inner") + pipeline.stages[-1].getNumTrees)).alias("splits_agree")
+    )
+    same = F.abs(F.col("share") - F.col("reported")) < 1e-9
+    return gain_shares(spark, pipeline).join(other, "feature").join(whole).select("feature", same.alias("gain_agrees"), "splits_agree")
+
+
+def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies of the model, and those that the stream and the batch do not give alike."""
+    columns = ["request_id", "part", "positional_mapping", "error"]
+    one, two = (settle(q(spark, folder).select(columns)) for q in (reply_by_model, stream_match))
+    different = one.exceptAll(two).unionByName(two.exceptAll(one)).agg(F.count("*").alias("n_different"))
+    return one.agg(F.count_distinct("request_id").alias("n_requests")).join(different)
+
+
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     trained = _part_model(spark, folder)
     quality_gate(trained.metrics)
@@ -441,6 +481,16 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("version", F.lit(version).cast("long"))
 
 
+def smoke_before_publishing(spark: SparkSession, folder: str) -> DataFrame:
+    """Matching and other pairs scored by a published model read back, and its number."""
+    store = scratch_folder(spark)
+    version = registry.publish(spark, store, _part_model(spark, folder), SETTINGS)
+    scored = run_model(registry.smoke_pairs(spark), "pair_id", registry.load(spark, store, version))
+    fine = F.col("proba").between(0, 1) & F.col("decision").isNotNull()
+    counted = scored.groupBy("match").agg(F.count("*").alias("n"), F.count_if(fine).alias("n_fine"))
+    return counted.withColumn("version", F.lit(version).cast("long"))
+
+
 def drift_from_training(spark: SparkSession, folder: str) -> DataFrame:
     """Lengths of customer names against those of the names a published model has seen."""
     store = scratch_folder(spark)
@@ -456,7 +506,7 @@ def drift_from_training(spark: SparkSession, folder: str) -> DataFrame:
 def published_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Two different models read back from the store, the better one marked."""
     store = scratch_folder(spark)
-    shallow = replace(SETTINGS, boost=replace(SETTINGS.boost, max_depth=1, max_iter=20))
+    shallow = replace(SETTINGS, boost=replace(SETTINGS.boost, max_depth=1))
     registry.publish(spark, store, _part_model(spark, folder), SETTINGS)
     registry.publish(spark, store, train(tables.part_pairs(spark, folder), shallow), shallow)
     best = registry.best_version(spark, store)
@@ -465,9 +515,9 @@ def published_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tuning_trials(spark: SparkSession, folder: str) -> DataFrame:
-    """Every step of the search: setting and validation log loss."""
+    """Every step of the search: setting, its best number of rounds, and validation log loss with them."""
     _, trials = best_params(tables.part_pairs(spark, folder), SETTINGS)
-    return spark.createDataFrame(trials, "setting string, log_loss double")
+    return spark.createDataFrame(trials, "setting string, rounds long, log_loss double")
 
 
 def model_bounds(spark: SparkSession, folder: str) -> DataFrame:
@@ -558,9 +608,9 @@ QUERIES = {
         precision_by_threshold, min_precision_threshold, evaluation_report,
         tp_examples, tn_examples, sample_matching, sample_nonmatching,
         name_drift, unseen_terms, unseen_term_spellings, accuracy_by_day,
-        train_and_score, feature_importance, quality_report, model_roundtrip,
-        published_metrics, tuning_trials, model_bounds,
+        train_and_score, scores_by_boxes, feature_importance, importance_by_gain, quality_report, model_roundtrip,
+        smoke_before_publishing, published_metrics, model_bounds,
         match_by_model, matching_equals_scoring, reply_by_model, reply_by_rule, stream_match, stream_by_rule,
-        drift_from_training,
+        stream_equals_batch, drift_from_training, tuning_trials,
     )
 }

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +18,7 @@ from nametwin.operators.features import feature_table
 from nametwin.operators.keep import use_checkpoint_folder
 from nametwin.operators.metrics import take_decision
 from nametwin.operators.tfidf import Idf
+from nametwin.plans.trees import tree_cuts, tree_nodes
 
 NOTHING = Box(max_levenshtein=-1.0)  # no pair has a negative distance
 FIT_ROWS_PER_PARTITION = 100_000
@@ -44,19 +44,13 @@ def settled(features: DataFrame, key: str) -> DataFrame:
 def fit_boosted(
     train: DataFrame, key: str, params: BoostParams, validation: DataFrame | None = None
 ) -> PipelineModel:
-    """Boosted trees on the feature columns and `match`.
+    """Boosted trees on the feature columns and `match`; all rounds run.
 
-    With `validation`, boosting stops once the loss on it stalls; by default all
-    rounds run.
+    With `validation`, the first rounds that do best on it are kept.
     """
     use_checkpoint_folder(train.sparkSession)
     columns = [key, *FEATURES, F.col(TARGET).cast("double").alias("label")]
     rows = train.select(*columns)
-    options = {}
-    if validation is not None:
-        held = validation.select(*columns).withColumn("held_out", F.lit(True))
-        rows = rows.withColumn("held_out", F.lit(False)).unionAll(held)
-        options["validationIndicatorCol"] = "held_out"
     trees = GBTClassifier(
         featuresCol="features",
         labelCol="label",
@@ -69,14 +63,40 @@ def fit_boosted(
         subsamplingRate=params.subsampling_rate,
         featureSubsetStrategy=params.feature_subset,
         seed=params.seed,
-        **options,
     )
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     kept = settled(rows, key)
     try:
-        return Pipeline(stages=[assembler, trees]).fit(kept)
+        fitted = Pipeline(stages=[assembler, trees]).fit(kept)
     finally:
         kept.unpersist()
+    if validation is None:
+        return fitted
+    losses = prefix_losses(fitted, validation)
+    return first_rounds(fitted, losses.index(min(losses)) + 1)
+
+
+def prefix_losses(pipeline: PipelineModel, validation: DataFrame) -> list[float]:
+    """Log loss on labelled features after the first round, after two, and so on; one pass over the rows."""
+    labelled = validation.withColumn("label", F.col(TARGET).cast("double"))
+    assembler, trees = pipeline.stages
+    return [x / 2 for x in trees.evaluateEachIteration(assembler.transform(labelled))]  # Spark's is twice the log loss
+
+
+def first_rounds(pipeline: PipelineModel, rounds: int) -> PipelineModel:
+    """The model that boosting would have ended with after `rounds`: later trees never change earlier ones."""
+    assembler, trees = pipeline.stages
+    context, java = SparkContext._active_spark_context, trees._java_obj
+    jvm = context._jvm.org.apache.spark.ml
+    kept = context._gateway.new_array(jvm.regression.DecisionTreeRegressionModel, rounds)
+    weights = context._gateway.new_array(context._jvm.double, rounds)
+    every = java.trees()
+    for i in range(rounds):
+        kept[i], weights[i] = every[i], float(trees.treeWeights[i])
+    short = jvm.classification.GBTClassificationModel(
+        trees.uid, kept, weights, java.numFeatures(), java.numClasses()
+    )
+    return PipelineModel([assembler, GBTClassificationModel(java.copyValues(short, java.extractParamMap()))])
 
 
 def add_probability(features: DataFrame, pipeline: PipelineModel) -> DataFrame:
@@ -93,24 +113,6 @@ def run_model(pairs: DataFrame, key: str, matcher: Matcher) -> DataFrame:
     return scored.withColumn(DECISION, take_decision(F.col(PROBA), matcher.threshold))
 
 
-def _splits(pipeline: PipelineModel) -> list[tuple[int, float]]:
-    """(feature index, cut) of every inner node of every tree."""
-    model = pipeline.stages[-1]
-    found = re.findall(r"If \(feature (\d+) <= (\S+)\)", model.toDebugString)
-    inner = sum((tree.numNodes - 1) // 2 for tree in model.trees)
-    if len(found) != inner:
-        raise ValueError(f"read {len(found)} of {inner} cuts of the trees")
-    return [(int(f), float(c)) for f, c in found]
-
-
-def split_counts(spark: SparkSession, pipeline: PipelineModel) -> DataFrame:
-    """(feature, importance): how often the trees split on each feature, most used first."""
-    used = [f for f, _ in _splits(pipeline)]
-    rows = [(name, used.count(i)) for i, name in enumerate(FEATURES)]
-    table = spark.createDataFrame(rows, "feature string, importance long")
-    return table.orderBy(F.desc("importance"), "feature")
-
-
 def acceptance_bounds(spark: SparkSession, pipeline: PipelineModel, threshold: float) -> Bounds:
     """The boxes of feature values outside of which the model never accepts.
 
@@ -118,7 +120,7 @@ def acceptance_bounds(spark: SparkSession, pipeline: PipelineModel, threshold: f
     every possible pair. The grid has at most max_bins values per feature; it is
     laid out and scored as a distributed range and only the corners come back.
     """
-    cuts = {i: sorted({c for f, c in _splits(pipeline) if f == i}) for i in range(len(FEATURES))}
+    cuts = dict(enumerate(tree_cuts(tree_nodes(spark, pipeline))))
     low = {i: [float("-inf"), *c] for i, c in cuts.items()}
     high = {i: [*c, float("inf")] for i, c in cuts.items()}
     inside = {i: [*c, (c[-1] if c else 0.0) + 1.0] for i, c in cuts.items()}

@@ -85,6 +85,16 @@ cosine AS (
   WHERE a.is_a = 1
   GROUP BY a.pair_id)"""
 
+# distinct pairs, split as the training does, with weights of the training part
+_HELD = "ceil((SELECT count(*) FROM uniq) * (0.3::DOUBLE + (1.0::DOUBLE - 0.6 - 0.3)))"
+MODEL_COSINE = f"""{PART_PAIRS}, uniq AS (
+  SELECT *, sha256('{{"A":"' || A || '","B":"' || B || '","match":' || match || '}}') AS pair_id
+  FROM (SELECT DISTINCT A, B, match FROM pairs)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY {_unit("pair_id || ':42'")}, pair_id) AS r FROM uniq),
+text_pairs AS (SELECT *, {_norm('A')} AS A_norm, {_norm('B')} AS B_norm FROM ranked),
+known AS (SELECT * FROM text_pairs WHERE r <= (SELECT count(*) FROM uniq) - {_HELD}),
+docs AS (SELECT A_norm AS norm FROM known UNION ALL SELECT B_norm FROM known), {IDF_OF_DOCS}{PAIR_COSINE.removeprefix(PAIR_IDF)}"""
+
 # every pair of distinct names of a request, then the rule: the brute-force answer
 def _rule(entries: str, accepted: str, inner: bool = True) -> str:
     side = "JOIN" if inner else "LEFT JOIN"
@@ -341,6 +351,18 @@ ORACLES = {
     "matching_equals_scoring": f"""WITH {USABLE}, names AS (SELECT DISTINCT request_id, side, norm FROM usable)
         SELECT count(*)::BIGINT AS n_pairs, 0::BIGINT AS n_different
         FROM names a JOIN names b USING (request_id) WHERE a.side = 'A' AND b.side = 'B'""",
+    "scores_by_boxes": f"""WITH {MODEL_COSINE}
+        SELECT A, B, match, round(coalesce(cosine, 0.0), 6) AS cosine_similarity,
+               levenshtein(A_norm, B_norm)::BIGINT AS levenshtein_distance,
+               round(jaro_winkler_similarity(A_norm, B_norm), 6) AS jaro_winkler_similarity, true AS agrees
+        FROM text_pairs LEFT JOIN cosine USING (pair_id)""",
+    "importance_by_gain": """
+        SELECT unnest(['cosine_similarity', 'levenshtein_distance', 'jaro_winkler_similarity']) AS feature,
+               true AS gain_agrees, true AS splits_agree""",
+    "smoke_before_publishing": """
+        SELECT match, 5::BIGINT AS n, 5::BIGINT AS n_fine, 1::BIGINT AS version FROM (VALUES (true), (false)) AS v(match)""",
+    "stream_equals_batch": f"""WITH {TALK}
+        SELECT count(*)::BIGINT AS n_requests, 0::BIGINT AS n_different FROM talk""",
     "model_roundtrip": f"""WITH {PART_PAIRS}
         SELECT count(*)::BIGINT AS n_pairs, 0::BIGINT AS n_different, 1::BIGINT AS version
         FROM (SELECT DISTINCT A, B, match FROM pairs)""",

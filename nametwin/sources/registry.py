@@ -1,17 +1,25 @@
 """Published models: versioned folders plus a manifest, all on shared storage.
 
-Layout under one folder: `model/<id>` (pipeline, idf, meta, example, lengths),
-`manifest`, `metrics` and `params`. Paths and run ids are random, and the number of a
-version exists in its manifest row alone, which is written last: a reader sees a
-version only when all of it is there, and a publisher that dies before leaves nothing
-that the next one meets.
+Layout under one folder: `model/<id>` (pipeline, idf, meta, example, lengths), `metrics`,
+`params`, and `manifest/<number>.json`, a file a version. Paths and run ids are random,
+and a version's number exists in the manifest alone, which is written last: a reader
+sees a version only when all of it is there.
+
+Numbers are given by optimistic concurrency: a publisher creates the file of the next
+number only if there is none, and tries the one after that if another was faster. No two
+get the same number, no lock is held, and a publisher that dies leaves at most a gap.
+Before it asks for a number, a model is read back and must score five matching and five
+other pairs as it did in memory.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import asdict
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +31,15 @@ from nametwin.operators.tfidf import Idf
 from nametwin.plans.model import Matcher, run_model
 from nametwin.plans.monitoring import length_histogram, overall_shares
 from nametwin.plans.training import Trained
+from nametwin.sources.synthetic import labelled_pairs
+
+SMOKE_PAIRS = 5  # of either kind
+_COMMIT = "version long, run_id string, path string"
+
+
+class BrokenModel(RuntimeError):
+    """A model that does not score after being written and read back; it gets no number."""
+
 
 _META = (
     "threshold double, n_docs long, n_terms long, n_bytes long, "
@@ -40,8 +57,65 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the session's storage."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, f"{folder}/manifest", "version long, run_id string, path string")
+    """(version, run_id, path) of what is published; a number claimed but not filled in is not."""
+    files, target = _hadoop(spark, f"{folder}/manifest")
+    if not files.exists(target):
+        return spark.createDataFrame([], _COMMIT)
+    return spark.read.schema(_COMMIT).json(f"{folder}/manifest").filter("run_id IS NOT NULL")
+
+
+def claimed(spark: SparkSession, folder: str) -> int:
+    """The highest number that any publisher has claimed; 0 without any."""
+    files, target = _hadoop(spark, f"{folder}/manifest")
+    if not files.exists(target):
+        return 0
+    names = (s.getPath().getName() for s in files.listStatus(target))  # a file a version
+    return max((int(n.split(".")[0]) for n in names if n.endswith(".json")), default=0)
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file unless there is one; false if there is.
+
+    Hadoop's create without overwriting is atomic on shared storage. On a local disk it
+    looks first and creates then, so there the operating system's exclusive open is used.
+    """
+    files, target = _hadoop(spark, path)
+    files.mkdirs(target.getParent())
+    if files.getScheme() == "file":
+        try:
+            with open(unquote(target.toUri().getPath()), "x") as out:
+                out.write(text)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = files.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in str(error.java_exception):
+            raise
+        return False
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def commit(spark: SparkSession, folder: str, run_id: str, path: str) -> int:
+    """Give a run the next free number."""
+    version = claimed(spark, folder) + 1
+    while True:
+        row = json.dumps({"version": version, "run_id": run_id, "path": path})
+        if _create(spark, f"{folder}/manifest/{version:010d}.json", row):
+            return version
+        version += 1
 
 
 def latest_version(spark: SparkSession, folder: str) -> int | None:
@@ -107,10 +181,32 @@ def publish(
     )
     logged = spark.createDataFrame(_logged_params(settings), "param string, value string")
     logged.select(run, "*").coalesce(1).write.mode("append").parquet(f"{folder}/params")
-    version = (latest_version(spark, folder) or 0) + 1
-    row = spark.createDataFrame([(version, run_id, path)], "version long, run_id string, path string")
-    row.coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
-    return version
+    smoke(spark, path, matcher)
+    return commit(spark, folder, run_id, path)
+
+
+def smoke_pairs(spark: SparkSession) -> DataFrame:
+    """Five generated pairs that match and five that do not."""
+    five = [labelled_pairs(spark, SMOKE_PAIRS, ratio, seed=11) for ratio in (1.0, 0.0)]
+    key = F.concat_ws("-", F.col("match").cast("string"), "pair_id")
+    return five[0].unionByName(five[1]).withColumn("pair_id", key)
+
+
+def smoke(spark: SparkSession, path: str, matcher: Matcher) -> None:
+    """Raise `BrokenModel` unless what lies under `path` scores as `matcher` does."""
+
+    def scores(model: Matcher) -> dict[str, tuple]:
+        rows = run_model(smoke_pairs(spark), "pair_id", model).select("pair_id", "proba", "decision").collect()
+        return {r["pair_id"]: (r["proba"], r["decision"]) for r in rows}  # ten rows
+
+    try:
+        written = scores(_read(spark, path))
+    except Exception as error:
+        raise BrokenModel(f"{path} cannot be read back") from error
+    if len(written) != 2 * SMOKE_PAIRS or any(p is None or not 0 <= p <= 1 for p, _ in written.values()):
+        raise BrokenModel(f"{path} does not score {2 * SMOKE_PAIRS} pairs with probabilities")
+    if written != scores(matcher):
+        raise BrokenModel(f"{path} scores otherwise than the model that was written")
 
 
 def _path(spark: SparkSession, folder: str, version: int | None) -> str:
@@ -134,7 +230,10 @@ def name_shares(spark: SparkSession, folder: str, version: int | None = None) ->
 
 def load(spark: SparkSession, folder: str, version: int | None = None) -> Matcher:
     """The given version, or the newest published one."""
-    path = _path(spark, folder, version)
+    return _read(spark, _path(spark, folder, version))
+
+
+def _read(spark: SparkSession, path: str) -> Matcher:
     meta = spark.read.schema(_META).parquet(f"{path}/meta").first()
     above = Box(meta["max_levenshtein"], meta["min_jaro_winkler"])
     below = None

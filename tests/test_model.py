@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import json
+import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from nametwin.config import BoostParams, Settings
+from nametwin.config import FEATURES, BoostParams, Settings
 from nametwin.operators import catalog
 from nametwin.operators.candidates import Bounds, Box, acceptable_names
 from nametwin.operators.features import check_features
 from nametwin.operators.keep import keep, releasing, settle
 from nametwin.operators.metrics import take_decision
 from nametwin.plans.matching import match_catalogs, match_entries
-from nametwin.plans.model import acceptance_bounds, add_probability, run_model, split_counts
+from nametwin.plans.model import acceptance_bounds, add_probability, first_rounds, fit_boosted, prefix_losses, run_model
 from nametwin.plans.monitoring import length_drift, length_histogram, unseen_term_rate
 from nametwin.plans.training import quality_gate, train, train_on_generated
+from nametwin.plans.trees import leaf_boxes, score_by_boxes, split_counts, tree_nodes
 from nametwin.plans.tuning import best_params
 from nametwin.sources import registry
 from nametwin.sources.requests import read_requests, write_replies
@@ -169,13 +172,76 @@ def test_publish_and_load(spark, trained, tmp_path):
 def test_a_publisher_that_dies_leaves_nothing_in_the_way(spark, trained, tmp_path, monkeypatch):
     store = str(tmp_path / "store")
     with monkeypatch.context() as broken:
-        broken.setattr(registry, "latest_version", lambda *_: 1 / 0)  # after the model, before the manifest
+        broken.setattr(registry, "commit", lambda *_: 1 / 0)  # after the model, before the manifest
         with pytest.raises(ZeroDivisionError):
             registry.publish(spark, store, trained, FEW)
     assert registry.latest_version(spark, store) is None
-    assert registry.publish(spark, store, trained, FEW) == 1
+    os.makedirs(f"{store}/manifest")
+    open(f"{store}/manifest/0000000001.json", "x").close()  # another died after it claimed a number
+    assert registry.latest_version(spark, store) is None
+    assert registry.publish(spark, store, trained, FEW) == 2
     runs = registry.manifest(spark, store).join(registry.metrics(spark, store), "run_id")
-    assert runs.count() == 10 and registry.best_version(spark, store) == 1
+    assert runs.count() == 10 and registry.best_version(spark, store) == 2
+
+
+def test_publishers_at_once_get_different_numbers(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "a store")
+    monkeypatch.setattr(registry, "claimed", lambda *_: 0)  # all see an empty manifest
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda i: registry.commit(spark, store, f"run{i}", f"path{i}"), range(24)))
+    assert sorted(numbers) == list(range(1, 25))
+    rows = {(r["version"], r["run_id"]) for r in registry.manifest(spark, store).collect()}
+    assert rows == {(n, f"run{i}") for i, n in enumerate(numbers)}
+
+
+def test_a_broken_model_gets_no_number(spark, trained, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    nan = replace(trained, matcher=replace(trained.matcher, pipeline=first_rounds(trained.matcher.pipeline, 3)))
+    real = registry._read
+
+    def other(session, path):
+        return replace(real(session, path), pipeline=trained.matcher.pipeline)
+
+    with monkeypatch.context() as swapped:
+        swapped.setattr(registry, "_read", other)
+        with pytest.raises(registry.BrokenModel, match="otherwise"):
+            registry.publish(spark, store, nan, FEW)
+    with monkeypatch.context() as lost:
+        lost.setattr(registry, "_read", lambda *_: 1 / 0)
+        with pytest.raises(registry.BrokenModel, match="read back"):
+            registry.publish(spark, store, trained, FEW)
+    assert registry.latest_version(spark, store) is None and registry.claimed(spark, store) == 0
+
+
+def test_leaf_boxes_part_the_space_and_score_like_the_model(spark, trained):
+    nodes = settle(tree_nodes(spark, trained.matcher.pipeline))
+    trees = trained.matcher.pipeline.stages[-1].trees
+    assert nodes.count() == sum(t.numNodes for t in trees)
+    boxes = leaf_boxes(nodes).collect()
+    assert len(boxes) == sum((t.numNodes + 1) // 2 for t in trees)
+    pairs = labelled_pairs(spark, 700, 0.5, seed=21)
+    scored = settle(run_model(pairs, "pair_id", trained.matcher).withColumnRenamed("proba", "other"))
+    for r in scored.limit(20).collect():
+        x = [r[f] for f in FEATURES]
+        hit = [b for b in boxes if all(b[f"low{i}"] < v <= b[f"high{i}"] for i, v in enumerate(x))]
+        assert sorted(b["tree"] for b in hit) == list(range(len(trees)))
+    again = score_by_boxes(scored, nodes)
+    assert again.columns == [*scored.columns, "proba"]
+    assert again.count() == 700 and again.filter(F.abs(F.col("proba") - F.col("other")) > 1e-12).count() == 0
+    assert score_by_boxes(scored.limit(0), nodes).count() == 0
+
+
+def test_first_rounds_are_the_model_of_so_many_rounds(spark):
+    rows = train(labelled_pairs(spark, 600, 0.5), replace(FEW, min_precision=0.5))
+    features = rows.scored_test.drop("proba", "decision")
+    long, short = (fit_boosted(features, "pair_id", BoostParams(max_iter=n, subsampling_rate=0.8)) for n in (6, 4))
+    cut = first_rounds(long, 4)
+    one, two = (add_probability(features, m).orderBy("pair_id").collect() for m in (cut, short))
+    assert one == two and cut.stages[-1].getNumTrees == 4
+    losses = prefix_losses(long, features)
+    assert len(losses) == 6 and losses[3] == pytest.approx(prefix_losses(short, features)[-1])
+    by_hand = [-math.log(r["proba"] if r["match"] else 1 - r["proba"]) for r in one]
+    assert losses[3] == pytest.approx(sum(by_hand) / len(by_hand))
 
 
 def test_published_name_lengths_have_no_drift_against_themselves(spark, trained, tmp_path):
@@ -258,14 +324,15 @@ def test_kept_frames_are_released(spark):
 def test_tuning_dry_run(spark):
     steps = (("max_depth", (5, 3)), ("subsampling_rate", (1.0, 0.8)))
     pairs = labelled_pairs(spark, 600, 0.5)
-    best, trials = best_params(pairs, rounds=2, steps=steps)
-    assert len(trials) == 3 and best["max_iter"] == 2
-    assert min(loss for _, loss in trials) < 0.7
-    again = train(pairs, Settings(boost=BoostParams(**best)))
-    assert again.matcher.pipeline is not None
+    best, trials = best_params(pairs, rounds=4, steps=steps)  # two trials of a step at a time
+    assert [t[0] for t in trials] == ["start", "max_depth=3", "subsampling_rate=0.8"]
+    _, rounds, loss = min(trials, key=lambda t: t[2])
+    assert best["max_iter"] == rounds <= 4 and loss < 0.7
+    again = train(pairs, Settings(min_precision=0.5, boost=BoostParams(**best)))
+    assert again.matcher.pipeline.stages[-1].getNumTrees == rounds
 
 
-def test_early_stop_uses_fewer_trees(spark):
+def test_the_best_rounds_are_kept_although_later_ones_are_worse(spark):
     pairs = labelled_pairs(spark, 600, 0.5)
     settings = Settings(min_precision=0.5, boost=BoostParams(max_iter=30, step_size=1.0))
     stopped = train(pairs, settings, early_stop=True)
