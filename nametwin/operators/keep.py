@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 log = logging.getLogger(__name__)
 _told: set[str] = set()
 
+_files: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # where settled frames lie
 _scope: ContextVar[list[Callable[[], object]] | None] = ContextVar("kept", default=None)
 _local: list[tempfile.TemporaryDirectory] = []  # removed when the process ends
 
@@ -85,7 +87,22 @@ def settle(frame: DataFrame) -> DataFrame:
     path = scratch_folder(spark)
     frame.write.parquet(path)
     _on_release(lambda: _delete(spark, path))
-    return spark.read.schema(frame.schema).parquet(path)
+    settled = spark.read.schema(frame.schema).parquet(path)
+    _files[settled] = path
+    return settled
+
+
+def release(*frames: DataFrame) -> None:
+    """Drop settled or kept frames that nothing will read again.
+
+    What was made from them must itself be settled, or be done with.
+    """
+    for frame in frames:
+        path = _files.pop(frame, None)
+        if path is None:
+            frame.unpersist()
+        else:
+            _delete(frame.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

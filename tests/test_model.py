@@ -15,7 +15,7 @@ from nametwin.config import FEATURES, BoostParams, Settings
 from nametwin.operators import catalog
 from nametwin.operators.candidates import Bounds, Box, acceptable_names
 from nametwin.operators.features import check_features
-from nametwin.operators.keep import keep, releasing, settle
+from nametwin.operators.keep import keep, release, releasing, settle
 from nametwin.operators.metrics import take_decision
 from nametwin.plans.matching import match_catalogs, match_entries
 from nametwin.plans.model import acceptance_bounds, add_probability, first_rounds, fit_boosted, prefix_losses, run_model
@@ -321,6 +321,15 @@ def test_kept_frames_are_released(spark):
     assert not inner.is_cached and not os.path.exists(file)
 
 
+def test_a_frame_is_released_alone(spark):
+    first, second = settle(spark.range(3)), settle(spark.range(4))
+    release(first)
+    release(first)  # nothing left to drop
+    assert second.count() == 4
+    with pytest.raises(Exception, match="NOT_EXIST|does not exist|FAILED_READ"):
+        first.count()
+
+
 def test_tuning_dry_run(spark):
     steps = (("max_depth", (5, 3)), ("subsampling_rate", (1.0, 0.8)))
     pairs = labelled_pairs(spark, 600, 0.5)
