@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import gc
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nametwin.operators.keep import settle
 
+LEAST_BITS, MOST_BITS = 16, 27  # of a bitmap, as powers of two; 16 MB at most
+ROOM = 8  # bits for each key, so that of other keys an eighth passes
+
 SPACE = r"\x20\x09-\x0D"  # fixed value: the six characters that part words
 
 
@@ -84,3 +89,32 @@ def running(
     marked = rows.withColumn("_o", F.shiftright(order, low))
     done = level(marked, keep, ["_o", order, *ties], value)
     return done.withColumnRenamed("_all", out).drop("_o")
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """Tells of a 64-bit key that it is not among some keys, or that it may be."""
+
+    words: object  # a broadcast array of 64-bit words
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        words = self.words.value
+        bit = keys & np.uint64(64 * len(words) - 1)
+        return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bitmap(keys: DataFrame) -> Bitmap | None:
+    """Bitmap of the one long column of `keys`; None if they are too many for its bounded size.
+
+    What comes to the driver and goes to the executors is the bitmap, never a key.
+    """
+    n = keys.count()
+    power = max(LEAST_BITS, (ROOM * n).bit_length())
+    if power > MOST_BITS:
+        return None
+    bits = keys.select(F.col(keys.columns[0]).bitwiseAND((1 << power) - 1).alias("bit"))
+    ones = F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("ones")
+    rows = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(ones).toArrow()
+    words = np.zeros(1 << (power - 6), np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("ones").to_numpy().view(np.uint64)
+    return Bitmap(keys.sparkSession.sparkContext.broadcast(words))

@@ -22,9 +22,8 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from nametwin.llm.windows import LAST, _text, byte_units, covered, keyed, repeated
+from nametwin.llm.windows import _text, byte_units, covered, keyed, repeated, stripped
 
 LENGTH = 200
 GRAM = 100
@@ -52,6 +51,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dig
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept bytes, or their SHA-256 with `digest`."""
     texts = keyed(docs)
     runs = repeated(texts, byte_units, length, gram, spare_first=False)
-    doc_id = F.when(F.col("d") != LAST, F.col("d")).alias("doc_id")
-    rows = texts.join(runs, ["d", "k"], "left").select(doc_id, "text", "runs")
-    return rows.mapInArrow(partial(_strip, length, digest), ROWS)
+    return stripped(texts, runs, partial(_strip, length, digest), ROWS)

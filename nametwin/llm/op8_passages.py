@@ -19,9 +19,8 @@ from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from nametwin.llm.windows import LAST, _text, covered, keyed, repeated, word_units
+from nametwin.llm.windows import _text, covered, keyed, repeated, stripped, word_units
 
 LENGTH = 20
 GRAM = 4
@@ -48,6 +47,4 @@ def first_only(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest:
     """(doc_id, n_words, n_removed, kept): kept words, or the SHA-256 of them with `digest`."""
     texts = keyed(docs)
     runs = repeated(texts, word_units, length, gram, spare_first=True)
-    doc_id = F.when(F.col("d") != LAST, F.col("d")).alias("doc_id")
-    rows = texts.join(runs, ["d", "k"], "left").select(doc_id, "text", "runs")
-    return rows.mapInArrow(partial(_strip, length, digest), ROWS)
+    return stripped(texts, runs, partial(_strip, length, digest), ROWS)

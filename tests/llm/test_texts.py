@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from nametwin.llm import op5_privacy, op7_substrings, op8_passages, op10_langid
+from nametwin.llm import common, op5_privacy, op7_substrings, op8_passages, op10_langid, windows
 from tests.llm import brute
 
 
@@ -42,6 +42,57 @@ def test_passages_of_repeated_rows(docs, no_docs):
     assert op8_passages.first_only(no_docs).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_passages_with_words_that_defeat_polynomials(spark):
+    words = " ".join(f"w{i}" for i in range(19))
+    texts = [f"{words} {thue_morse(1024)}", f"{words} {thue_morse(1024, 'b', 'a')}", f"{words} {thue_morse(1024)}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in op8_passages.first_only(frame).collect()}
+    assert found == {0: 0, 1: 0, 2: 20}
+
+
+def test_substrings_that_defeat_polynomials(spark):
+    texts = [thue_morse(256) + "x" * 30, thue_morse(256, "b", "a") + "y" * 30, thue_morse(2000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = op7_substrings.without_repeats(frame, digest=True).orderBy("doc_id").collect()
+    want = brute.without_repeats(texts)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept.hex()) for r in found] == want
+
+
+def test_the_largest_id_and_none(spark):
+    last, text = (1 << 63) - 1, " ".join(f"w{i}" for i in range(70))
+    rows = [(last, text, 1), (None, text, 2), (5, "short", 3), (None, None, 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, runs int")
+    assert {(r.doc_id, r.n_removed) for r in op8_passages.first_only(frame).collect()} == {(last, 0), (None, 70), (5, 0), (None, 0)}
+    lost = [(r.doc_id, r.n_removed) for r in op7_substrings.without_repeats(frame).collect()]
+    assert sorted(lost, key=str) == sorted([(last, len(text)), (None, len(text)), (5, 0), (None, 0)], key=str)
+
+
+def test_phrases_of_stretches_have_the_same_anchors(monkeypatch):
+    units = windows.byte_units(random.Random(1).randbytes(900) + b"z" * 200)
+
+    def anchors():
+        pieces = list(windows.phrases(units, 40, 8))
+        return [(p + i, a) for place, n, anchor in pieces for p, c, a in zip(place, n, anchor, strict=True) for i in range(c)]
+
+    whole = anchors()
+    assert [p for p, _ in whole] == list(range(1100 - 39))
+    monkeypatch.setattr(windows, "STRETCH", 64)
+    assert anchors() == whole
+
+
+def test_windows_without_bitmaps(docs, rows, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BITS", 0)
+    found = op7_substrings.without_repeats(docs, 40, 8, digest=True).collect()
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept.hex()) for r in found)
+    assert got == sorted((str(d), *w) for (d, _), w in zip(rows, brute.without_repeats([t for _, t in rows], 40), strict=True))
+    found = op8_passages.first_only(docs, 6, 2, digest=True).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept.hex()) for r in found} == brute.first_passages(rows, 6)
+
+
 TRICKY = [
     "a@b.c@d.e x@y.zz.. @q.com a.b@c a@b.c_d@e.f%g@h.i-j.k +++@a.b",
     "1.2.3.4.5.6.7.8 256.1.1.1 010.0.0.00255 1.2.3 9999999999999999999999.1.1.1 0.0.0.0.",
