@@ -12,9 +12,9 @@ nothing outside itself, so equal windows have equal anchors at the same place.
 3. Entries that share an anchor but differ are cut into their windows, and these are
    grouped: the only step whose rows are single windows.
 
-Fingerprints have 128 bits: XXH3-128 of the bytes of a window or phrase, or of the
-XXH3-128 digests of a phrase's words; a window of words adds these up with random
-factors. The rolling hash only picks anchors, so its collisions change no result.
+Fingerprints have 128 bits: XXH3-128 of the bytes of a window or phrase, or of the 128
+bits of each of a phrase's words; a window of words adds these up with random factors.
+The rolling hash only picks anchors, so its collisions change no result.
 Every grouping starts with partial sums, so an anchor, phrase or window that a third of
 all documents hold is a row per task. Joins of rows back to such keys are left to
 adaptive skew handling, which splits them.
@@ -41,8 +41,9 @@ LAST = (1 << 63) - 1  # orders a null id after all others
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 STRETCH = 1 << 20  # windows of a text worked on at a time
+FILTERED = 1 << 10  # texts filtered at a time
 CUT = 1 << 15  # single windows of a text worked on at a time
-KNOWN_WORDS = 1 << 18  # digests a task remembers
+_ONES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the lowest n bytes
 
 Strip = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 # of a text: a hash for each unit, and bytes of a fixed width for each unit
@@ -99,20 +100,29 @@ def byte_units(text: bytes) -> tuple[np.ndarray, memoryview, int]:
     return _values()[np.frombuffer(text, np.uint8)], memoryview(text), 1
 
 
-class _Digests(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_128_digest(word)
-        return found
-
-
-_known = _Digests()
-
-
 def word_units(text: bytes) -> tuple[np.ndarray, memoryview, int]:
-    held = b"".join([_known[w] for w in text.split()])
-    return np.frombuffer(held, np.uint64)[::2], memoryview(held), 16
+    """128 bits for each word: no two words of up to 15 bytes share them, longer ones by XXH3-128.
+
+    A short word is its bytes and its length, which four rounds of a Feistel network then
+    mix without loss.
+    """
+    raw = np.zeros(len(text) + 16, np.uint8)
+    raw[: len(text)] = np.frombuffer(text, np.uint8)
+    bare = np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13))])
+    bare[len(text) + 1 :] = True
+    edge = np.flatnonzero(bare[1:] != bare[:-1])
+    start, stop = edge[::2], edge[1::2]
+    size = stop - start
+    eight = np.ndarray(len(text) + 9, "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    low = eight[start] & _ONES[np.minimum(size, 8)]
+    high = eight[start + 8] & _ONES[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    for i in np.flatnonzero(size > 15).tolist():
+        low[i], high[i] = np.frombuffer(xxhash.xxh3_128_digest(text[start[i] : stop[i]]), np.uint64)
+    for key in _values()[:4:2]:
+        low = low ^ mix(high + key)
+        high = high ^ mix(low ^ key)
+    held = np.stack([low, high], axis=1)
+    return low, memoryview(held.view(np.uint8).reshape(-1)), 16
 
 
 def fingerprints(held: memoryview, width: int, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +211,8 @@ def _factors(length: int) -> np.ndarray:
 def window_prints(units: tuple[np.ndarray, memoryview, int], length: int, at: np.ndarray, half: int) -> np.ndarray:
     """64 bits of each window; `half` 0 and 1 together make 128.
 
-    Windows of words add up the halves of their digests, each times a random odd factor
-    of its place: digests have no structure that factors could cancel.
+    Windows of words add up half the bits of each word, times a random odd factor
+    of its place: they have no structure that factors could cancel.
     """
     if units[2] == 1:
         return fingerprints(units[1], 1, at, at + length)[half]
@@ -254,9 +264,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _having(held: Bitmap, inside: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hit = held.holds(b.column("k").to_numpy().view(np.uint64))
-        yield b.filter(pa.array(hit if inside else ~hit))
+    for whole in batches:
+        for at in range(0, len(whole), FILTERED):  # copies a part at a time
+            b = whole.slice(at, FILTERED)
+            hit = held.holds(b.column("k").to_numpy().view(np.uint64))
+            yield b.filter(pa.array(hit if inside else ~hit))
 
 
 def _with(held: Bitmap | None, texts: DataFrame, runs: DataFrame, how: str) -> DataFrame:
