@@ -115,6 +115,27 @@ def confusion_columns() -> list[Column]:
     ]
 
 
+def confusion_counts() -> list[Column]:
+    """Counts that add up over parts of the rows; `confusion_from_counts` makes scores of them."""
+    hit, truth = F.col("decision"), F.col("match")
+    return [
+        F.count("*").alias("n"),
+        F.count_if(hit == truth).alias("n_right"),
+        F.count_if(hit & truth).alias("n_both"),
+        F.count_if(hit).alias("n_hit"),
+        F.count_if(truth).alias("n_true"),
+    ]
+
+
+def confusion_from_counts() -> list[Column]:
+    """`confusion_columns` of the rows that were counted."""
+    return [
+        _ratio(F.sum("n_right"), F.sum("n")).alias("accuracy_score"),
+        _ratio(F.sum("n_both"), F.sum("n_hit")).alias("precision_score"),
+        _ratio(F.sum("n_both"), F.sum("n_true")).alias("recall_score"),
+    ]
+
+
 def confusion_metrics(scored: DataFrame) -> DataFrame:
     """One row of `confusion_columns`."""
     return scored.agg(*confusion_columns())

@@ -26,6 +26,7 @@ from nametwin.sources import registry, tables
 from nametwin.sources.requests import parse_requests
 from nametwin.sources.synthetic import draw_pairs
 from nametwin.streaming.job import start_matching
+from nametwin.streaming.labels import accuracy_so_far, start_accuracy
 
 # The fixed rule of the rule_* queries and the bounds it implies.
 RULE_COSINE, RULE_WINKLER = 0.8, 0.6
@@ -39,6 +40,7 @@ ALIKE_BOUNDS = Bounds(RULE_COSINE, Box(), Box(min_jaro_winkler=ALIKE_WINKLER))
 SETTINGS = Settings()
 # What makes small tables take the ways of large ones.
 SMALL_TILE, SMALL_RANGE = 50, 100
+LABEL_FILES = 4  # of each stream of the late labels, read one at a time
 
 
 def _rounded(frame: DataFrame, *columns: str) -> DataFrame:
@@ -397,6 +399,43 @@ def accuracy_by_day(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(found, "accuracy_score", "precision_score", "recall_score")
 
 
+def late_label_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from two streams of files, rows out of order, labels up to 59 days late."""
+    work = scratch_folder(spark)
+    orders = tables.table(spark, folder, "orders").withColumn("place", F.xxhash64("o_orderkey"))
+    at = F.col("o_orderdate").cast("timestamp")
+    late = F.make_interval(days=F.pmod("place", F.lit(60)).cast("int"))
+    scored = orders.select("o_orderkey", at.alias("at"), (F.col("o_totalprice") >= 200000.0).alias("decision"), "place")
+    labels = orders.select(
+        "o_orderkey", (at + late).alias("at"), (F.col("o_orderstatus") == "F").alias("match"), F.reverse(F.col("place").cast("string")).alias("place")
+    )
+    streams = []
+    for name, rows in (("scored", scored), ("labels", labels)):
+        shuffled = rows.repartition(LABEL_FILES, "place").sortWithinPartitions("place").drop("place")
+        shuffled.write.parquet(f"{work}/{name}")
+        streams.append(spark.readStream.schema(shuffled.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/{name}"))
+    span = orders.agg(F.date_diff(F.max("o_orderdate"), F.min("o_orderdate")) + 60).first()[0] or 1  # nothing is too late here
+    query = start_accuracy(
+        *streams, "o_orderkey", "60 days", f"{span} days", f"{work}/counts", f"{work}/state"
+    )
+    query.awaitTermination()
+    return _rounded(accuracy_so_far(spark, f"{work}/counts"), "accuracy_score", "precision_score", "recall_score")
+
+
+def unseen_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct words of the conversations, those the documents never use, and whether sketches say so too."""
+    docs = tables.table(spark, folder, "documents").select(normalize(F.col("text")).alias("norm"))
+    talk = tables.table(spark, folder, "conversations").select(F.col("text").alias("name"))
+    known = fit_idf(docs, F.col("norm")).terms
+    sketched = monitoring.unseen_vocabulary(talk, monitoring.vocabulary_sketch(known))
+    words = talk.select(F.explode(tokens(normalize(F.col("name")))).alias("term")).distinct()
+    exact = words.join(known, "term", "left").agg(
+        F.count("*").alias("n"), F.count_if(F.col("idf").isNull()).alias("n_new")
+    )
+    close = F.abs(F.col("n_new") - F.col("n_unseen")) <= F.col("error")
+    return exact.join(sketched).select("n", "n_new", close.alias("sketch_agrees"))  # one row each
+
+
 # --- model -----------------------------------------------------------------
 
 _trained: dict[tuple[str, str], Trained] = {}
@@ -607,7 +646,7 @@ QUERIES = {
         confusion_metrics, average_precision, average_precision_ranges, roc_auc, score_quantiles,
         precision_by_threshold, min_precision_threshold, evaluation_report,
         tp_examples, tn_examples, sample_matching, sample_nonmatching,
-        name_drift, unseen_terms, unseen_term_spellings, accuracy_by_day,
+        name_drift, unseen_terms, unseen_term_spellings, unseen_vocabulary, accuracy_by_day, late_label_accuracy,
         train_and_score, scores_by_boxes, feature_importance, importance_by_gain, quality_report, model_roundtrip,
         smoke_before_publishing, published_metrics, model_bounds,
         match_by_model, matching_equals_scoring, reply_by_model, reply_by_rule, stream_match, stream_by_rule,

@@ -342,6 +342,11 @@ ORACLES = {
         SELECT request_id, A_norm, B_norm, levenshtein_distance::BIGINT AS levenshtein_distance FROM accepted""",
     "similar_spellings": f"""WITH {ALIKE_RULE}
         SELECT request_id, A_norm, B_norm, round(jaro_winkler_similarity, 6) AS jaro_winkler_similarity FROM accepted""",
+    "unseen_vocabulary": f"""
+        WITH known AS (SELECT DISTINCT unnest({_tokens(_norm('text'))}) AS term FROM documents),
+        words AS (SELECT DISTINCT unnest({_tokens(_norm('text'))}) AS term FROM conversations)
+        SELECT count(*)::BIGINT AS n, count(*) FILTER (k.term IS NULL)::BIGINT AS n_new, true AS sketch_agrees
+        FROM words w LEFT JOIN known k ON k.term = w.term""",
     "unseen_term_spellings": f"""
         WITH known AS (SELECT DISTINCT unnest({_tokens(_norm('text'))}) AS term FROM documents),
         words AS (SELECT DISTINCT unnest({_tokens(_norm('text'))}) AS term FROM conversations),
@@ -454,4 +459,5 @@ ORACLES |= {
     "tfidf_cosine_shuffled": ORACLES["tfidf_cosine_pairs"],
     "rule_mapping_tiled": ORACLES["rule_mapping"],
     "average_precision_ranges": ORACLES["average_precision"],
+    "late_label_accuracy": ORACLES["accuracy_by_day"],
 }
