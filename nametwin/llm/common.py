@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nametwin.operators.keep import settle
+from nametwin.operators.keep import settle, shared_folder
 
 LEAST_BITS, MOST_BITS = 16, 27  # of a bitmap, as powers of two; 16 MB at most
 ROOM = 8  # bits for each key, so that of other keys an eighth passes
@@ -33,15 +33,18 @@ def located(rows: DataFrame) -> DataFrame:
     """(row, file, at): each row as a struct, and where it lies; written out first if it lies nowhere."""
 
     def placed(frame: DataFrame) -> DataFrame:
+        where = frame.metadataColumn("_metadata")  # a column of that name may be among the others
         return frame.select(
             F.struct(*[frame[c] for c in frame.columns]).alias("row"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.row_index").alias("at"),
+            where["file_path"].alias("file"),
+            where["row_index"].alias("at"),
         )
 
     try:
         return placed(rows)
     except AnalysisException:
+        if shared_folder(rows.sparkSession) is None:
+            raise RuntimeError("rows that lie in no file need spark.checkpoint.dir") from None
         return placed(settle(rows))
 
 

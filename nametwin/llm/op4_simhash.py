@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from nametwin.llm.common import located
 from nametwin.llm.components import components, stars
-from nametwin.llm.shingles import alike
 from nametwin.operators.keep import settle
 
 WORDS = 4
@@ -65,16 +64,19 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(0)], np.uint64)
+            names = [*batch.schema.names[1:], "fp"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], names=names)
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): a row a document; fp holds the 64 bits as a signed long."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(_fingerprints(words), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carry, fp): a row a document; fp holds the 64 bits as a signed long."""
+    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry)
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in rest.dtypes)
+    texts = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long").alias("doc_id"), *carry)
+    return texts.mapInArrow(_fingerprints(words), f"{schema}, fp long")
 
 
 def plan(n: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
@@ -210,48 +212,32 @@ def links(classes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) ->
     return by_run.mapInArrow(_compare(radius, tuple(s[2] for s in segs)), "a long, b long")
 
 
+def labels(marked: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(fp, label): the same label for fingerprints that links lead from one to the other."""
+    classes = settle(marked.select("fp").distinct())
+    joined = components(links(classes, classes.count(), radius, tile)).withColumnRenamed("id", "fp")
+    return settle(classes.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id): a row a document."""
     marked = settle(fingerprints(docs, words))
-    classes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(classes, classes.count(), radius, tile)).withColumnRenamed("id", "fp")
-    labelled = settle(
-        classes.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
-    )
-    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    labelled = labels(marked, radius, tile)
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(labelled, "fp")
+    smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
     answer = settle(labelled.join(smallest, "label").select("fp", "component_id"))
     return marked.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
-def alike_once(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The rows of `docs`, of rows alike (Jaccard of shingle sets), or through others, only one.
+def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs`, of a component's only the one with the smallest id, null last.
 
-    The row with the smallest id stays; rows are told apart by where they lie, so ids may
-    repeat or be null, null ones last.
+    Rows are told apart by where they lie, so ids may repeat or be null.
     """
     placed = located(docs)
-    text = F.col("row.text").cast("string")
-    order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id").cast("long"), F.xxhash64(text))
-    rows = settle(
-        placed.select(F.monotonically_increasing_id().alias("id"), order.alias("order"), text.alias("text"), "file", "at")
-    )
-    groups = rows.select("id", "order", "file", "at").join(alike(rows, words, similarity), "id")
-    groups = settle(groups.select("component", F.struct("order", "id").alias("rank"), "file", "at"))
-    first = groups.groupBy("component").agg(F.min("rank").alias("first"))
-    gone = settle(groups.join(first, "component").filter("rank <> first").select("file", "at"))
-    return placed.join(gone, ["file", "at"], "left_anti").select("row.*")
-
-
-def one_of_each(
-    docs: DataFrame, words: int = WORDS, radius: int = RADIUS, similarity: float | None = None
-) -> DataFrame:
-    """The rows of `docs` whose id is their component's; rows without an id stay.
-
-    With `similarity`, fingerprints do not count: components are those of texts whose
-    shingle sets are that alike (Jaccard), and one row of each stays.
-    """
-    if similarity is not None:
-        return alike_once(docs, words, similarity)
-    found = near_duplicates(docs, words, radius).filter("doc_id <> component_id")
-    gone = settle(found.select("doc_id").distinct())
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    rows = placed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "file", "at")
+    marked = settle(fingerprints(rows, words, ("file", "at")))
+    order = F.struct(F.col("doc_id").isNull().alias("null_last"), "doc_id", "file", "at")
+    first = marked.groupBy("fp").agg(F.min(order).alias("first")).join(labels(marked, radius), "fp")
+    kept = first.groupBy("label").agg(F.min("first").alias("first")).select("first.file", "first.at")
+    return placed.join(settle(kept), ["file", "at"], "left_semi").select("row.*")

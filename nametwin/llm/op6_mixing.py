@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nametwin.llm.common import SPACE, running
+from nametwin.llm.common import SPACE, located, running
 from nametwin.operators.keep import settle
 
 WEIGHTS = (3, 1, 2)
@@ -112,17 +112,21 @@ def shuffle_place(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, shuffle): a row a document, settled."""
+def sized_documents(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, shuffle, carry): a row a document, settled."""
     texts = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")
+        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), *carry
     )
     place = shuffle_place(F.col("doc_id"), F.col("text"))
-    return settle(texts.select("doc_id", "source", words(F.col("text")).alias("size"), place.alias("shuffle")))
+    return settle(
+        texts.select("doc_id", "source", words(F.col("text")).alias("size"), place.alias("shuffle"), *carry)
+    )
 
 
-def mix(sized: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces).
+def mix(
+    sized: DataFrame, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(documents, pieces); both have the columns `carry` of the documents.
 
     Documents carry sid, source_size, target and `at`, their place in their source.
     Pieces (slot, sid, rank, doc_id, shuffle, at, round, first_word, n_words) say what
@@ -130,7 +134,7 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Da
     """
     owing = settle(targets(sized))
     both = sized.join(owing, sized["source"].eqNullSafe(owing["source"])).select(
-        "doc_id", sized["source"], "size", "shuffle", "sid", "source_size", "target", "owed"
+        "doc_id", sized["source"], "size", "shuffle", "sid", "source_size", "target", "owed", *carry
     )
     placed = settle(running(both, "sid", "shuffle", "size", "at", 60, ("doc_id",)))
     rounds = placed.filter("size > 0").select(
@@ -153,6 +157,7 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Da
         "round",
         (low - F.col("start")).alias("first_word"),
         (high - low).alias("n_words"),
+        *carry,
     )
     return placed, pieces.join(schedule(owing, block_words), ["sid", "rank"])
 
@@ -175,12 +180,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document whose first word a slot takes is in the mix; so each source's words
     differ from its target by less than a document.
     """
-    _, pieces = mix(sized_documents(docs))
-    times = pieces.filter("first_word = 0").groupBy("doc_id", "shuffle").agg(F.count("*").alias("_times"))
-    place = shuffle_place(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = docs.withColumn("_shuffle", place)
-    distinct = marked.dropDuplicates(["doc_id", "_shuffle"])
-    same = distinct["doc_id"].eqNullSafe(times["doc_id"]) & (distinct["_shuffle"] == times["shuffle"])
-    return distinct.join(times.select("doc_id", "shuffle", "_times"), same).select(
-        *[distinct[c] for c in docs.columns], F.explode(F.expr("sequence(1L, _times)")).alias("_time")
-    ).drop("_time")
+    placed = located(docs)  # rows are told apart by where they lie, so whatever they share they stay apart
+    key = ("file", "line")
+    rows = placed.select("row.doc_id", "row.source", "row.text", "file", F.col("at").alias("line"))
+    _, pieces = mix(sized_documents(rows, key), carry=key)
+    times = pieces.filter("first_word = 0").groupBy(*key).agg(F.count("*").alias("times"))
+    taken = placed.withColumnRenamed("at", "line").join(times, list(key))
+    return taken.select("row", F.explode(F.expr("sequence(1L, times)")).alias("time")).select("row.*")

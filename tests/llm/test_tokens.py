@@ -184,6 +184,18 @@ def test_mixed_documents(docs, no_docs):
     assert twice.count() == 2 * docs.count() and twice.filter("taken > 2 * size").count() == 0
 
 
+def test_mixed_documents_with_one_id_and_text_in_two_sources(spark):
+    rows = [(1, "a b c", "x", 10, "t"), (1, "a b c", "y", 20, "t"), (2, "d e f g", "y", 30, "t"), (3, "h i", "x", 40, "t")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _time int, _shuffle string")
+    mixed = op6_mixing.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    found = [tuple(r) for r in mixed.collect()]
+    assert set(found) <= set(rows) and max(map(found.count, rows)) <= 2
+    words = {s: sum(len(r[1].split()) for r in found if r[2] == s) for s in "xy"}
+    for source, target in brute.targets({"x": 5, "y": 7}).items():
+        assert abs(words[source] - target) < 4
+
+
 def test_running_sums_by_levels(spark):
     from nametwin.llm.common import running
 
