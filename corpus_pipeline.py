@@ -18,10 +18,7 @@ from nametwin.llm.common import table
 from nametwin.operators.keep import settle
 
 MIN_SCORE = 0.3  # a text of which no language reaches this share is rejected
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8  # of the shingle sets, for a document to go
 KNOWN_WORDS = 100_000  # that a worker remembers; it also holds what earlier stages left
-RADIUS = 10  # bits in which fingerprints of such documents differ on average; too few to propose all, so not used to
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +32,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, proposed by MinHash bands and compared in full."""
-    return op4_simhash.one_of_each(docs, SHINGLE_WORDS, similarity=SIMILARITY)
+    """One document of each group whose SimHash fingerprints links lead through: four-word shingles, four bits."""
+    return op4_simhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
