@@ -7,9 +7,10 @@ from their neighbours too. Forward-backward gives each word's label probabilitie
 document's language is that of the largest mean, its score that mean. Chains run over
 stretches of `STRETCH` words, all words of a text included.
 
-The field is fitted on a bounded sample: at most about `SAMPLE_DOCS` documents of a
-language, `SEGMENTS` stretches of `SEGMENT_WORDS` words from each, joined in twos and
-threes so that the language changes inside. Only text and lang of documents whose
+The field is fitted on a bounded sample: at most `SAMPLE_DOCS` documents of a language,
+rows alike in id and text counted as one, `SEGMENTS` stretches of `SEGMENT_WORDS` words
+(`SEGMENT_CHARS` characters at most) from each, joined in twos and threes so that the
+language changes inside. Only text and lang of documents whose
 crc32(doc_id as text) mod 4 is not 2 are read for it.
 
 Null text or one without a letter: `und`, score 0. Null doc_id: predicted, not held out,
@@ -26,13 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = 1000  # the most frequent ones are learned
 SAMPLE_DOCS = 200
 SEGMENTS = 3
 SEGMENT_WORDS = 24
+SEGMENT_CHARS = 2000
 LEXICON = 400  # words a language at most
 TABLE = 1 << 16  # rows of hashed n-gram weights
 NGRAMS = (2, 3, 4)
@@ -42,6 +44,7 @@ EPOCHS = 12
 RATE = 0.3
 DECAY = 1e-4
 UNKNOWN = "und"
+SPAN = 1 << 52  # of the draw
 SPLITS, HELD = 4, 2  # fixed values: held out is crc32 mod 4 = 2
 
 ROWS = "doc_id long, lang_pred string, score double"
@@ -289,24 +292,38 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = text.split()
             draw = np.random.default_rng(zlib.crc32(text.encode()))
             for at in draw.integers(0, max(1, len(found) - SEGMENT_WORDS + 1), SEGMENTS):
-                texts.append(" ".join(found[at : at + SEGMENT_WORDS]))
+                texts.append(" ".join(found[at : at + SEGMENT_WORDS])[:SEGMENT_CHARS])
                 langs.append(lang)
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(langs, pa.string())], names=["text", "lang"])
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
-    """Fit on a sample of the labelled documents that are not held out."""
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(text, lang) of at most `sample_docs` labelled documents of a language that are not held out.
+
+    The draw is by a hash of id and text, so copies of a row cannot crowd out others. A
+    filter by the number of different rows, roughly counted, leaves few more than are
+    wanted; those are ranked.
+    """
     open_ = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"),
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != HELD))
-    counts = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    span = 1 << 30
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(span))
+    open_ = open_.withColumn("draw", F.xxhash64("doc_id", "text"))
+    counts = open_.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("draw").alias("different")
+    )
     kinds = counts.orderBy(F.desc("n"), "lang").limit(LABELS)
-    sample = open_.join(F.broadcast(kinds), "lang").filter(draw < F.lit(sample_docs * span) / F.col("n"))
-    rows = sample.select("text", "lang").mapInArrow(_segments, "text string, lang string").collect()
+    share = F.pmod("draw", F.lit(SPAN)) / F.lit(float(SPAN))
+    some = open_.join(F.broadcast(kinds), "lang").filter(share * F.col("different") < 1.5 * sample_docs + 50)
+    some = some.groupBy("lang", "doc_id", "text", "draw").agg(F.count(F.lit(1)).alias("copies"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(SPAN)), "doc_id", "text")
+    return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs).select("text", "lang")
+
+
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
+    """Fit on a sample of the labelled documents that are not held out."""
+    rows = sample(docs, sample_docs).mapInArrow(_segments, "text string, lang string").collect()
     return fit([(r["text"], r["lang"]) for r in rows])
 
 

@@ -5,9 +5,11 @@ tab, form feed and carriage return. A stream of arrivals (digest, stable id, len
 locator) feeds keyed state on disk (RocksDB) that never expires. For each digest the
 state keeps how many arrived and, of the best one so far, id and locator. Partial sums
 go before the shuffle, so a digest that a third of all rows share is a row per task.
-The state is read back as a table. Rows that hit a digest already held are checked on
-full bytes: a digest whose smallest and largest normalised text differ has collided,
-and its rows are grouped by the text itself.
+The state is read back as a table. Rows that hit a digest already held, and hardly any
+other, are checked on full bytes: a digest whose smallest and largest normalised text
+differ has collided, and its rows are grouped by the text itself. Which rows to check a
+broadcast bitmap of at most 16 MB says; beyond 17 million repeated digests it lets more
+and more rows through, never fewer.
 
 Of equal texts the row with the most code points stays, then the smallest doc_id, null
 ids last, then the first by locator. Null text: empty. Repeated rows: one of them
@@ -32,6 +34,8 @@ STATE = {  # small stores by the hundred: no space set aside, changes saved rath
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 FILES_A_BATCH = 1000
+LEAST_BITS, MOST_BITS = 16, 27  # of a bitmap, as powers of two
+ROOM = 8  # bits for each digest, so that of other rows an eighth passes
 
 
 def normalised(text: Column) -> Column:
@@ -115,10 +119,24 @@ def held(spark: SparkSession, state: str) -> DataFrame:
     )
 
 
-def collided(placed: DataFrame, bits: int = 256) -> DataFrame:
-    """Digests of more than one text, by comparing full bytes of all that share one."""
+def hitting(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """`rows` whose digest is among `digests`, and some of the others; none if there are no digests."""
+    n = digests.count()
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (ROOM * n).bit_length()))
+    bit = F.pmod(F.xxhash64("digest"), F.lit(size)) + 1  # buckets count from 1
+    maps = digests.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits")
+    )
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "_bucket")
+    at = F.bitmap_bit_position(bit)
+    octet = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    return met.filter(F.getbit(octet, F.pmod(at, F.lit(8)).cast("int")) == 1).select(rows.columns)
+
+
+def collided(placed: DataFrame, repeated: DataFrame, bits: int = 256) -> DataFrame:
+    """Digests of more than one text, by comparing full bytes of all that share one of `repeated`."""
     text = normalised(F.col("row.text").cast("string"))
-    texts = placed.select(digest_of(text, bits).alias("digest"), text.alias("t"))
+    texts = hitting(placed.select(digest_of(text, bits).alias("digest"), text.alias("t")), repeated)
     ends = texts.groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     return ends.filter("a <> b").select("digest")
 
@@ -134,7 +152,7 @@ def _groups(placed: DataFrame, bits: int) -> DataFrame:
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(taken)
     feed(stream, state)
     groups = settle(held(spark, state))
-    hit = settle(collided(placed, bits))
+    hit = settle(collided(placed, groups.filter("n > 1").select("digest"), bits))
     if hit.isEmpty():
         return rows.join(groups, "digest")
     # rows of a collided digest are grouped by their text

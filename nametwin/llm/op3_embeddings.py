@@ -40,6 +40,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, which is exact, so that no square overflows or vanishes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1][:, None])
+
+
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(q, s, error): int8 rows, their scale, and the length of what rounding leaves."""
     scale = np.abs(unit).max(axis=1) / 127
@@ -89,7 +94,7 @@ def _tile(threshold: float):
         ids = group.column("cid").to_numpy()
         copies = group.column("copies").to_numpy().astype(np.float64)
         flat = group.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64)
-        vectors = flat.reshape(len(ids), -1)
+        vectors = scaled(flat.reshape(len(ids), -1))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         a = np.flatnonzero(tile == i)
         b = a if i == j else np.flatnonzero(tile == j)

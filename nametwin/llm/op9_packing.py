@@ -1,8 +1,8 @@
 """Cost-balanced packing of documents into sequences of bounded length.
 
 The cost of a piece of l tokens is l + quadratic * l**2, what its own attention and
-the rest of a layer take. Documents are dealt to shards by hash; a shard is packed by
-itself. Pieces longer than a sequence are cut, then pieces go, longest first, to the
+the rest of a layer take. Documents are dealt to shards by a hash of id, text and row
+number in their file, so that equal rows spread too; a shard is packed by itself. Pieces longer than a sequence are cut, then pieces go, longest first, to the
 cheapest sequence that still has room; a piece that fits nowhere is cut at the
 largest gap. A shard has as many full sequences as its tokens fill, and the rest goes
 into sequences whose lengths are powers of two, so nothing is padded.
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nametwin.llm.common import located
 from nametwin.llm.tokens import ENTRIES, encoder
 
 CAPACITY = 4096
@@ -29,6 +30,8 @@ SHARD_TOKENS = 1_000_000
 BYTES_A_TOKEN = 2.5
 QUADRATIC = 1 / 2048
 SHARD_SPAN = 1 << 32  # sequence numbers a shard may use
+TASK_SHARDS = 4  # packed by a task, one after another
+MOST_TASKS = 20_000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -136,16 +139,19 @@ def pack_documents(
     Only whole shards meet in one task, and their size is set by `shard_tokens`. A worker
     remembers about twice `entries` words, which is most of the memory it takes.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = located(docs).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"), "at"
+    )
     n_bytes, n_rows = texts.agg(
         F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))
     ).first()
     shards = max(1, -int(-(n_bytes / BYTES_A_TOKEN + n_rows) // shard_tokens))
     dealt = texts.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long").alias("shard"), "doc_id", "text"
+        F.pmod(F.xxhash64("doc_id", "text", "at"), F.lit(shards)).cast("long").alias("shard"), "doc_id", "text"
     )
     width = encoder(tokenizer, pieces, entries).width
     coded = dealt.mapInArrow(
         _encoder(tokenizer, pieces, end_id, entries), "shard long, doc_id long, ids binary"
     )
-    return coded.groupBy("shard").applyInArrow(_packer(width, capacity, quadratic), PIECES)
+    tasks = min(MOST_TASKS, -(-shards // TASK_SHARDS))
+    return coded.repartition(tasks, "shard").groupBy("shard").applyInArrow(_packer(width, capacity, quadratic), PIECES)

@@ -95,7 +95,8 @@ class Encoder:
 
     Neither vocabulary merges across the cuts of `PIECES`, so the ids of a text are
     those of its pieces in order. Pieces repeat, so most cost a lookup; about twice
-    `entries` words are remembered. Special tokens in a text are plain text.
+    `entries` words are remembered. Special tokens written out in a text part it and are
+    the one id that the library gives them.
     """
 
     def __init__(self, path: str, kind: str, entries: int = ENTRIES):
@@ -104,7 +105,9 @@ class Encoder:
 
         self.kind = kind
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
+        longest_first = sorted(self.special, key=lambda t: (-len(t), t))
+        self.part = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split
         self.width = 2 if self.model.get_vocab_size() <= 65536 else 4
         self.code = "H" if self.width == 2 else "I"
         self.find = re.compile(PIECES[kind]).findall
@@ -121,6 +124,17 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not any(map(text.__contains__, self.special)):
+            return self.plain(text)
+        between = self.part(text)
+        between[::2] = map(self.plain, between[::2])
+        between[1::2] = [self.pack([self.special[t]]) for t in between[1::2]]
+        return b"".join(between)
+
+    def plain(self, text: str) -> bytes:
+        """Of a text that holds no special token."""
         if not text:
             return b""
         first, *words = text.split(" ")

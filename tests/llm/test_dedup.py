@@ -170,3 +170,21 @@ def test_quantisation_bound_holds_and_decides():
     want = np.triu(unit @ unit.T >= 0.3, 1)
     assert np.array_equal(np.concatenate([b for _, b in blocks]), want)
     assert 0 < again < want.size / 50
+
+
+def test_rows_that_hit_are_never_missed(spark):
+    rows = spark.range(20_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
+    wanted = rows.filter("id % 20 = 0").select("digest")
+    found = [r.id for r in op2_dedup.hitting(rows, wanted).select("id").collect()]
+    assert len(set(found)) == len(found) < 4000 and set(range(0, 20_000, 20)) <= set(found)
+    assert op2_dedup.hitting(rows, wanted.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200])
+def test_embeddings_of_extreme_length(spark, size):
+    frame = spark.createDataFrame(
+        [(1, [size, size], 0), (2, [2 * size, 2 * size], 0), (3, [size, -size], 0), (4, [3.0, 3.0], 0)],
+        "vec_id long, embedding array<double>, label int",
+    )
+    found = {r.vec_id: (r.n_links, r.component_id) for r in op3_embeddings.near_duplicates(frame).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}

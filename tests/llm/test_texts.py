@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from itertools import pairwise, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +221,38 @@ def test_language_without_labels(spoken, no_docs):
     nothing = spoken.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in op10_langid.languages(nothing).collect()} == {"und"}
     assert op10_langid.languages(no_docs).count() == 0
+
+
+def test_language_sample_is_bounded_and_not_crowded_out(spark):
+    hot = spark.range(3000).select(F.lit(4).cast("long").alias("doc_id"), F.lit("bo bo bo").alias("text"), F.lit("bb").alias("lang"))
+    few = [(i, f"ba {i}", "bb") for i in range(100, 140)] + [(i, f"ca {i}", "cc") for i in range(200, 900)]
+    docs = hot.union(spark.createDataFrame([*few, (None, "x", "cc"), (901, None, "cc")], "doc_id long, text string, lang string"))
+    learned = op10_langid.remainder(F.col("doc_id")) != op10_langid.HELD
+    want = docs.filter(learned).filter("text is not null").select("lang", "text").distinct()
+    found = [(r.lang, r.text) for r in op10_langid.sample(docs, 60).collect()]
+    assert len(set(found)) == len(found) and Counter(lang for lang, _ in found)["cc"] == 60
+    assert {f for f in found if f[0] == "bb"} == {tuple(r) for r in want.filter("lang = 'bb'").collect()}
+
+
+@pytest.mark.parametrize("labels", [2, 3])
+def test_chain_probabilities_against_all_labellings(labels):
+    np = op10_langid.np
+    rng = np.random.default_rng(labels)
+    lengths = np.array([6, 4, 1])
+    scores, moves = rng.normal(0, 2, (3, 6, labels)), rng.normal(0, 2, (labels, labels))
+    each, steps = np.zeros((3, 6, labels)), np.zeros((labels, labels))
+    for n, length in enumerate(lengths):
+        paths = list(product(range(labels), repeat=int(length)))
+        weight = np.array(
+            [np.exp(sum(scores[n, t, y] for t, y in enumerate(p)) + sum(moves[a, b] for a, b in pairwise(p))) for p in paths]
+        )
+        for p, w in zip(paths, weight / weight.sum(), strict=True):
+            for t, y in enumerate(p):
+                each[n, t, y] += w
+            for a, b in pairwise(p):
+                steps[a, b] += w
+    found, moved = op10_langid.forward_backward(scores, moves, lengths)
+    posterior = op10_langid._posterior(scores, moves, lengths)
+    for n, length in enumerate(lengths):
+        assert np.allclose(found[n, :length], each[n, :length]) and np.allclose(posterior[n, :length], each[n, :length])
+    assert np.allclose(moved, steps)

@@ -20,13 +20,12 @@ NAMES = {"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}
 ODD = [
     "a  b\n\n c \t d", "  x", "x  ", "\n", " ", "a ", "a\n b  \n", "don't  I'll\x1cgo 　é ́a <|endoftext|> b",
     "ΣΑΣ ΣΑΣ.\x85z", "word.\nNext one,two x.. y,) İstanbul ŒUVRE", "it's, He'LL 's a.'s b", "a \xa0b \r\n",
-    ". ., a ,b b. c.,. .d", "x" * 5000, "世界 \U0001f600\U0001f600 ﬁ ǅ ½²",
+    ". ., a ,b b. c.,. .d", "x" * 5000, "<|endoftext|>", "a  <|endoftext|><|endoftext|> \n b<|startoftext|>C <|EndOfText|>", "世界 \U0001f600\U0001f600 ﬁ ǅ ½²",
 ]
 
 
 def reference_ids(kind, texts, end):
     model = Tokenizer.from_file(public_tokenizers.path(NAMES[kind]))
-    model.encode_special_tokens = True
     return [e.ids + [end] for e in model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -132,6 +131,16 @@ def test_packing_of_nothing_and_of_repeated_rows(docs, no_docs, rows):
     check_packing(op9_packing.pack_documents(docs.union(docs), path).collect(), dict(rows), 4096, 2)
 
 
+def test_equal_rows_spread_over_shards(spark):
+    path = public_tokenizers.path(NAMES["word"])
+    same = spark.range(0, 6000, 1, 3).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    found = op9_packing.pack_documents(same, path, shard_tokens=2000).collect()
+    tokens = defaultdict(int)
+    for p in found:
+        tokens[p.sequence_id // op9_packing.SHARD_SPAN] += p.length
+    assert sum(tokens.values()) == 24_000 and len(tokens) > 8 and max(tokens.values()) < 4000
+
+
 def test_packing_balances_cost():
     rng = np.random.default_rng(1)
     lengths = np.sort(rng.integers(1, 900, 600))[::-1]
