@@ -10,6 +10,7 @@ FEATURES = (
     "levenshtein_distance",
     "jaro_winkler_similarity",
 )
+DENSE = "embedding_cosine_similarity"  # the fourth feature, where names have vectors
 TARGET = "match"
 PROBA = "proba"
 DECISION = "decision"

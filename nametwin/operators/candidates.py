@@ -15,8 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nametwin.config import DENSE
 from nametwin.functions.similarity import jaro_winkler, levenshtein, sparse_dot
 from nametwin.operators.catalog import REFERENCE, SUPPLIER
+from nametwin.operators.dense import fetch, similarity, with_dense
 from nametwin.operators.keep import settle
 from nametwin.operators.spelling import bounds_something, segment_pairs, signature_pairs
 from nametwin.operators.tfidf import Idf, profiles, settled_cosine
@@ -31,8 +33,18 @@ _SLACK = 1e-9  # room for rounding, so a pair exactly on a bound is kept
 class Box:
     max_levenshtein: float = float("inf")
     min_jaro_winkler: float = 0.0
+    min_dense: float = float("-inf")  # of the vectors, where names have any
+
+    @property
+    def bounds_dense(self) -> bool:
+        return self.min_dense > float("-inf")
 
     def holds(self) -> Column:
+        if not self.bounds_dense:
+            return self.holds_spelling()
+        return self.holds_spelling() & (F.col(DENSE) >= self.min_dense - _SLACK)
+
+    def holds_spelling(self) -> Column:
         near = F.col("levenshtein_distance") <= F.lit(self.max_levenshtein)
         return near & (F.col("jaro_winkler_similarity") >= self.min_jaro_winkler - _SLACK)
 
@@ -139,20 +151,31 @@ def _cosine() -> Column:
     return settled_cosine(sparse_dot(F.col("A_profile"), F.col("B_profile"))).alias("cosine_similarity")
 
 
-def compared_names(names: DataFrame, idf: Idf, box: Box, tile_rows: int = TILE_ROWS) -> DataFrame:
+def compared_names(
+    names: DataFrame, idf: Idf, box: Box, tile_rows: int = TILE_ROWS, vectors: DataFrame | None = None
+) -> DataFrame:
     """The same columns for pairs in the box, whether or not they share a word.
 
     The last resort: a request's distinct names are compared tile by tile. Each task
     holds a tile of either side, and pairs that fail a bound die in the task that made
     them. None is shuffled.
     """
-    ready = _profiled(names, idf)
-    a, b = (_side(ready, side, ["norm", "profile"]) for side in (REFERENCE, SUPPLIER))
+    ready, columns = _profiled(names, idf), ["norm", "profile"]
+    dense = vectors is not None and box.bounds_dense
+    if dense:
+        row = F.xxhash64("request_id", "side").alias("_row")
+        ready = settle(fetch(ready.select("*", row), vectors, "norm", "_row", "vector", tile_rows))
+        columns.append("vector")
+    a, b = (_side(ready, side, columns) for side in (REFERENCE, SUPPLIER))
     met = tiled_join(a, b, ["request_id"], "A_norm", "B_norm", tile_rows)
+    if dense:
+        met = met.filter(similarity(F.col("A_vector"), F.col("B_vector")) >= box.min_dense - _SLACK)
     return met.filter(_lengths_fit(box)).select("request_id", "A_norm", "B_norm", _cosine())
 
 
-def spelled_names(names: DataFrame, idf: Idf, box: Box, tile_rows: int = TILE_ROWS) -> DataFrame:
+def spelled_names(
+    names: DataFrame, idf: Idf, box: Box, tile_rows: int = TILE_ROWS, vectors: DataFrame | None = None
+) -> DataFrame:
     """The same columns for all pairs in the box, and perhaps some outside, by way of their spelling.
 
     Few edits go by segments, any other bound on edits or on Jaro-Winkler by character
@@ -161,7 +184,7 @@ def spelled_names(names: DataFrame, idf: Idf, box: Box, tile_rows: int = TILE_RO
     if box.max_levenshtein < 0:  # no pair is that near
         return compared_names(names.limit(0), idf, box, tile_rows)
     if not bounds_something(box):
-        return compared_names(names, idf, box, tile_rows)
+        return compared_names(names, idf, box, tile_rows, vectors)
     if box.max_levenshtein < MAX_SEGMENT_EDITS + 1:
         near = segment_pairs(names, int(box.max_levenshtein), tile_rows)
     else:
@@ -183,19 +206,29 @@ def _with_distances(pairs: DataFrame, box: Box) -> DataFrame:
         F.col("levenshtein_distance") <= F.lit(box.max_levenshtein)
     )
     return pairs.withColumn("jaro_winkler_similarity", jaro_winkler("A_norm", "B_norm")).filter(
-        box.holds()
+        box.holds_spelling()
     )
 
 
-def acceptable_names(names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """All name pairs within the bounds, with the three features."""
+def acceptable_names(
+    names: DataFrame, idf: Idf, bounds: Bounds, tile_rows: int = TILE_ROWS, vectors: DataFrame | None = None
+) -> DataFrame:
+    """All name pairs within the bounds, with the three features, and the fourth with `vectors`."""
+
+    def finished(pairs: DataFrame, box: Box) -> DataFrame:
+        pairs = _with_distances(pairs, box)
+        if vectors is None:
+            return pairs
+        row = F.xxhash64("request_id", "A_norm", "B_norm").alias("_row")
+        return with_dense(pairs.select("*", row), vectors, "_row", tile_rows).drop("_row").filter(box.holds())
+
     if bounds.min_cosine <= 0:
-        return _with_distances(spelled_names(names, idf, bounds.above, tile_rows), bounds.above)
-    pairs = _with_distances(sharing_names(names, idf, bounds, tile_rows), bounds.above)
+        return finished(spelled_names(names, idf, bounds.above, tile_rows, vectors), bounds.above)
+    pairs = finished(sharing_names(names, idf, bounds, tile_rows), bounds.above)
     if bounds.below is None:
         return pairs
-    rest = spelled_names(names, idf, bounds.below, tile_rows).filter(
+    rest = spelled_names(names, idf, bounds.below, tile_rows, vectors).filter(
         F.col("cosine_similarity") <= bounds.min_cosine + _SLACK
     )
     # a pair on the cut that lies in both boxes is in the first part already
-    return pairs.unionByName(_with_distances(rest, bounds.below).filter(~bounds.holds_above()))
+    return pairs.unionByName(finished(rest, bounds.below).filter(~bounds.holds_above()))

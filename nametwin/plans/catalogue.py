@@ -7,18 +7,19 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nametwin.config import FEATURES, Settings
+from nametwin.config import DENSE, FEATURES, Settings
 from nametwin.functions.similarity import dense_cosine, jaro_winkler, levenshtein
 from nametwin.functions.text import is_valid, normalize, tokens
 from nametwin.operators import catalog, mapping, metrics
 from nametwin.operators.candidates import Bounds, Box, acceptable_names
+from nametwin.operators.dense import vector_table
 from nametwin.operators.features import feature_table, normalize_pairs
 from nametwin.operators.keep import scratch_folder, settle
 from nametwin.operators.split import assign_by_hash, assign_exact, deduplicate
 from nametwin.operators.tfidf import document_frequencies, fit_idf, pair_cosine, weigh
 from nametwin.plans import monitoring
 from nametwin.plans.matching import Matched, Rule, accept, match_catalogs, match_entries
-from nametwin.plans.model import run_model
+from nametwin.plans.model import Matcher, run_model
 from nametwin.plans.training import Trained, quality_gate, train
 from nametwin.plans.trees import gain_shares, score_by_boxes, split_counts, tree_nodes
 from nametwin.plans.tuning import best_params
@@ -157,6 +158,25 @@ def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(table, "cosine_similarity", "jaro_winkler_similarity")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _letter_vectors(names: DataFrame) -> DataFrame:
+    """Vectors for a column `name`: how often it has each letter and digit."""
+    norm = normalize(F.col("name"))
+    counts = [F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in LETTERS]
+    return vector_table(names.select("name").distinct().select("name", F.array(*counts).alias("vector")))
+
+
+def dense_feature_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature of given vectors, here letter counts, among the others."""
+    pairs = tables.text_pairs(spark, folder)
+    vectors = _letter_vectors(pairs.select(F.explode(F.array("A", "B")).alias("name")))
+    idf = fit_idf(normalize_pairs(pairs), F.col("A_norm"), F.col("B_norm"))
+    found = feature_table(pairs, "pair_id", idf, texts=False, vectors=vectors)
+    return _rounded(found.select("pair_id", DENSE), DENSE)
+
+
 # --- rule matching ---------------------------------------------------------
 
 
@@ -582,10 +602,20 @@ def reply_by_model(spark: SparkSession, folder: str) -> DataFrame:
 
 def matching_equals_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Name pairs of all requests, and those the index decides otherwise than scoring every pair."""
-    matcher = _part_model(spark, folder).matcher
+    return _against_scoring(spark, folder, _part_model(spark, folder).matcher)
+
+
+def dense_matching_equals_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a model of four features, one of them that of given vectors."""
+    vectors = _letter_vectors(tables.part_entries(spark, folder))
+    matcher = train(tables.part_pairs(spark, folder), SETTINGS, vectors=vectors).matcher
+    return _against_scoring(spark, folder, matcher)
+
+
+def _against_scoring(spark: SparkSession, folder: str, matcher: Matcher) -> DataFrame:
     matched = match_entries(tables.part_entries(spark, folder), matcher)
     names = settle(matched.names)
-    every = settle(acceptable_names(names, matcher.idf, Bounds()))
+    every = settle(acceptable_names(names, matcher.idf, Bounds(), vectors=matcher.vectors))
     key = ["request_id", "A_norm", "B_norm"]
     one = matched.accepted.select(*key, F.lit(True).alias("indexed"))
     two = accept(every, matcher).select(*key, F.lit(True).alias("scored"))
@@ -638,7 +668,7 @@ QUERIES = {
         normalize_names, valid_names, tokenize_counts,
         usable_entries, distinct_catalog_names, pair_counts_by_request, dedupe_pairs,
         tfidf_idf, tfidf_cosine_pairs, tfidf_cosine_shuffled, levenshtein_pairs, jaro_winkler_pairs,
-        embedding_cosine_pairs, feature_rows,
+        embedding_cosine_pairs, feature_rows, dense_feature_pairs,
         rule_name_pairs, rule_mapping, rule_match_counts, mapping_json,
         rule_mapping_tiled, near_name_pairs, similar_spellings,
         request_entries, request_errors,
@@ -649,7 +679,7 @@ QUERIES = {
         name_drift, unseen_terms, unseen_term_spellings, unseen_vocabulary, accuracy_by_day, late_label_accuracy,
         train_and_score, scores_by_boxes, feature_importance, importance_by_gain, quality_report, model_roundtrip,
         smoke_before_publishing, published_metrics, model_bounds,
-        match_by_model, matching_equals_scoring, reply_by_model, reply_by_rule, stream_match, stream_by_rule,
+        match_by_model, matching_equals_scoring, dense_matching_equals_scoring, reply_by_model, reply_by_rule, stream_match, stream_by_rule,
         stream_equals_batch, drift_from_training, tuning_trials,
     )
 }

@@ -35,6 +35,7 @@ class Rule:
     idf: Idf
     bounds: Bounds
     condition: Column
+    vectors: DataFrame | None = None  # (norm, vector), where the rule asks for their similarity
 
     def accept(self, pairs: DataFrame) -> DataFrame:
         return pairs.withColumn(DECISION, self.condition).filter(DECISION)
@@ -48,7 +49,7 @@ def match_entries(entries: DataFrame, matcher: Matcher | Rule, tile_rows: int =
     """
     ready = settle(usable(entries))
     names = distinct_names(ready)
-    pairs = acceptable_names(names, matcher.idf, matcher.bounds, tile_rows)
+    pairs = acceptable_names(names, matcher.idf, matcher.bounds, tile_rows, matcher.vectors)
     return Matched(ready, names, accept(pairs, matcher))
 
 

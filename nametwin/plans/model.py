@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from nametwin.config import DECISION, FEATURES, PROBA, TARGET, BoostParams
 from nametwin.operators.candidates import Bounds, Box
-from nametwin.operators.features import feature_table
+from nametwin.operators.features import feature_table, features_of
 from nametwin.operators.keep import use_checkpoint_folder
 from nametwin.operators.metrics import take_decision
 from nametwin.operators.tfidf import Idf
-from nametwin.plans.trees import tree_cuts, tree_nodes
+from nametwin.plans.trees import model_features, tree_cuts, tree_nodes
 
 NOTHING = Box(max_levenshtein=-1.0)  # no pair has a negative distance
 FIT_ROWS_PER_PARTITION = 100_000
@@ -30,6 +30,7 @@ class Matcher:
     idf: Idf
     threshold: float
     bounds: Bounds
+    vectors: DataFrame | None = None  # (norm, vector), if the model has a fourth feature
 
 
 def settled(features: DataFrame, key: str) -> DataFrame:
@@ -46,10 +47,13 @@ def fit_boosted(
 ) -> PipelineModel:
     """Boosted trees on the feature columns and `match`; all rounds run.
 
-    With `validation`, the first rounds that do best on it are kept.
+    With `validation`, the first rounds that do best on it are kept. A fourth feature
+    comes with fewer bins, so that the cells between the cuts are no more than of three.
     """
+    names = features_of(train)
+    bins = int(params.max_bins ** (len(FEATURES) / len(names)))
     use_checkpoint_folder(train.sparkSession)
-    columns = [key, *FEATURES, F.col(TARGET).cast("double").alias("label")]
+    columns = [key, *names, F.col(TARGET).cast("double").alias("label")]
     rows = train.select(*columns)
     trees = GBTClassifier(
         featuresCol="features",
@@ -58,13 +62,13 @@ def fit_boosted(
         maxIter=params.max_iter,
         stepSize=params.step_size,
         maxDepth=params.max_depth,
-        maxBins=params.max_bins,
+        maxBins=bins,
         minInstancesPerNode=params.min_instances_per_node,
         subsamplingRate=params.subsampling_rate,
         featureSubsetStrategy=params.feature_subset,
         seed=params.seed,
     )
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    assembler = VectorAssembler(inputCols=list(names), outputCol="features")
     kept = settled(rows, key)
     try:
         fitted = Pipeline(stages=[assembler, trees]).fit(kept)
@@ -108,7 +112,7 @@ def add_probability(features: DataFrame, pipeline: PipelineModel) -> DataFrame:
 
 def run_model(pairs: DataFrame, key: str, matcher: Matcher) -> DataFrame:
     """Features, `proba` and `decision` for pairs (A, B) identified by `key`."""
-    features = feature_table(pairs, key, matcher.idf)
+    features = feature_table(pairs, key, matcher.idf, vectors=matcher.vectors)
     scored = add_probability(features, matcher.pipeline)
     return scored.withColumn(DECISION, take_decision(F.col(PROBA), matcher.threshold))
 
@@ -120,7 +124,8 @@ def acceptance_bounds(spark: SparkSession, pipeline: PipelineModel, threshold: f
     every possible pair. The grid has at most max_bins values per feature; it is
     laid out and scored as a distributed range and only the corners come back.
     """
-    cuts = dict(enumerate(tree_cuts(tree_nodes(spark, pipeline))))
+    names = model_features(pipeline)
+    cuts = dict(enumerate(tree_cuts(tree_nodes(spark, pipeline), len(names))))
     low = {i: [float("-inf"), *c] for i, c in cuts.items()}
     high = {i: [*c, float("inf")] for i, c in cuts.items()}
     inside = {i: [*c, (c[-1] if c else 0.0) + 1.0] for i, c in cuts.items()}
@@ -129,14 +134,15 @@ def acceptance_bounds(spark: SparkSession, pipeline: PipelineModel, threshold: f
         return F.get(F.lit(values), index)
 
     n_cells, position = 1, {}
-    for i in range(len(FEATURES)):
+    for i in range(len(names)):
         position[i] = F.pmod(F.floor(F.col("id") / n_cells), F.lit(len(inside[i]))).cast("int")
         n_cells *= len(inside[i])
     cells = spark.range(n_cells).select(
-        *[at(inside[i], position[i]).alias(name) for i, name in enumerate(FEATURES)],
+        *[at(inside[i], position[i]).alias(name) for i, name in enumerate(names)],
         at(low[0], position[0]).alias("cosine_from"),
         at(high[1], position[1]).alias("distance_to"),
         at(low[2], position[2]).alias("winkler_from"),
+        (at(low[3], position[3]) if len(names) > len(FEATURES) else F.lit(float("-inf"))).alias("dense_from"),
     )
     accepted = add_probability(cells, pipeline).filter(take_decision(F.col(PROBA), threshold))
     # the lowest cosine cell holds the pairs without a common word
@@ -144,9 +150,10 @@ def acceptance_bounds(spark: SparkSession, pipeline: PipelineModel, threshold: f
         F.min("cosine_from").alias("cosine"),
         F.max("distance_to").alias("distance"),
         F.greatest(F.min("winkler_from"), F.lit(0.0)).alias("winkler"),
+        F.min("dense_from").alias("dense"),
     )
     found = {r["wordless"]: r for r in corners.collect()}  # two rows at most
-    box = {k: Box(r["distance"], r["winkler"]) for k, r in found.items()}
+    box = {k: Box(r["distance"], r["winkler"], r["dense"]) for k, r in found.items()}
     if False not in found:
         # nothing is accepted above any cosine a pair can have
         return Bounds(2.0, below=box.get(True)) if cuts[0] else Bounds(0.0, box.get(True, NOTHING))
@@ -154,6 +161,11 @@ def acceptance_bounds(spark: SparkSession, pipeline: PipelineModel, threshold: f
     if cosine <= 0:
         boxes = box.values()
         return Bounds(
-            0.0, Box(max(b.max_levenshtein for b in boxes), min(b.min_jaro_winkler for b in boxes))
+            0.0,
+            Box(
+                max(b.max_levenshtein for b in boxes),
+                min(b.min_jaro_winkler for b in boxes),
+                min(b.min_dense for b in boxes),
+            ),
         )
     return Bounds(cosine, box[False], box.get(True))

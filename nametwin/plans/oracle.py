@@ -461,3 +461,18 @@ ORACLES |= {
     "average_precision_ranges": ORACLES["average_precision"],
     "late_label_accuracy": ORACLES["accuracy_by_day"],
 }
+
+_LETTERS = "string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z 0 1 2 3 4 5 6 7 8 9', ' ')"
+
+
+def _letter_counts(norm: str) -> str:
+    return f"list_transform({_LETTERS}, c -> (length({norm}) - length(replace({norm}, c, '')))::DOUBLE)"
+
+
+ORACLES["dense_matching_equals_scoring"] = ORACLES["matching_equals_scoring"]
+ORACLES["dense_feature_pairs"] = f"""WITH {TEXT_PAIRS}, letters AS (
+  SELECT pair_id, {_letter_counts("A_norm")} AS a, {_letter_counts("B_norm")} AS b FROM text_pairs),
+products AS (
+  SELECT pair_id, list_dot_product(a, b) AS ab, list_dot_product(a, a) AS aa, list_dot_product(b, b) AS bb FROM letters)
+SELECT pair_id, CASE WHEN aa > 0 AND bb > 0 THEN round(ab / (sqrt(aa) * sqrt(bb)), 6) ELSE 0.0 END AS embedding_cosine_similarity
+FROM products"""

@@ -36,8 +36,11 @@ class Prepared:
         return self.features.filter(F.col("part") == name).drop("part")
 
 
-def prepare(pairs: DataFrame, settings: Settings = Settings()) -> Prepared:
-    """Deduplicate, split, fit TF-IDF on the training part, add features to all parts."""
+def prepare(pairs: DataFrame, settings: Settings = Settings(), vectors: DataFrame | None = None) -> Prepared:
+    """Deduplicate, split, fit TF-IDF on the training part, add features to all parts.
+
+    With `vectors` (`dense.vector_table`), a fourth one is theirs.
+    """
     unique = settle(deduplicate(pairs))
     parted = settle(
         assign_exact(
@@ -50,13 +53,15 @@ def prepare(pairs: DataFrame, settings: Settings = Settings()) -> Prepared:
     )
     known = normalize_pairs(parted.filter(F.col("part") == "train"))
     idf = fit_idf(known, F.col("A_norm"), F.col("B_norm"))
-    return Prepared(idf, settle(feature_table(parted, "pair_id", idf, texts=False)))
+    return Prepared(idf, settle(feature_table(parted, "pair_id", idf, texts=False, vectors=vectors)))
 
 
-def train(pairs: DataFrame, settings: Settings = Settings(), early_stop: bool = False) -> Trained:
+def train(
+    pairs: DataFrame, settings: Settings = Settings(), early_stop: bool = False, vectors: DataFrame | None = None
+) -> Trained:
     """Fit on train, take the threshold from val, evaluate on test."""
     spark = pairs.sparkSession
-    ready = prepare(pairs, settings)
+    ready = prepare(pairs, settings, vectors)
     pipeline = fit_boosted(
         ready.part("train"), "pair_id", settings.boost, ready.part("val") if early_stop else None
     )
@@ -69,7 +74,7 @@ def train(pairs: DataFrame, settings: Settings = Settings(), early_stop: bool =
     metrics = evaluate(scored, settings.min_average_precision)
     chosen = spark.range(1).select(F.lit("threshold").alias("metric"), F.lit(threshold).alias("value"))
     bounds = acceptance_bounds(spark, pipeline, threshold)
-    matcher = Matcher(pipeline, ready.idf, threshold, bounds)
+    matcher = Matcher(pipeline, ready.idf, threshold, bounds, vectors)
     return Trained(matcher, scored, settle(metrics.unionAll(chosen)))
 
 

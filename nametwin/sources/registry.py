@@ -1,6 +1,6 @@
 """Published models: versioned folders plus a manifest, all on shared storage.
 
-Layout under one folder: `model/<id>` (pipeline, idf, meta, example, lengths), `metrics`,
+Layout under one folder: `model/<id>` (pipeline, idf, vectors, meta, example, lengths), `metrics`,
 `params`, and `manifest/<number>.json`, a file a version. Paths and run ids are random,
 and a version's number exists in the manifest alone, which is written last: a reader
 sees a version only when all of it is there.
@@ -44,7 +44,8 @@ class BrokenModel(RuntimeError):
 _META = (
     "threshold double, n_docs long, n_terms long, n_bytes long, "
     "min_cosine double, max_levenshtein double, min_jaro_winkler double, "
-    "below_levenshtein double, below_jaro_winkler double"
+    "below_levenshtein double, below_jaro_winkler double, "
+    "min_dense double, below_dense double, has_vectors boolean"
 )
 
 
@@ -167,9 +168,12 @@ def publish(
             b.min_cosine, b.above.max_levenshtein, b.above.min_jaro_winkler,
             b.below.max_levenshtein if b.below else None,
             b.below.min_jaro_winkler if b.below else None,
+            b.above.min_dense, b.below.min_dense if b.below else None, matcher.vectors is not None,
         )
     ]
     spark.createDataFrame(meta, _META).coalesce(1).write.parquet(f"{path}/meta")
+    if matcher.vectors is not None:
+        matcher.vectors.write.parquet(f"{path}/vectors")
     if example is not None:
         example.write.parquet(f"{path}/example")
     if names is not None:
@@ -233,16 +237,22 @@ def load(spark: SparkSession, folder: str, version: int | None = None) -> Matche
     return _read(spark, _path(spark, folder, version))
 
 
+def _least(bound: float | None) -> float:
+    """None in versions from before there were vectors."""
+    return float("-inf") if bound is None else bound
+
+
 def _read(spark: SparkSession, path: str) -> Matcher:
     meta = spark.read.schema(_META).parquet(f"{path}/meta").first()
-    above = Box(meta["max_levenshtein"], meta["min_jaro_winkler"])
+    above = Box(meta["max_levenshtein"], meta["min_jaro_winkler"], _least(meta["min_dense"]))
     below = None
     if meta["below_levenshtein"] is not None:
-        below = Box(meta["below_levenshtein"], meta["below_jaro_winkler"])
+        below = Box(meta["below_levenshtein"], meta["below_jaro_winkler"], _least(meta["below_dense"]))
     terms = spark.read.parquet(f"{path}/idf")
     return Matcher(
         PipelineModel.load(f"{path}/pipeline"),
         Idf(terms, meta["n_docs"], meta["n_terms"], meta["n_bytes"]),
         meta["threshold"],
         Bounds(meta["min_cosine"], above, below),
+        spark.read.parquet(f"{path}/vectors") if meta["has_vectors"] else None,
     )
