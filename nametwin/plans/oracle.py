@@ -466,7 +466,7 @@ _LETTERS = "string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z 0
 
 
 def _letter_counts(norm: str) -> str:
-    return f"list_transform({_LETTERS}, c -> (length({norm}) - length(replace({norm}, c, '')))::DOUBLE)"
+    return f"list_transform({_LETTERS}, lambda c: (length({norm}) - length(replace({norm}, c, '')))::DOUBLE)"
 
 
 ORACLES["dense_matching_equals_scoring"] = ORACLES["matching_equals_scoring"]
