@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -126,6 +127,42 @@ def private_spans(text):
     return sorted(found)
 
 
+def disclosing(texts, names, share=0.9, chance=0.01, kin=0.4):
+    """{(entity, term)} of texts and their sets of entities; texts of that similarity, or chains of them, are one witness."""
+    n = len(texts)
+    terms = [set(re.findall(r"[^\W\d_]{3,}", (t or "").lower())) for t in texts]
+    held = Counter(t for ts in terms for t in ts)
+
+    def shingles(text):
+        words = WORDS.findall(text or "")
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    found = set()
+    for e in set().union(*names):
+        rows = [i for i in range(n) if e in names[i]]
+        linked = [
+            (a, b)
+            for a in range(len(rows))
+            for b in range(a)
+            if len(sets[rows[a]] & sets[rows[b]]) >= kin * len(sets[rows[a]] | sets[rows[b]])
+        ]
+        family = dict(zip(rows, smallest_reachable(list(range(len(rows))), linked), strict=True))
+        xe, ne = len(set(family.values())), len(rows)
+        for t in set().union(*(terms[i] for i in rows)):
+            both = [i for i in rows if t in terms[i]]
+            xet = len({family[i] for i in both})
+            if xet < 2:
+                continue
+            ways = math.log(xe - 1) - math.log(xet - 1) + (xet < xe)
+            others = held[t] - (len(both) - xet) - 1
+            likely = (xet - 1) * (max(ways, 0) + math.log(others / max(1, len({t or "" for t in texts}) - 1)))
+            known = -math.log2(ne / n)
+            if known > 0 and math.log2(n * len(both) / (ne * held[t])) >= share * known and likely <= math.log(chance):
+                found.add((e, t))
+    return found
+
+
 def without_repeats(docs, length=200):
     """(n_bytes, n_removed, n_spans, sha) of each text."""
     raws = [(t or "").encode() for t in docs]

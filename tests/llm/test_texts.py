@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nametwin.llm import common, op5_privacy, op7_substrings, op8_passages, op10_langid, windows
 from tests.llm import brute
+from tests.llm.conftest import WORDS
 
 
 @pytest.mark.parametrize(("length", "gram"), [(200, 32), (40, 8), (12, 12)])
@@ -158,6 +159,56 @@ def test_disclosing_terms_of_two_texts_and_far_from_the_entity(spark):
     assert shown[20] == shown[21] == ["Barney"] and shown[22] == []
 
 
+def planted_names():
+    """Texts of a long-tailed vocabulary; (email, name) of those whose own name stands in independent texts."""
+    rng = random.Random(12)
+    vocabulary = [w + x for w in WORDS for x in WORDS]
+    weights = [1 / (i + 1) for i in range(len(vocabulary))]
+    fill = lambda n: " ".join(rng.choices(vocabulary, weights, k=n))
+
+    def letter(name, email):
+        return f"{fill(rng.randint(20, 60))} {name} {fill(rng.randint(0, 30))} {email} {fill(rng.randint(5, 20))}"
+
+    texts = [fill(rng.randint(20, 90)) for _ in range(700)]
+    truth = set()
+    for i in range(40):
+        name, email = "Zq" + "".join(rng.choice("aeiou") + rng.choice("kmprst") for _ in range(3)), f"p{i}@example.org"
+        written = [letter(name, email) for _ in range(rng.randint(2, 6) if i < 25 else 1)]
+        if i < 25:
+            truth.add((f"email:{email}", name.lower()))
+        if i % 3 == 0:  # near copies of a letter are no further witnesses
+            words = written[0].split()
+            for k in range(8):
+                changed = list(words)
+                changed[k] = f"changed{'xyz'[k % 3]}"
+                written.append(" ".join(changed))
+        texts += written
+    page = " ".join(f"d{i}@example.net {fill(2)}" for i in range(60))
+    texts += [page, f"{fill(40)} d1@example.net d2@example.net {fill(9)}", "", None, texts[-1]]
+    return texts, truth
+
+
+def test_disclosing_terms_against_brute_force_and_planted_names(spark):
+    texts, truth = planted_names()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = op5_privacy.entities(frame)
+    got = {tuple(r) for r in op5_privacy.disclosing(frame, found).select("entity", "term").collect()}
+    names = [{f"{s[3]}:{t[s[0] : s[2]].lower()}" for s in brute.private_spans(t)} for t in texts]
+    assert got == brute.disclosing(texts, names)
+    assert truth <= got and len(truth) == 25
+    assert got - truth == {(f"email:d{i}@example.net", "net") for i in (1, 2)}  # a rare part of the addresses
+
+
+def test_near_copies_are_one_witness(spark):
+    texts = [t for t in planted_names()[0] if t][:700]
+    rng = random.Random(4)
+    words = [f"w{rng.choice('abcdefgh') * 3}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
+    for _ in range(40):  # a word in twelve differs from copy to copy
+        texts.append(" ".join(["q@example.org", *[w if rng.random() > 1 / 12 else rng.choice(words) for w in words]]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not any(s.kind == "term" for r in op5_privacy.private_spans(frame).collect() for s in r.spans)
+
+
 def test_privacy_report_and_empty(docs, no_docs):
     report = op5_privacy.report(op5_privacy.private_spans(docs))
     row = report.filter("n_card = 1").first()
