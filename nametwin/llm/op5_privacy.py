@@ -12,10 +12,9 @@ Copies count in n, n_e, n_t and n_et, but are no evidence of their own where it
 what chance does. Texts that hold e fall into families: two are linked when one of BANDS
 groups of LEAST minimum hashes of their five-word shingles agrees, and a family is what
 links lead through. That links equal texts always, texts of a similarity of 0.5 with a
-probability of 0.995, of 0.3 with 0.66, of 0.1 with 0.04, of 0.03 with 0.001. It measures
+probability of 0.9999, of 0.3 with 0.95, of 0.1 with 0.28, of 0.03 with 0.03. It measures
 dependence and is no near-duplicate search, so links are not compared again: texts that
-share a third of their shingles are no independent witnesses, a common signature line
-leaves them so.
+share a third of their shingles are no independent witnesses. A link by chance costs one.
 
 A term is looked at because it stands in some family with e, so that family says
 nothing; how likely chance alone puts a pair into as many further ones is bounded by the
@@ -63,7 +62,7 @@ KINDS = (*PATTERNS, "term")
 CHANCE = 0.01
 SHARE = 0.9
 SHINGLE = 5  # words
-BANDS, LEAST = 40, 3  # groups of minimum hashes, hashes of a group
+BANDS, LEAST = 32, 2  # groups of minimum hashes, hashes of a group
 TERM = r"\p{L}{3,}"
 
 SPAN = "struct<start:int,rank:int,stop:int,kind:string,value:string>"
