@@ -63,6 +63,7 @@ CHANCE = 0.01
 SHARE = 0.9
 SHINGLE = 5  # words
 BANDS, LEAST = 32, 2  # groups of minimum hashes, hashes of a group
+MAX_WANTED = 16 << 20  # bytes of terms that are broadcast; beyond it all terms are shuffled
 TERM = r"\p{L}{3,}"
 
 SPAN = "struct<start:int,rank:int,stop:int,kind:string,value:string>"
@@ -179,9 +180,15 @@ def families(named: DataFrame, texts: DataFrame) -> DataFrame:
     return nodes.join(found, "id").select("entity", "key", F.col("component").alias("family"))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n_t): documents that hold a term."""
+def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_t): documents that hold a term, at least of those `wanted`.
+
+    Up to MAX_WANTED bytes of wanted terms are broadcast, so that others are not shuffled.
+    """
     terms = docs.select(F.explode(terms_of(F.col("text").cast("string"))).alias("term"))
+    size = wanted.agg(F.sum(F.octet_length("term") + F.lit(64))).first()[0] or 0
+    if size <= MAX_WANTED:
+        terms = terms.join(F.broadcast(wanted), "term", "left_semi")
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
@@ -208,7 +215,8 @@ def disclosing(docs: DataFrame, found: DataFrame, share: float = SHARE, chance:
     by_text = settle(kin.join(holders, "entity").groupBy("key", "rows").agg(F.collect_list(who).alias("whose")))
     words = speaking.join(by_text.select("key"), "key", "left_semi")
     words = words.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
-    counts = term_counts(docs).filter(F.col("n_t").between(2, F.lit(able)))
+    wanted = settle(words.select("term").distinct())
+    counts = term_counts(docs, wanted).filter(F.col("n_t").between(2, F.lit(able)))
     rare = words.join(counts, "term").join(by_text, "key")
     pairs = rare.select(
         "rows", "term", "n_t", F.explode(F.filter("whose", lambda w: w["most"] >= F.col("n_t"))).alias("w")

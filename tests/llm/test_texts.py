@@ -188,7 +188,9 @@ def planted_names():
     return texts, truth
 
 
-def test_disclosing_terms_against_brute_force_and_planted_names(spark):
+@pytest.mark.parametrize("most", [op5_privacy.MAX_WANTED, -1])
+def test_disclosing_terms_against_brute_force_and_planted_names(spark, most, monkeypatch):
+    monkeypatch.setattr(op5_privacy, "MAX_WANTED", most)
     texts, truth = planted_names()
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = op5_privacy.entities(frame)
