@@ -107,6 +107,27 @@ def test_jaro_winkler_blocks_of_long_texts(monkeypatch):
     assert np.allclose(similarity.jaro_winkler_arrays(texts, other), expected, atol=1e-12)
 
 
+def test_jaro_winkler_of_long_texts_looks_at_no_window(monkeypatch):
+    """Each step may touch a few places a row, not all within reach: the work grows with the text, not its square."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh ", k=n)) for n in (1, 64, 65, 66, 300, 2000)]
+    expected = [brute.jaro_winkler(x, y) for x in texts for y in texts]
+    a, b = [x for x in texts for _ in texts], texts * len(texts)
+    assert np.allclose(similarity.jaro_winkler_arrays(a, b), expected, atol=1e-12)
+    one, two = (similarity._codes([x] * 2) for x in (texts[3], texts[4]))
+    hits = similarity._matched_far(one, two, np.array([149, 149]))
+    assert [h.sum() for h in hits] == [hits[0].sum()] * 2 and (hits[1][0] == hits[1][1]).all()
+
+
+def test_both_ways_of_matching_characters_agree():
+    rng = random.Random(6)
+    a, b = (similarity._codes(["".join(rng.choices("abé\U0001d11e ", k=rng.randrange(0, 65))) for _ in range(300)]) for _ in "ab")
+    reach = np.maximum(0, np.maximum((a > 0).sum(1), (b > 0).sum(1)) // 2 - 1)
+    near = similarity._matched_near(a, b, reach, np.unique(np.append(b, np.uint32(0))))
+    far = similarity._matched_far(a, b, reach)
+    assert all((x == y).all() for x, y in zip(near, far, strict=True))
+
+
 def test_jaro_winkler_column_handles_null(spark):
     rows = spark.createDataFrame([(None, "abc"), ("abc", "abc")], "a string, b string")
     got = [r[0] for r in rows.select(similarity.jaro_winkler("a", "b")).collect()]
