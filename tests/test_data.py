@@ -157,6 +157,20 @@ def test_profiles_have_unit_length_and_rare_terms_first(spark):
     assert sum(w * w for w in got["room suite room"]["profile"].values()) == pytest.approx(1.0)
 
 
+def test_tasks_that_count_words_are_as_many_as_the_texts_need(spark, monkeypatch):
+    """Merging by the size of packed texts would give a task a large part of all words."""
+    monkeypatch.setattr(tfidf, "PART_BYTES", 1000)
+    rows = spark.createDataFrame([(i, "room suite " * 5) for i in range(1000)], "k int, norm string")
+    assert tfidf._dealt(rows, "k", "norm").rdd.getNumPartitions() == 55
+
+
+def test_a_pair_key_may_be_null_or_repeat(spark):
+    rows = spark.createDataFrame([(None, "room suite", "room"), (1, "room", "room"), (1, "room", "room")], "k int, A string, B string")
+    model = fit_idf(rows, F.col("A"), F.col("B"))
+    got = {r["k"]: r["cosine_similarity"] for r in feature_table(rows, "k", model).collect()}
+    assert set(got) == {None, 1} and got[1] == pytest.approx(1.0) and 0 < got[None] < 1
+
+
 def test_a_large_vocabulary_is_joined_by_shuffle(spark, monkeypatch):
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEXTS * 9)], "k int, A string, B string")
     model = fit_idf(rows, F.col("A"), F.col("B"))

@@ -14,6 +14,7 @@ from nametwin.operators.candidates import Bounds, Box, acceptable_names
 from nametwin.operators.dense import vector_table, with_dense
 from nametwin.operators.keep import settle
 from nametwin.operators.tfidf import fit_idf
+from nametwin.plans import catalogue
 from nametwin.plans.catalogue import _letter_vectors
 from nametwin.plans.matching import Rule, accept, match_entries
 from nametwin.plans.model import run_model
@@ -90,3 +91,13 @@ def test_a_model_of_four_features(spark, tmp_path):
     key = ["request_id", "A_norm", "B_norm"]
     got = sorted(map(tuple, matched.accepted.select(key).collect()))
     assert got == sorted(map(tuple, accept(every, loaded).select(key).collect()))
+
+
+def test_letters_are_counted_once_a_name(spark, monkeypatch):
+    """What asks whether a vector is fine must not clean the name and count its letters again."""
+    written = []
+    monkeypatch.setattr(catalogue, "settle", lambda f: written.append(settle(f)) or written[-1])
+    vectors = _letter_vectors(spark.createDataFrame([("Ab-a1",), ("aba1",), (None,)], "name string"))
+    got = {r["norm"]: r["vector"] for r in vectors.collect()}
+    assert set(got) == {"", "aba1"} and got["aba1"] == [2.0, 1.0, *[0.0] * 25, 1.0, *[0.0] * 8]
+    assert [w.columns for w in written] == [["name", "vector"]]
