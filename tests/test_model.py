@@ -18,7 +18,7 @@ from nametwin.operators.features import check_features
 from nametwin.operators.keep import keep, release, releasing, settle
 from nametwin.operators.metrics import take_decision
 from nametwin.plans.matching import match_catalogs, match_entries
-from nametwin.plans.model import acceptance_bounds, add_probability, first_rounds, fit_boosted, prefix_losses, run_model
+from nametwin.plans.model import acceptance_bounds, add_probability, first_rounds, fit_boosted, prefix_losses, run_model, settled
 from nametwin.plans.monitoring import length_drift, length_histogram, unseen_term_rate
 from nametwin.plans.training import quality_gate, train, train_on_generated
 from nametwin.plans.trees import leaf_boxes, score_by_boxes, split_counts, tree_nodes
@@ -356,3 +356,15 @@ def test_missing_features_are_reported(spark):
 def test_unseen_terms(spark, trained):
     names = spark.createDataFrame([("big ROOM",), ("qwxyz room",)], "name string")
     assert unseen_term_rate(names, trained.matcher.idf).first()[0] == pytest.approx(0.25)
+
+
+def test_training_rows_are_spread_over_many_parts(spark):
+    """Rounds are short jobs; 100,000 rows in a part would leave most cores idle."""
+    def parts(n: int) -> int:
+        kept = settled(spark.range(n), "id")
+        try:
+            return kept.rdd.getNumPartitions()
+        finally:
+            kept.unpersist()
+
+    assert [parts(n) for n in (9_000, 50_000, 600_000)] == [1, 5, 48]
