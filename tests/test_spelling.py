@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from nametwin.functions.similarity import jaro_winkler_arrays
+from nametwin.operators import candidates, spelling
 from nametwin.operators.candidates import Bounds, Box, acceptable_names, spelled_names
+from nametwin.operators.keep import settle
 from nametwin.operators.spelling import segment_pairs, signature_pairs
 from nametwin.operators.tfidf import fit_idf
 from tests import brute
@@ -99,3 +101,26 @@ def test_no_names(spark):
     idf = fit_idf(frame(spark, [("r", "A", "some words")]), F.col("norm"))
     for box in (Box(2), Box(min_jaro_winkler=0.8), Box()):
         assert spelled_names(names, idf, box).count() == spelled_names(names.limit(0), idf, box).count() == 0
+
+
+def test_small_requests_write_only_names_and_pairs_in_the_box(spark, monkeypatch):
+    """Pairs that fail a bound die where they are made: none is written or fetches its weights."""
+    written = []
+
+    def watched(table):
+        kept = settle(table)
+        written.append((set(kept.columns), kept.count()))
+        return kept
+
+    for module in (candidates, spelling):
+        monkeypatch.setattr(module, "settle", watched)
+    rows = spelled(11, "abcdefgh ", 20, 60)
+    names, box = frame(spark, rows), Box(min_jaro_winkler=0.85)
+    idf = fit_idf(names, F.col("norm"))
+    found = spelled_names(names, idf, box).count()
+    pairs = every_pair(rows)
+    winkler = jaro_winkler_arrays([a for _, a, _ in pairs], [b for _, _, b in pairs])
+    assert found == sum(w >= box.min_jaro_winkler for w in winkler)
+    of_pairs = [n for columns, n in written if any(c.startswith("B_") for c in columns)]
+    assert of_pairs and max(of_pairs) == found
+    assert max(n for _, n in written) <= max(found, len(rows))
