@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nametwin.config import DENSE, FEATURES, BoostParams, Settings
-from nametwin.operators import catalog
+from nametwin.operators import candidates, catalog, dense
 from nametwin.operators.candidates import Bounds, Box, acceptable_names
 from nametwin.operators.dense import vector_table, with_dense
 from nametwin.operators.keep import settle
@@ -101,3 +101,23 @@ def test_letters_are_counted_once_a_name(spark, monkeypatch):
     got = {r["norm"]: r["vector"] for r in vectors.collect()}
     assert set(got) == {"", "aba1"} and got["aba1"] == [2.0, 1.0, *[0.0] * 25, 1.0, *[0.0] * 8]
     assert [w.columns for w in written] == [["name", "vector"]]
+
+
+def test_comparing_all_names_fetches_no_vector_for_a_pair(spark, monkeypatch):
+    """Names bring their vectors along: no table of pairs is written to fetch them, and the cosines are the same."""
+    written = []
+
+    def watched(table):
+        written.append(table.columns)
+        return settle(table)
+
+    for module in (candidates, dense):
+        monkeypatch.setattr(module, "settle", watched)
+    rows = [("r", "A", "big room"), ("r", "A", "none"), ("r", "A", "odd"), ("r", "B", "big flat"), ("r", "B", "zero")]
+    names = spark.createDataFrame(rows, "request_id string, side string, norm string")
+    known = [("big room", [3.0, 4.0]), ("odd", [1.0]), ("big flat", [4.0, 3.0]), ("zero", [0.0, 0.0])]
+    vectors = spark.createDataFrame(known, "norm string, vector array<double>")
+    found = candidates.acceptable_names(names, fit_idf(names, F.col("norm")), candidates.Bounds(), vectors=vectors)
+    got = {(r["A_norm"], r["B_norm"]): r[DENSE] for r in found.collect()}
+    assert got == {(a, b): 0.96 if (a, b) == ("big room", "big flat") else 0.0 for a in ("big room", "none", "odd") for b in ("big flat", "zero")}
+    assert written and not any("A_norm" in columns for columns in written)
