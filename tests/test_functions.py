@@ -140,3 +140,12 @@ def test_dense_cosine(spark):
     )
     got = [r[0] for r in rows.select(similarity.dense_cosine(F.col("a"), F.col("b"))).collect()]
     assert got == pytest.approx([2**-0.5, 0.0])
+
+
+def test_each_text_of_a_batch_is_encoded_once(monkeypatch):
+    encoded, codes = [], similarity._codes
+    monkeypatch.setattr(similarity, "_codes", lambda texts: encoded.extend(texts) or codes(texts))
+    a, b = zip(*[(x, y) for x in ("martha", "dixon", "a\0b") for y in ("marhta", "dicksonx")] * 50, strict=True)
+    got = similarity.jaro_winkler_arrays([*a], [*b])
+    assert got[:4].round(6).tolist() == [0.961111, got[1].round(6), got[2].round(6), 0.813333]
+    assert sorted(encoded) == sorted(["martha", "dixon", "a\0b", "marhta", "dicksonx"])
