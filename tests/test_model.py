@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import threading
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
@@ -22,6 +23,8 @@ from nametwin.plans.model import acceptance_bounds, add_probability, first_round
 from nametwin.plans.monitoring import length_drift, length_histogram, unseen_term_rate
 from nametwin.plans.training import quality_gate, train, train_on_generated
 from nametwin.plans.trees import leaf_boxes, score_by_boxes, split_counts, tree_nodes
+from nametwin.plans import tuning
+from nametwin.plans.training import Prepared
 from nametwin.plans.tuning import best_params
 from nametwin.sources import registry
 from nametwin.sources.requests import read_requests, write_replies
@@ -356,3 +359,20 @@ def test_missing_features_are_reported(spark):
 def test_unseen_terms(spark, trained):
     names = spark.createDataFrame([("big ROOM",), ("qwxyz room",)], "name string")
     assert unseen_term_rate(names, trained.matcher.idf).first()[0] == pytest.approx(0.25)
+
+
+def test_first_trials_run_beside_the_start(spark, monkeypatch):
+    """They do not depend on it; the answer and the order of trials are those of running one after another."""
+    together = threading.Barrier(3)
+
+    def tried(train, val, params):
+        if params.max_depth == 5:
+            together.wait(20)
+        return {"all": 3, "0.67": 2, "onethird": 4}[params.feature_subset], params.max_depth - len(params.feature_subset)
+
+    monkeypatch.setattr(tuning, "prepare", lambda pairs, settings: Prepared(None, pairs.withColumn("part", F.lit("train"))))
+    monkeypatch.setattr(tuning, "trial", tried)
+    steps = (("feature_subset", ("all", "0.67", "onethird")), ("max_depth", (3, 5)))
+    best, trials = best_params(spark.range(1), rounds=4, steps=steps)
+    assert trials == [("start", 3, 2), ("feature_subset=0.67", 2, 1), ("feature_subset=onethird", 4, -3), ("max_depth=3", 4, -5)]
+    assert (best["feature_subset"], best["max_depth"], best["max_iter"]) == ("onethird", 3, 4)
